@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwork.llm import mixing, neighbours
+from formwork.llm import mixing, neighbours, windows
 from formwork.llm.common import table
 
 
@@ -19,7 +19,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 35-word windows that occur twice."""
+    return windows.remove_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that occur twice."""
+    return windows.remove_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
