@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwork.llm import mixing, neighbours, windows
+from formwork.llm import jaccard, mixing, neighbours, windows
 from formwork.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 200-byte strings that occur twice."""
     return windows.remove_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -33,5 +38,6 @@ QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
