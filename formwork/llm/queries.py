@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwork.llm import jaccard, mixing, neighbours, windows
+from formwork.llm import bpe, jaccard, mixing, neighbours, toxicity, windows
 from formwork.llm.common import table
 
 
@@ -14,6 +15,13 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents, by a model of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).select("doc_id", "severity", "grade", "rejected")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a mix of sources that weigh 3, 1, 2 in turn."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -24,6 +32,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents to token ids and back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
@@ -36,8 +53,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_bpe": op7_bpe,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
