@@ -22,22 +22,38 @@ def word_counts(text: str) -> Counter:
     return Counter(_LETTERS.findall(text.lower()))
 
 
+def features(words: Counter) -> Counter:
+    """Counts of the words and of their beginnings of 3 to 8 letters (marked by a tilde), so that
+    what is learned of a stem holds for its other endings."""
+    out = Counter(words)
+    for w, n in words.items():
+        for k in range(3, min(9, len(w))):
+            out[w[:k] + "~"] += n
+    return out
+
+
 @dataclass(frozen=True)
 class Ordinal:
     """P(grade <= k) = logistic(cuts[k] - sum of weights * (1 + log2(count))): one weight for each
-    word, shared by the ordered cuts."""
+    feature, shared by the ordered cuts."""
 
     weights: dict[str, float] = field(default_factory=dict)
     cuts: tuple[float, ...] = ()
 
     def above(self, words: Counter) -> np.ndarray:
         """P(grade > k) for each k."""
-        known = words.keys() & self.weights.keys()
-        z = sum(self.weights[w] * (1 + np.log2(words[w])) for w in sorted(known))
+        weights, found = self.weights, {}
+        for w, n in words.items():
+            if w in weights:
+                found[w] = n
+            for k in range(3, min(9, len(w))):
+                if (stem := w[:k] + "~") in weights:
+                    found[stem] = found.get(stem, 0) + n
+        z = sum(weights[f] * (1 + np.log2(found[f])) for f in sorted(found))
         return 1 / (1 + np.exp(np.clip(np.array(self.cuts) - z, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.002, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.0005, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts of the model, by accelerated proximal gradient steps with an
     absolute-value penalty on the weights."""
     n, m = x.shape
@@ -65,11 +81,11 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.00
     return w, cuts
 
 
-def _chosen_words(sample: list[tuple[int, Counter]], most: int, least: int = 3) -> list[str]:
-    """The words whose presence tells positive from zero grades best, by a score of their odds."""
+def _chosen(sample: list[tuple[int, Counter]], most: int, least: int = 3) -> list[str]:
+    """The features whose presence tells positive from zero grades best, by a score of their odds."""
     bad, good = Counter(), Counter()
     for grade, words in sample:
-        (bad if grade else good).update(words.keys())
+        (bad if grade else good).update(features(words).keys())
     n_bad, n_good = sum(1 for g, _ in sample if g), sum(1 for g, _ in sample if not g)
     score = {}
     for w in bad.keys() | good.keys():
@@ -84,19 +100,19 @@ def _severities(sample: list[tuple[int, Counter]]) -> list[int]:
     rows occur in it more often than in the median positive row."""
     bad, good = Counter(), Counter()
     for grade, words in sample:
-        (bad if grade else good).update(words.keys())
+        (bad if grade else good).update(features(words).keys())
     n_bad, n_good = max(1, sum(1 for g, _ in sample if g)), max(1, sum(1 for g, _ in sample if not g))
     typical = {w for w, n in bad.items() if n >= max(3, 0.05 * n_bad) and n / n_bad > 10 * (good[w] + 1) / n_good}
-    uses = [sum(words[w] for w in typical) for _, words in sample]
+    uses = [sum(n for f, n in features(words).items() if f in typical) for _, words in sample]
     middle = float(np.median([u for u, (g, _) in zip(uses, sample) if g]))
     return [0 if not g else 1 + (u > middle) for u, (g, _) in zip(uses, sample)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade_column: str = "toxic", per_grade: int = 1500, features: int = 1500, id_column: str = "doc_id", text_column: str = "text") -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, grade_column: str = "toxic", per_grade: int = 1500, most: int = 2000, id_column: str = "doc_id", text_column: str = "text") -> Ordinal:
     """Fit the model on labelled documents.
 
     ``labels`` has ``id_column`` and a whole ``grade_column`` (0: clean, up to 9); where only 0 and 1
-    occur, positive rows are divided into two severities by how much they use typical words.  Up to
+    occur, positive rows are divided into two severities by how much they use typical words and stems.  Up to
     ``per_grade`` labelled rows of each grade, least hash of the id first, are the sample: a bound
     that doesn't grow with the data, so the sample's ids are broadcast and its word counts come to the driver.
     The grades' shares in all labels correct the cuts.  Rows with a null id, grade or text don't
@@ -120,10 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade_column: str = "toxic", per_gra
     rows = docs.select(F.col(id_column).alias("of"), F.col(text_column).alias("text")).filter("text is not null").join(F.broadcast(some.dropDuplicates(["of"])), "of")
     found = rows.select("of", "grade", "text").mapInArrow(counted, "of long, grade int, words array<string>, counts array<int>").collect()
     sample = [(r.grade, Counter(dict(zip(r.words, r.counts)))) for r in sorted(found, key=lambda r: (r.of, r.words[:5]))]
-    return fit_sample(sample, shares, features)
+    return fit_sample(sample, shares, most)
 
 
-def fit_sample(sample: list[tuple[int, Counter]], shares: dict[int, int], features: int = 1500) -> Ordinal:
+def fit_sample(sample: list[tuple[int, Counter]], shares: dict[int, int], most: int = 2000) -> Ordinal:
     """The model for (grade, word counts) rows; ``shares``: how many rows each grade has in all."""
     if len({g > 0 for g, _ in sample}) < 2:
         return Ordinal()
@@ -131,17 +147,18 @@ def fit_sample(sample: list[tuple[int, Counter]], shares: dict[int, int], featur
     y = np.array([levels.index(g) for g, _ in sample]) if len(levels) > 2 else np.array(_severities(sample))
     levels = sorted(set(y.tolist()))
     y = np.array([levels.index(g) for g in y.tolist()])
-    words = _chosen_words(sample, features)
-    place = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(sample), len(words)))
-    for i, (_, counts) in enumerate(sample):
-        for w in counts.keys() & place.keys():
-            x[i, place[w]] = 1 + np.log2(counts[w])
+    chosen = _chosen(sample, most)
+    place = {f: i for i, f in enumerate(chosen)}
+    x = np.zeros((len(sample), len(chosen)))
+    for i, (_, words) in enumerate(sample):
+        for f, n in features(words).items():
+            if f in place:
+                x[i, place[f]] = 1 + np.log2(n)
     w, cuts = fit_ordinal(x, y, len(levels))
     in_all = shares.get(0, 0), sum(n for g, n in shares.items() if g)
     here = sum(1 for g, _ in sample if not g), sum(1 for g, _ in sample if g)
     shift = max(0.0, float(np.log((in_all[0] / here[0]) / (in_all[1] / here[1]))))
-    return Ordinal({t: float(v) for t, v in zip(words, w) if v}, tuple(float(c + shift) for c in cuts))
+    return Ordinal({t: float(v) for t, v in zip(chosen, w) if v}, tuple(float(c + shift) for c in cuts))
 
 
 def grade(docs: DataFrame, model: Ordinal, text_column: str = "text", prefix: str = "") -> DataFrame:
