@@ -353,6 +353,9 @@ def sorted_windows(width: int) -> Judge:
     return judge
 
 
+_PAGE = 256
+
+
 def column_wise(strings: list[bytes], width: int) -> list[np.ndarray]:
     """For each string, which of its windows another window of the strings equals.
 
@@ -360,63 +363,81 @@ def column_wise(strings: list[bytes], width: int) -> list[np.ndarray]:
     symbol of every string in each round, from the right: the suffix c·s stands where the symbol c
     before s stands among all symbols c, and has one more symbol in common with the suffix before
     it than there is in common between s and the last row before s that has c, too.  Rows are kept in
-    sequence and each round merges the new ones in one pass.  Common prefixes stop at ``width``.
+    sequence and each round merges the new ones in one pass; counts of symbols for each page of rows
+    give the ranks.  Common prefixes stop at ``width``.  At last a walk over the transform tells
+    which rows are whose.
     """
     n = len(strings)
     lengths = np.fromiter(map(len, strings), np.int64, n)
-    text = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
-    text = text.astype(np.uint8 if text.max(initial=0) < 256 else np.int16)
     ends = np.cumsum(lengths)
-    bwt = text[ends - 1].copy()
-    common = np.zeros(n, np.uint8 if width < 256 else np.int32)
-    rows = np.arange(n, dtype=np.int32)
-    owners, sizes, made = [np.arange(n)], [np.zeros(n, np.int64)], n
+    values, text = np.unique(np.frombuffer(b"".join(strings), np.uint8), return_inverse=True)
+    kinds = len(values) + 2  # 0 ends a string, the last fills the last page
+    text = (text + 1).astype(np.uint8 if kinds < 256 else np.int16)
+    filler = text.dtype.type(kinds - 1)
+    small = np.uint8 if width < 256 else np.int32
+    column = np.arange(_PAGE)
+
+    def paged(size: int) -> np.ndarray:
+        return np.full((size // _PAGE + 1) * _PAGE, filler)
+
+    size = n
+    bwt, common = paged(n), np.zeros(n + 1, small)
+    bwt[:n] = text[ends - 1]
     at, active = np.arange(n), np.arange(n)
-    for r in range(1, int(lengths.max()) + 1):
+    base = np.zeros(0, np.int64)
+    for r in range(1, int(lengths.max(initial=0)) + 1):
         keep = lengths[active] >= r
         active, at = active[keep], at[keep]
-        symbol = bwt[at]
-        counts = np.bincount(bwt, minlength=2)
-        below = np.cumsum(counts) - counts
-        order = np.argsort(bwt, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        mine = place[at]
-        new = n - counts[0] + mine
-        above = mine > below[symbol]
-        under = mine + 1 < below[symbol] + counts[symbol]
-        before = np.where(above, order[mine - 1], at)
-        after = np.where(under, order[np.minimum(mine + 1, len(order) - 1)], at)
-        pad = np.append(common, common.dtype.type(0))
-        up = np.where(above, np.minimum(_least(pad, before + 1, at + 1, above) + 1, width), 0)
-        down = np.where(under, np.minimum(_least(pad, at + 1, after + 1, under) + 1, width), 0)
-        size = len(bwt) + len(active)
-        old = np.ones(size + 1, bool)
+        pages = len(bwt) // _PAGE
+        if len(base) < len(bwt):
+            base = np.repeat(np.arange(2 * pages) * kinds, _PAGE)
+        tally = np.bincount(base[: len(bwt)] + bwt, minlength=pages * kinds).reshape(pages, kinds)
+        upto = np.cumsum(tally, axis=0)
+        counts, upto = upto[-1], upto - tally
+        symbol, page, place = bwt[at], at // _PAGE, at % _PAGE
+        sheets = bwt.reshape(pages, _PAGE)
+        same = sheets[page] == symbol[:, None]
+        left, right = same & (column < place[:, None]), same & (column > place[:, None])
+        near = np.count_nonzero(left, axis=1)
+        rank = upto[page, symbol] + near
+        new = n + (np.cumsum(counts) - counts - counts[0])[symbol] + rank
+        above, under = rank > 0, rank + 1 < counts[symbol]
+        before = page * _PAGE + (_PAGE - 1) - left[:, ::-1].argmax(axis=1)
+        far = np.flatnonzero(above & (near == 0))
+        if len(far):
+            sheet = (upto[:, symbol[far]] < rank[far]).sum(axis=0) - 1
+            before[far] = sheet * _PAGE + (_PAGE - 1) - (sheets[sheet] == symbol[far, None])[:, ::-1].argmax(axis=1)
+        after = page * _PAGE + right.argmax(axis=1)
+        far = np.flatnonzero(under & (bwt[after] != symbol) | under & (after <= at))
+        if len(far):
+            sheet = (upto[:, symbol[far]] < rank[far] + 2).sum(axis=0) - 1
+            after[far] = sheet * _PAGE + (sheets[sheet] == symbol[far, None]).argmax(axis=1)
+        up = np.where(above, np.minimum(_least(common, before + 1, at + 1, above) + 1, width), 0)
+        down = _least(common, at + 1, after + 1, under) + 1
+        old = np.ones(size + len(active) + 1, bool)
         old[new] = False
-        later = under & old[new + 1]
-        old = old[:size]
-        wide = np.empty(size, bwt.dtype)
-        wide[old] = bwt
-        left = ends[active] - r - 1
-        wide[new] = np.where(lengths[active] > r, text[left], 0)
-        prefix = np.empty(size, common.dtype)
-        prefix[old] = common
+        later = np.flatnonzero(under & old[new + 1])
+        old = old[:-1]
+        wide, prefix = paged(len(old)), np.zeros(len(old) + 1, small)
+        wide[: len(old)][old] = bwt[:size]
+        wide[new] = np.where(lengths[active] > r, text[ends[active] - r - 1], 0)
+        prefix[:-1][old] = common[:-1]
         prefix[new] = up
-        prefix[new[later] + 1] = down[later]
-        ids = np.empty(size, np.int32)
-        ids[old] = rows
-        ids[new] = np.arange(made, made + len(active))
-        made += len(active)
-        owners.append(active)
-        sizes.append(np.full(len(active), r))
-        bwt, common, rows, at = wide, prefix, ids, new
-    shared = common >= width
+        prefix[new[later] + 1] = np.minimum(down[later], width)
+        size, bwt, common, at = len(old), wide, prefix, new
+    shared = common[:-1] >= width
     shared[:-1] |= shared[1:]
-    which = rows[shared]
-    owner, size = np.concatenate(owners)[which], np.concatenate(sizes)[which]
+    bwt = bwt[:size]
+    order = np.argsort(bwt, kind="stable")
+    step = np.empty(size, np.int64)
+    step[order] = np.arange(size) + n - np.count_nonzero(bwt == 0)
     out = [np.zeros(max(0, x - width + 1), bool) for x in lengths.tolist()]
-    for o, start in zip(owner.tolist(), (lengths[owner] - size).tolist()):
-        out[o][start] = True
+    at, active = np.arange(n), np.arange(n)
+    for r in range(1, int(lengths.max(initial=0)) + 1):
+        keep = lengths[active] >= r
+        active, at = active[keep], step[at[keep]]
+        for i in active[shared[at]].tolist():
+            out[i][lengths[i] - r] = True
     return out
 
 
