@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwork.llm import bpe, jaccard, mixing, neighbours, toxicity, windows
+from formwork.llm import bpe, jaccard, mixing, neighbours, personal, quality, toxicity, windows
 from formwork.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the log-likelihood ratio's verdict for all documents."""
+    found = quality.resemblance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of all documents, by a model of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
@@ -51,12 +57,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.remove_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = personal.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_quality_rules": op2_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_personal_data": op10_personal_data,
 }
