@@ -212,6 +212,30 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     texts count whole; an empty table gives no rows; other columns are ignored.
     """
     texts = keyed(docs, id_column, text_column)
+    rows = _labelled(texts, *linked_classes(texts, n, percent, block)).select("id_key", "text_key", "n_shingles", "component_id")
+    out = texts.select("doc_id", "id_key", "text_key").join(rows, ["id_key", "text_key"])
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group that ``near_duplicates`` links: the least id's.
+
+    Equal rows are a group, rows that share an id but aren't linked are not; rows with a null id
+    only stand for a group without ids.  Documents without words stay, all of them."""
+    texts = keyed(docs, id_column, text_column)
+    rows = _labelled(texts, *linked_classes(texts, n, percent, block))
+    least = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(~F.col("given"), "id_key", "text_key")).alias("c"))
+    stay = least.select("c.id_key", "c.text_key", F.lit(True).alias("__one")).unionByName(rows.filter("component is null").select("id_key", "text_key", F.lit(False).alias("__one")))
+    whole, given = F.coalesce(F.col(text_column), F.lit("")), F.col(id_column).cast("long")
+    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__id": F.coalesce(given, F.lit(0)), "__text": F.hash(whole, given.isNull())})
+    found = marked.join(stay.withColumnsRenamed({"id_key": "__id", "text_key": "__text"}), ["__id", "__text"])
+    found = found.withColumn("__row", F.when(F.col("__one"), F.lit(-1)).otherwise(F.col("__row")))
+    return found.dropDuplicates(["__id", "__text", "__row"]).select(docs.columns)
+
+
+def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """For each text (``keyed``) its set's size and digest, and the components (node, component) of
+    the linked sets."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, size // (24 << 20))
     slim = written(shared_counts(texts, n, parts))
@@ -272,7 +296,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
         return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64()), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64), pa.int64())})
 
     found = components(tiles.groupBy("tile").applyInArrow(link, "a long, b long"))
-    return _labelled(texts, slim, found)
+    return slim, found
 
 
 def _tiles(nodes: DataFrame, percent: int, block: int) -> DataFrame:
@@ -299,14 +323,13 @@ def _tiles(nodes: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def _labelled(texts: DataFrame, slim: DataFrame, found: DataFrame) -> DataFrame:
-    """Each text's component: classes of equal sets, tied together by the links found."""
-    sized = slim.filter("n_shingles > 0").withColumn("node", F.xxhash64("digest"))
+    """For each key ``given, n_shingles, component, component_id``: classes of equal sets, tied
+    together by the links found; the last two are null without shingles."""
     given = texts.select("id_key", "text_key", F.col("doc_id").isNotNull().alias("given")).distinct()
-    lowest = sized.join(given, ["id_key", "text_key"]).groupBy("node").agg(F.min(F.when(F.col("given"), F.col("id_key"))).alias("low"))
+    rows = slim.dropDuplicates(["id_key", "text_key"]).join(given, ["id_key", "text_key"])
+    rows = rows.withColumn("node", F.when(F.col("n_shingles") > 0, F.xxhash64("digest")))
+    lowest = rows.filter("node is not null").groupBy("node").agg(F.min(F.when(F.col("given"), F.col("id_key"))).alias("low"))
     grouped = lowest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    labels = grouped.join(least, "component").select("node", "component_id")
-    rows = slim.dropDuplicates(["id_key", "text_key"]).withColumn("node", F.when(F.col("n_shingles") > 0, F.xxhash64("digest")))
-    rows = rows.join(labels, "node", "left").select("id_key", "text_key", "n_shingles", "component_id")
-    out = texts.select("doc_id", "id_key", "text_key").join(rows, ["id_key", "text_key"])
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = grouped.join(least, "component").select("node", "component", "component_id")
+    return rows.join(labels, "node", "left").select("id_key", "text_key", "given", "n_shingles", "component", "component_id")

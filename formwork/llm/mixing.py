@@ -39,7 +39,7 @@ def uniform(seed: str, *of: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """Choose how often each document enters a mix whose sources meet their targets.
 
-    Takes ``doc_id, text, source``; returns ``doc_id, size, source_size, target, copies, taken``
+    Takes ``doc_id, text, source``; returns ``doc_id, source, size, source_size, target, copies, taken``
     with one row for each document, ``taken = copies * size``.
 
     A document of a source is wanted e = target / source_size times.  It gets floor(e) certain
@@ -90,4 +90,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     earlier = F.coalesce(F.sum("size").over(order), F.lit(0))
     last = rows.filter(edge).withColumn("chosen", earlier + F.col("size") / F.lit(2.0) <= F.col("rest2") - F.col("c2.before"))
     copies = F.col("certain") + F.col("chosen").cast("long")
-    return plain.unionByName(last).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return plain.unionByName(last).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it.
+
+    Rows that agree in id, source and size get the same, the largest number of copies.  Documents
+    without words belong to no mix by words; they go."""
+    chosen = mix(docs, weights, share, cap, seed).filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"})
+    marked = docs.withColumn("__words", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
+    return marked.join(chosen, same).withColumn("__time", times).select(docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwork.llm import bpe, jaccard, mixing, neighbours, personal, quality, toxicity, windows
+from formwork.llm import bpe, jaccard, licences, mixing, neighbours, personal, quality, toxicity, windows
 from formwork.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op3_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of all documents, by a model of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +74,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_rules": op2_quality_rules,
+    "op3_licence_scans": op3_licence_scans,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
