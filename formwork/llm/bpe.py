@@ -36,22 +36,16 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a whole sequence, lowest rank first, leftmost first."""
-        pairs = self.pairs
-        while len(ids) > 1:
-            found = [pairs.get(a << 20 | b, 1 << 62) for a, b in zip(ids, ids[1:])]
-            best = min(found)
-            if best == 1 << 62:
-                break
-            new, i, n = best & 0xFFFFF, 0, len(ids)
-            out = []
-            while i < n:
-                if i + 1 < n and found[i] == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        known, none = self.pairs.get, 1 << 62
+        found = [known(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != none:
+            i = found.index(best)
+            ids[i : i + 2] = [best & 0xFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = known(ids[i - 1] << 20 | ids[i], none)
+            if i < len(found):
+                found[i] = known(ids[i] << 20 | ids[i + 1], none)
         return ids
 
     def stream(self, symbols: Iterable[int], step: int = 64) -> Iterator[int]:
@@ -159,13 +153,16 @@ class Tokenizer:
                 part = part.replace("Σ", "σ").lower()
             yield from self.split.findall(part)
 
-    def _symbols(self, word: str) -> Iterator[int]:
+    def _tokens(self, word: str) -> bytes:
+        """A word's ids.  A word within the lookahead leaves the transducer only at its end."""
         raw = word.encode("utf-8")
-        for b in raw[:-1]:
-            yield self.inner[b]
-        yield self.final[raw[-1]]
+        inner = self.inner
+        symbols = [inner[b] for b in raw]
+        symbols[-1] = self.final[raw[-1]]
+        ids = self.merges.merge(symbols) if len(symbols) <= self.merges.lookahead else list(self.merges.stream(symbols))
+        return np.array(ids, np.int32).tobytes()
 
-    def encode(self, text: str, keep: int = 150_000) -> bytes:
+    def encode(self, text: str, keep: int = 400_000) -> bytes:
         """Token ids as int32 bytes.  Up to ``2 * keep`` words' tokens are remembered."""
         out = []
         known, older = self.known, self.older
@@ -174,7 +171,7 @@ class Tokenizer:
                 if isinstance(piece, int):
                     ids = np.int32(piece).tobytes()
                 elif (ids := older.get(piece)) is None:
-                    ids = np.fromiter(self.merges.stream(self._symbols(piece)), np.int32).tobytes()
+                    ids = self._tokens(piece)
                 if isinstance(piece, int) or len(piece) < 100:
                     if len(known) >= keep:
                         self.older, self.known = known, {}
