@@ -103,11 +103,12 @@ def piece_counts(texts: DataFrame, plan: Plan) -> np.ndarray:
     return summed_cells(texts.select("text").mapInArrow(count, "block int, counts binary"))
 
 
-def _runs(s: _Symbols, plan: Plan, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers: first window, the end of the windows, the minimiser's hash."""
+def _runs(s: _Symbols, plan: Plan, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers: first window, the end of the windows, the minimiser's hash and its place
+    behind the first window's beginning."""
     ok = s.inside(plan.width)
     if not ok.any():
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     h = s.hashes(plan.part)
     order = (h & np.uint64(0x7FFFFFFF)) | (common[cell_of(h)].astype(np.uint64) << np.uint64(31))
     least = sliding_min((order << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), plan.width - plan.part + 1)
@@ -116,7 +117,8 @@ def _runs(s: _Symbols, plan: Plan, common: np.ndarray) -> tuple[np.ndarray, np.n
     edge = np.flatnonzero(np.diff(at)) + 1
     begins, ends = np.append(0, edge), np.append(edge, len(at))
     real = at[begins] >= 0
-    return begins[real], ends[real], h[at[begins[real]]]
+    begins, ends = begins[real], ends[real]
+    return begins, ends, h[at[begins]], at[begins] - begins
 
 
 class _Folded:
@@ -132,19 +134,21 @@ class _Folded:
         self.which: list[np.ndarray] = []
         self.places: list[tuple[np.ndarray, ...]] = []
         self.groups: list[int] = []
+        self.offsets: list[int] = []
         self.size = 0
 
     def add(self, s: _Symbols, ids: np.ndarray, keys: np.ndarray, common: np.ndarray) -> None:
-        first, last, minimiser = _runs(s, self.plan, common)
+        first, last, minimiser, offset = _runs(s, self.plan, common)
         if not len(first):
             return
-        width, flat, number, groups = self.plan.width, s.flat, self.number, self.groups
+        width, flat, number, groups, offsets = self.plan.width, s.flat, self.number, self.groups, self.offsets
         which = np.empty(len(first), np.int64)
-        for r, (a, b, m) in enumerate(zip(s.starts[first].tolist(), s.ends[last + (width - 2)].tolist(), minimiser.tolist())):
+        for r, (a, b, m, o) in enumerate(zip(s.starts[first].tolist(), s.ends[last + (width - 2)].tolist(), minimiser.tolist(), offset.tolist())):
             packed = flat[a:b]
             n = number.setdefault(packed, len(number))
             if n == len(groups):
                 groups.append(m)
+                offsets.append(o)
                 self.size += b - a + 100
             which[r] = n
         text = np.searchsorted(s.low, first, side="right") - 1
@@ -165,7 +169,7 @@ class _Folded:
         out += [(-1 - (i ^ k) % self.buckets, None, i, k, spans) for i, k, spans in settled]
         owner = np.full(len(self.number), -1)
         owner[which[~twice]] = np.flatnonzero(~twice)
-        groups = np.array(self.groups, np.uint64)
+        groups, offsets = np.array(self.groups, np.uint64), np.array(self.offsets, np.int32)
         bucket = ((groups >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         strings = list(self.number)
@@ -174,10 +178,10 @@ class _Folded:
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             some = order[a:b]
             own = owner[some]
-            head = [lengths[some], groups[some].astype(np.uint32), np.where(own < 0, -1, begin[own])]
+            head = [lengths[some], groups[some].astype(np.uint32), offsets[some], np.where(own < 0, -1, begin[own])]
             own = own[own >= 0]
             head += [ids[own], keys[own]]
-            body = b"".join([*(x.astype(t).tobytes() for x, t in zip(head, ("<i4", "<u4", "<i4", "<i8", "<i4"))), *(strings[i] for i in some.tolist())])
+            body = b"".join([*(x.astype(t).tobytes() for x, t in zip(head, ("<i4", "<u4", "<i4", "<i4", "<i8", "<i4"))), *(strings[i] for i in some.tolist())])
             out.append((int(bucket[some[0]]), struct.pack("<ii", len(some), len(own)) + self.squeeze.compress(body), None, None, None))
         self.clear()
         for i in range(0, len(out), 500):
@@ -208,11 +212,12 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], reach[np.append(starts[1:], len(spans)) - 1]], axis=1)
 
 
-def _unpacked(packs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-    """The distinct strings of a bucket, whether each occurs twice, its group, and the places
-    (string, id, key, begin)."""
+def _unpacked(packs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """The distinct strings of a bucket, whether each occurs twice, its group and its minimiser's
+    offset, and the places (string, id, key, begin)."""
     number: dict[bytes, int] = {}
     groups: list[int] = []
+    offsets: list[int] = []
     twice: list[bool] = []
     places: list[tuple[np.ndarray, ...]] = []
     for pack in packs:
@@ -226,20 +231,22 @@ def _unpacked(packs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
             at += x.nbytes
             return x
 
-        lengths, group, begin, ids, keys = take(n, "<i4"), take(n, "<u4"), take(n, "<i4"), take(own, "<i8"), take(own, "<i4")
+        lengths, group, offset, begin = take(n, "<i4"), take(n, "<u4"), take(n, "<i4"), take(n, "<i4")
+        ids, keys = take(own, "<i8"), take(own, "<i4")
         which = np.empty(n, np.int64)
-        for i, (size, g, b) in enumerate(zip(lengths.tolist(), group.tolist(), begin.tolist())):
+        for i, (size, g, o, b) in enumerate(zip(lengths.tolist(), group.tolist(), offset.tolist(), begin.tolist())):
             k = number.setdefault(raw[at : at + size], len(number))
             at += size
             if k == len(groups):
                 groups.append(g)
+                offsets.append(o)
                 twice.append(b < 0)
             else:
                 twice[k] = True
             which[i] = k
         placed = begin >= 0
         places.append((which[placed], ids, keys, begin[placed]))
-    return list(number), np.array(twice, bool), np.array(groups, np.uint32), tuple(np.concatenate(x) for x in zip(*places))
+    return list(number), np.array(twice, bool), np.array(groups, np.uint32), np.array(offsets, np.int64), tuple(np.concatenate(x) for x in zip(*places))
 
 
 Judge = Callable[[list[bytes], np.ndarray, np.ndarray], dict[int, np.ndarray]]
@@ -248,8 +255,8 @@ Judge = Callable[[list[bytes], np.ndarray, np.ndarray], dict[int, np.ndarray]]
 def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
     """Spans of symbols covered by windows that occur twice: ``id_key, text_key, begin, end``.
 
-    ``judge(strings, twice, groups)`` gets a bucket's distinct strings and returns, for strings
-    that have them, a mask of the windows that another string shares."""
+    ``judge(strings, groups, offsets)`` gets a bucket's distinct strings, each one's minimiser and
+    where it stands, and returns, for strings that have them, a mask of the windows that another string shares."""
     counts = piece_counts(texts, plan)
     total = int(counts.sum())
     common = counts > max(64, 8 * total // CELLS)
@@ -271,8 +278,8 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
                 pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
                 out.append(np.column_stack([np.full(len(pairs), i), np.full(len(pairs), k), pairs]))
         else:
-            strings, twice, groups, (which, ids, keys, begin) = _unpacked(rows.column("pack").to_pylist())
-            masks = judge(strings, twice, groups)
+            strings, twice, groups, offsets, (which, ids, keys, begin) = _unpacked(rows.column("pack").to_pylist())
+            masks = judge(strings, groups, offsets)
             symbols = np.fromiter((x.count(b" ") + 1 if words else len(x) for x in strings), np.int64, len(strings))
             whole = twice[which]
             out.append(np.column_stack([ids[whole], keys[whole], begin[whole], begin[whole] + symbols[which[whole]]]))
@@ -298,7 +305,7 @@ def sorted_windows(width: int) -> Judge:
     Windows are sorted by a hash; neighbours of equal hash are compared word for word, so that the
     counts are exact."""
 
-    def judge(strings: list[bytes], twice: np.ndarray, groups: np.ndarray) -> dict[int, np.ndarray]:
+    def judge(strings: list[bytes], groups: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
         hashes, owners, places, lows, highs = [], [], [], [], []
         at = 0
         while at < len(strings):
@@ -378,7 +385,9 @@ def column_wise(strings: list[bytes], width: int) -> list[np.ndarray]:
     column = np.arange(_PAGE)
 
     def paged(size: int) -> np.ndarray:
-        return np.full((size // _PAGE + 1) * _PAGE, filler)
+        out = np.empty((size // _PAGE + 1) * _PAGE, text.dtype)
+        out[size:] = filler
+        return out
 
     size = n
     bwt, common = paged(n), np.zeros(n + 1, small)
@@ -452,27 +461,58 @@ def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.nd
     return out
 
 
-def suffix_blocks(width: int, block: int = 100_000) -> Judge:
+def _may_share(strings: list[bytes], offsets: np.ndarray, width: int, part: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in each string windows that another string has can lie: begin and end, equal if nowhere.
+
+    A window has its minimiser x symbols behind its beginning, and for the multiple g of ``step``
+    below x it holds the ``width - step`` symbols that begin g before the minimiser.  If no other
+    string of the bucket has these, no other has the window."""
+    n = len(strings)
+    lengths = np.fromiter(map(len, strings), np.int64, n)
+    places = range(0, width - part + 1, step)
+    spans = [(offsets - g, offsets - g + min(width - step, width - g)) for g in places]
+    inside = [np.flatnonzero((low >= 0) & (high <= lengths)) for low, high in spans]
+    keys: list[list[np.ndarray]] = [[] for _ in places]
+    edges = np.searchsorted(np.cumsum(lengths), np.arange(0, int(lengths.sum()) + (2 << 20), 2 << 20)).tolist()
+    for a, b in zip(edges, [*edges[1:], n]):
+        base = np.cumsum(lengths[a:b]) - lengths[a:b]
+        rolling = Rolling(np.frombuffer(b"".join(strings[a:b]), np.uint8))
+        for own, (low, high), some in zip(keys, spans, inside):
+            some = some[np.searchsorted(some, a) : np.searchsorted(some, b)]
+            own.append(rolling.of(base[some - a] + low[some], base[some - a] + high[some]))
+    begin, end = lengths.copy(), np.zeros(n, np.int64)
+    for g, own, some in zip(places, keys, inside):
+        if len(some):
+            _, which, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            some = some[often[which] > 1]
+            begin[some] = np.minimum(begin[some], np.maximum(0, offsets[some] - g - step + 1))
+            end[some] = np.maximum(end[some], np.minimum(lengths[some], offsets[some] - g + width))
+    return np.minimum(begin, end), end
+
+
+def suffix_blocks(width: int, part: int, block: int = 100_000, step: int = 24) -> Judge:
     """Finds shared windows of bytes by the transform of the strings that share a minimiser.
 
-    Equal windows share their minimiser, and no window occurs twice in one string, so a string
-    whose minimiser no other string of the bucket has needs no round.  The others form blocks of
-    whole minimiser groups, of about ``block`` symbols or one group."""
+    Equal windows share their minimiser and most of what surrounds it, so parts of strings for which
+    no other string has that need no round.  The others form blocks of whole minimiser groups, of
+    about ``block`` symbols or one group."""
 
-    def judge(strings: list[bytes], twice: np.ndarray, groups: np.ndarray) -> dict[int, np.ndarray]:
-        order = np.argsort(groups, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(groups[order]) != 0))
+    def judge(strings: list[bytes], groups: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        begin, end = _may_share(strings, offsets, width, part, step)
+        order = np.flatnonzero(end - begin >= width)
+        order = order[np.argsort(groups[order], kind="stable")]
+        cuts = np.flatnonzero(np.append(True, np.diff(groups[order]) != 0)) if len(order) else ()
         masks: dict[int, np.ndarray] = {}
         some: list[int] = []
         size = 0
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            if b - a > 1:
-                some += order[a:b].tolist()
-                size += sum(len(strings[i]) for i in order[a:b].tolist())
-            if some and (size > block or b == len(order)):
-                for i, mask in zip(some, column_wise([strings[i] for i in some], width)):
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            some += order[a:b].tolist()
+            size += int((end - begin)[order[a:b]].sum())
+            if size > block or b == len(order):
+                for i, mask in zip(some, column_wise([strings[i][begin[i] : end[i]] for i in some], width)):
                     if mask.any():
-                        masks[i] = mask
+                        masks[i] = np.zeros(len(strings[i]) - width + 1, bool)
+                        masks[i][begin[i] : begin[i] + len(mask)] = mask
                 some, size = [], 0
         return masks
 
@@ -564,5 +604,5 @@ def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTE_PLAN) -> DataFrame:
         rest = b"".join(kept)
         return (len(text), len(text) - len(rest), len(spans)), rest
 
-    spans = repeated_spans(texts, plan, suffix_blocks(plan.width))
+    spans = repeated_spans(texts, plan, suffix_blocks(plan.width, plan.part))
     return _cut_rows(_with_spans(texts, spans), cut, ["n_bytes", "n_removed", "n_spans"])
