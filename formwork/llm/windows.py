@@ -360,9 +360,6 @@ def sorted_windows(width: int) -> Judge:
     return judge
 
 
-_PAGE = 256
-
-
 def column_wise(strings: list[bytes], width: int) -> list[np.ndarray]:
     """For each string, which of its windows another window of the strings equals.
 
@@ -370,73 +367,46 @@ def column_wise(strings: list[bytes], width: int) -> list[np.ndarray]:
     symbol of every string in each round, from the right: the suffix c·s stands where the symbol c
     before s stands among all symbols c, and has one more symbol in common with the suffix before
     it than there is in common between s and the last row before s that has c, too.  Rows are kept in
-    sequence and each round merges the new ones in one pass; counts of symbols for each page of rows
-    give the ranks.  Common prefixes stop at ``width``.  At last a walk over the transform tells
-    which rows are whose.
+    sequence and each round merges the new ones in one pass; a stable order of the transform's
+    symbols gives the ranks.  Common prefixes stop at ``width``.  At last a walk over the transform
+    tells which rows are whose.
     """
     n = len(strings)
     lengths = np.fromiter(map(len, strings), np.int64, n)
     ends = np.cumsum(lengths)
     values, text = np.unique(np.frombuffer(b"".join(strings), np.uint8), return_inverse=True)
-    kinds = len(values) + 2  # 0 ends a string, the last fills the last page
-    text = (text + 1).astype(np.uint8 if kinds < 256 else np.int16)
-    filler = text.dtype.type(kinds - 1)
+    text = (text + 1).astype(np.uint8 if len(values) < 255 else np.int16)  # 0 ends a string
     small = np.uint8 if width < 256 else np.int32
-    column = np.arange(_PAGE)
-
-    def paged(size: int) -> np.ndarray:
-        out = np.empty((size // _PAGE + 1) * _PAGE, text.dtype)
-        out[size:] = filler
-        return out
-
-    size = n
-    bwt, common = paged(n), np.zeros(n + 1, small)
-    bwt[:n] = text[ends - 1]
+    every = np.arange(ends[-1] + n if n else 0, dtype=np.int32)
+    bwt, common = text[ends - 1], np.zeros(n + 1, small)
     at, active = np.arange(n), np.arange(n)
-    base = np.zeros(0, np.int64)
     for r in range(1, int(lengths.max(initial=0)) + 1):
         keep = lengths[active] >= r
         active, at = active[keep], at[keep]
-        pages = len(bwt) // _PAGE
-        if len(base) < len(bwt):
-            base = np.repeat(np.arange(2 * pages) * kinds, _PAGE)
-        tally = np.bincount(base[: len(bwt)] + bwt, minlength=pages * kinds).reshape(pages, kinds)
-        upto = np.cumsum(tally, axis=0)
-        counts, upto = upto[-1], upto - tally
-        symbol, page, place = bwt[at], at // _PAGE, at % _PAGE
-        sheets = bwt.reshape(pages, _PAGE)
-        same = sheets[page] == symbol[:, None]
-        left, right = same & (column < place[:, None]), same & (column > place[:, None])
-        near = np.count_nonzero(left, axis=1)
-        rank = upto[page, symbol] + near
-        new = n + (np.cumsum(counts) - counts - counts[0])[symbol] + rank
-        above, under = rank > 0, rank + 1 < counts[symbol]
-        before = page * _PAGE + (_PAGE - 1) - left[:, ::-1].argmax(axis=1)
-        far = np.flatnonzero(above & (near == 0))
-        if len(far):
-            sheet = (upto[:, symbol[far]] < rank[far]).sum(axis=0) - 1
-            before[far] = sheet * _PAGE + (_PAGE - 1) - (sheets[sheet] == symbol[far, None])[:, ::-1].argmax(axis=1)
-        after = page * _PAGE + right.argmax(axis=1)
-        far = np.flatnonzero(under & (bwt[after] != symbol) | under & (after <= at))
-        if len(far):
-            sheet = (upto[:, symbol[far]] < rank[far] + 2).sum(axis=0) - 1
-            after[far] = sheet * _PAGE + (sheets[sheet] == symbol[far, None]).argmax(axis=1)
+        size = len(bwt)
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(size, np.int32)
+        rank[order] = every[:size]
+        j, symbol = rank[at], bwt[at]
+        new = n + j - np.count_nonzero(bwt == 0)
+        before, after = order[np.maximum(j - 1, 0)], order[np.minimum(j + 1, size - 1)]
+        above, under = (bwt[before] == symbol) & (j > 0), (bwt[after] == symbol) & (j + 1 < size)
         up = np.where(above, np.minimum(_least(common, before + 1, at + 1, above) + 1, width), 0)
         down = _least(common, at + 1, after + 1, under) + 1
         old = np.ones(size + len(active) + 1, bool)
         old[new] = False
         later = np.flatnonzero(under & old[new + 1])
         old = old[:-1]
-        wide, prefix = paged(len(old)), np.zeros(len(old) + 1, small)
-        wide[: len(old)][old] = bwt[:size]
+        wide, prefix = np.empty(len(old), bwt.dtype), np.empty(len(old) + 1, small)
+        wide[old] = bwt
         wide[new] = np.where(lengths[active] > r, text[ends[active] - r - 1], 0)
-        prefix[:-1][old] = common[:-1]
+        prefix[:-1][old], prefix[-1] = common[:-1], 0
         prefix[new] = up
         prefix[new[later] + 1] = np.minimum(down[later], width)
-        size, bwt, common, at = len(old), wide, prefix, new
+        bwt, common, at = wide, prefix, new
+    size = len(bwt)
     shared = common[:-1] >= width
     shared[:-1] |= shared[1:]
-    bwt = bwt[:size]
     order = np.argsort(bwt, kind="stable")
     step = np.empty(size, np.int64)
     step[order] = np.arange(size) + n - np.count_nonzero(bwt == 0)
@@ -495,12 +465,16 @@ def suffix_blocks(width: int, part: int, block: int = 100_000, step: int = 24) -
 
     Equal windows share their minimiser and most of what surrounds it, so parts of strings for which
     no other string has that need no round.  The others form blocks of whole minimiser groups, of
-    about ``block`` symbols or one group."""
+    about ``block`` symbols or one group, the groups with the shortest strings first: a block takes
+    as many rounds as its longest string has symbols."""
 
     def judge(strings: list[bytes], groups: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
         begin, end = _may_share(strings, offsets, width, part, step)
         order = np.flatnonzero(end - begin >= width)
-        order = order[np.argsort(groups[order], kind="stable")]
+        _, which = np.unique(groups[order], return_inverse=True)
+        longest = np.zeros(len(order), np.int64)
+        np.maximum.at(longest, which, (end - begin)[order])
+        order = order[np.lexsort((which, longest[which]))]
         cuts = np.flatnonzero(np.append(True, np.diff(groups[order]) != 0)) if len(order) else ()
         masks: dict[int, np.ndarray] = {}
         some: list[int] = []
