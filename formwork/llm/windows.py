@@ -95,7 +95,7 @@ def piece_counts(texts: DataFrame, plan: Plan) -> np.ndarray:
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for _, chunk in text_chunks(batches):
+        for _, chunk in text_chunks(batches, 512 << 10):
             s = _Symbols(chunk, plan.words)
             total += np.bincount(cell_of(s.hashes(plan.part)[s.inside(plan.part)]), minlength=CELLS)
         yield cell_rows(total)
@@ -265,7 +265,7 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
 
     def pack(batches) -> Iterator[pa.RecordBatch]:
         folded = _Folded(plan, buckets)
-        for part, chunk in text_chunks(batches):
+        for part, chunk in text_chunks(batches, 512 << 10):
             folded.add(_Symbols(chunk, words), arrow_column(part, "id_key"), arrow_column(part, "text_key"), common)
             if folded.size > plan.held:
                 yield from folded.rows()
@@ -496,7 +496,7 @@ def suffix_blocks(width: int, part: int, block: int = 100_000, step: int = 24) -
 # ------------------------------------------------------------------------------ operators
 
 WORD_PLAN = Plan(width=35, part=6, words=True, per_bucket=1_500_000)
-BYTE_PLAN = Plan(width=200, part=32, words=False, per_bucket=8_000_000)
+BYTE_PLAN = Plan(width=200, part=32, words=False, per_bucket=4_000_000)
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
