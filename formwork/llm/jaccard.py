@@ -43,7 +43,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 3_000_000) -> DataFrame:
+def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 1_000_000) -> DataFrame:
     """For each text its number of shingles, a digest of the set, and how many of its shingles
     other texts have, too (``shared``; a hash collision may raise it).
 
@@ -86,7 +86,7 @@ def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 3_000_000) -
                     rows.append((p, batch, squeeze.compress(body)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "batch", "pack"])
 
-        for part, chunk in text_chunks(batches):
+        for part, chunk in text_chunks(batches, 512 << 10):
             new = shingle_sets(chunk, n)
             sets += new
             ids.append(arrow_column(part, "id_key"))
@@ -237,7 +237,7 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     """For each text (``keyed``) its set's size and digest, and the components (node, component) of
     the linked sets."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, size // (24 << 20))
+    parts = max(1, size // (12 << 20))
     slim = written(shared_counts(texts, n, parts))
     may = f"n_shingles > 0 and 100 * shared >= {percent} * n_shingles"
     chosen = written(slim.filter(may).groupBy("digest").agg(F.min(F.struct("id_key", "text_key")).alias("c")).select("c.*"))
@@ -247,7 +247,7 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     schema = "node long, n int, tokens binary"
 
     def hashed(batches) -> Iterator[pa.RecordBatch]:
-        for part, chunk in text_chunks(batches):
+        for part, chunk in text_chunks(batches, 512 << 10):
             sets = shingle_sets(chunk, n)
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
 
