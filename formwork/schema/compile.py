@@ -193,7 +193,7 @@ def constrained(base: t.Type, expr) -> t.Type:
 
 def single(base: t.Type, e) -> t.Constraint:
     """The constraint that one expression puts on a base type."""
-    root = base.base if isinstance(base, t.Refined) else base
+    root = t.parts(base)[0]
     match e:
         case Binary("in", left, right) if left == X:
             if not isinstance(right, ListNode) or not all(isinstance(v, Lit) for v in right.items):

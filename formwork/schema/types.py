@@ -156,6 +156,8 @@ def refined(base: Type, c: Constraint) -> Type:
     """The normal form of a base type under a constraint."""
     if isinstance(base, Refined):
         return refined(base.base, base.constraint & c)
+    if isinstance(base, Literal) and base.lit.kind != "float":
+        return refined(Basic(base.lit.kind), Constraint(enum=frozenset([base.lit])) & c)
     if base == NEVER or c.bounds.empty or c.length.empty:
         return NEVER
     if c.length.low is not None and c.length.low <= 0:
