@@ -57,7 +57,7 @@ class Merges:
         for s in symbols:
             held.append(s)
             if len(held) >= self.lookahead + step:
-                tokens, end, safe = self.merge(held), 0, len(held) - self.lookahead
+                tokens, end, safe = self.merge(list(held)), 0, len(held) - self.lookahead
                 for t in tokens:
                     if end + self.length[t] > safe:
                         break

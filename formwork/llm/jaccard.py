@@ -67,8 +67,8 @@ def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 1_000_000) -
             short = np.concatenate(sets) >> np.uint64(24)
             order = np.argsort(short, kind="stable")
             short, owner = short[order], owner[order]
-            first = np.append(True, short[1:] != short[:-1])
-            alone = first & np.append(first[1:], True)
+            first = np.append(True, short[1:] != short[:-1])[: len(short)]
+            alone = first & np.append(first[1:], True)[: len(short)]
             local = np.bincount(owner[~alone], minlength=len(sets)).astype("<i4")
             token, who = short[first], np.where(alone, owner, _MANY)[first].astype("<u2")
             edges = np.searchsorted(token, (np.arange(parts + 1) * ((1 << 40) / parts)).astype(np.uint64))
