@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, cell_of, cell_rows, summed_cells, text_chunks, written
 from formwork.llm.components import components
-from formwork.llm.windows import keyed
+from formwork.llm.windows import keyed, row_key
 
 _MANY = 0xFFFF
-_SLIM = "id_key long, text_key int, n_shingles long, digest binary, shared long"
+_SLIM = "id_key long, text_key long, n_shingles long, digest binary, shared long"
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -73,7 +73,7 @@ def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 1_000_000) -
             token, who = short[first], np.where(alone, owner, _MANY)[first].astype("<u2")
             edges = np.searchsorted(token, (np.arange(parts + 1) * ((1 << 40) / parts)).astype(np.uint64))
             edges[-1] = len(token)
-            head = [struct.pack("<i", len(sets)), np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(keys).astype("<i4").tobytes(), np.array([len(s) for s in sets], "<i4").tobytes(), local.tobytes()]
+            head = [struct.pack("<i", len(sets)), np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(keys).astype("<i8").tobytes(), np.array([len(s) for s in sets], "<i4").tobytes(), local.tobytes()]
             head += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             batch = (task << 24) + number
             rows = [(-1 - batch, batch, squeeze.compress(b"".join(head)))]
@@ -126,8 +126,8 @@ def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 1_000_000) -
         raw = zstandard.decompress(next(h for h in rows.column("head").to_pylist() if h is not None))
         (docs,) = struct.unpack_from("<i", raw)
         take = lambda kind, at: np.frombuffer(raw, kind, docs, at)
-        ids, keys, sizes, shared = take("<i8", 4), take("<i4", 4 + 8 * docs), take("<i4", 4 + 12 * docs), take("<i4", 4 + 16 * docs).astype(np.int64)
-        at = 4 + 20 * docs
+        ids, keys, sizes, shared = take("<i8", 4), take("<i8", 4 + 8 * docs), take("<i4", 4 + 16 * docs), take("<i4", 4 + 20 * docs).astype(np.int64)
+        at = 4 + 24 * docs
         for c in rows.column("counts").to_pylist():
             if c is not None:
                 shared += np.frombuffer(zstandard.decompress(c), "<u4")
@@ -226,8 +226,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 512, i
     rows = _labelled(texts, *linked_classes(texts, n, percent, block))
     least = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(~F.col("given"), "id_key", "text_key")).alias("c"))
     stay = least.select("c.id_key", "c.text_key", F.lit(True).alias("__one")).unionByName(rows.filter("component is null").select("id_key", "text_key", F.lit(False).alias("__one")))
-    whole, given = F.coalesce(F.col(text_column), F.lit("")), F.col(id_column).cast("long")
-    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__id": F.coalesce(given, F.lit(0)), "__text": F.hash(whole, given.isNull())})
+    id_key, text_key = row_key(id_column, text_column)
+    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__id": id_key, "__text": text_key})
     found = marked.join(stay.withColumnsRenamed({"id_key": "__id", "text_key": "__text"}), ["__id", "__text"])
     found = found.withColumn("__row", F.when(F.col("__one"), F.lit(-1)).otherwise(F.col("__row")))
     return found.dropDuplicates(["__id", "__text", "__row"]).select(docs.columns)

@@ -25,13 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, cell_of, cell_rows, sliding_min, summed_cells, text_chunks
 
-_PACKED = "bucket long, pack binary, id_key long, text_key int, spans binary"
-_SPANS = "id_key long, text_key int, begin int, end int"
+_PACKED = "bucket long, pack binary, id_key long, text_key long, spans binary"
+_SPANS = "id_key long, text_key long, begin int, end int"
 
 
 @dataclass(frozen=True)
@@ -53,10 +53,15 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     (id_key, text_key) names a row by its id and a hash of its text, so that rows that share an id
     but not the text stay apart; equal rows have equal results."""
-    whole = F.coalesce(F.col(text_column), F.lit(""))
+    id_key, text_key = row_key(id_column, text_column)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), id_key.alias("id_key"), text_key.alias("text_key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+
+def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """The id (0 for null) and 64 bits of the text and of whether the id is null: of n texts under
+    one id, or none, about n * n / 2**65 pairs collide (2e-7 at 3 million)."""
     given = F.col(id_column).cast("long")
-    key = F.hash(whole, given.isNull())
-    return docs.select(given.alias("doc_id"), F.coalesce(given, F.lit(0)).alias("id_key"), key.alias("text_key"), whole.alias("text"))
+    return F.coalesce(given, F.lit(0)), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")), given.isNull())
 
 
 class _Symbols:
@@ -181,12 +186,12 @@ class _Folded:
             head = [lengths[some], groups[some].astype(np.uint32), offsets[some], np.where(own < 0, -1, begin[own])]
             own = own[own >= 0]
             head += [ids[own], keys[own]]
-            body = b"".join([*(x.astype(t).tobytes() for x, t in zip(head, ("<i4", "<u4", "<i4", "<i4", "<i8", "<i4"))), *(strings[i] for i in some.tolist())])
+            body = b"".join([*(x.astype(t).tobytes() for x, t in zip(head, ("<i4", "<u4", "<i4", "<i4", "<i8", "<i8"))), *(strings[i] for i in some.tolist())])
             out.append((int(bucket[some[0]]), struct.pack("<ii", len(some), len(own)) + self.squeeze.compress(body), None, None, None))
         self.clear()
         for i in range(0, len(out), 500):
             columns = list(zip(*out[i : i + 500]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "pack", "id_key", "text_key", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "pack", "id_key", "text_key", "spans"])
 
 
 def _joined(ids: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -232,7 +237,7 @@ def _unpacked(packs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
             return x
 
         lengths, group, offset, begin = take(n, "<i4"), take(n, "<u4"), take(n, "<i4"), take(n, "<i4")
-        ids, keys = take(own, "<i8"), take(own, "<i4")
+        ids, keys = take(own, "<i8"), take(own, "<i8")
         which = np.empty(n, np.int64)
         for i, (size, g, o, b) in enumerate(zip(lengths.tolist(), group.tolist(), offset.tolist(), begin.tolist())):
             k = number.setdefault(raw[at : at + size], len(number))
@@ -290,7 +295,7 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
                     spans = union(edges + np.array([0, width - 1])) + begin[j]
                     out.append(np.column_stack([np.full(len(spans), ids[j]), np.full(len(spans), keys[j]), spans]))
         found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        return pa.table([pa.array(found[:, i], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["id_key", "text_key", "begin", "end"])
+        return pa.table([pa.array(found[:, i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id_key", "text_key", "begin", "end"])
 
     sent = texts.select("id_key", "text_key", "text").mapInArrow(pack, _PACKED)
     return sent.groupBy("bucket").applyInArrow(open_bucket, _SPANS)

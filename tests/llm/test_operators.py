@@ -154,3 +154,17 @@ def test_spans_of_each_kind(spark):
     (row,) = personal.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     got = [(s.kind, text[s.start : s.end]) for s in row.spans if s.base]
     assert got == [("email", "ann.lee@mail.example.com"), ("email", "a_b@c.d"), ("email", "_x@y.zz"), ("ip", "10.1.2.3"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]
+
+
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_texts_under_one_id_stay_apart(spark, shared_id):
+    a = "a6949 " + " ".join(f"p{k}" for k in range(40))
+    b = "b48448 " + " ".join(f"q{k}" for k in range(60))
+    both = spark.createDataFrame([(shared_id, a), (shared_id, b)], "doc_id long, text string")
+    assert len({r[0] for r in both.select(F.hash("text", F.col("doc_id").isNull())).collect()}) == 1  # equal in 32 bits
+    assert {r.text for r in jaccard.keep_one(both).collect()} == {a, b}
+    assert sorted(r.n_shingles for r in jaccard.near_duplicates(both).collect()) == [39, 59]
+    three = both.unionByName(spark.createDataFrame([(shared_id, "c" + a[5:])], both.schema))
+    assert sorted((r.n_words, r.n_removed) for r in windows.remove_repeated_words(three).collect()) == [(41, 40), (41, 40), (61, 0)]
+    plan = windows.Plan(width=100, part=32, words=False, per_bucket=4_000_000)
+    assert {r.n_bytes: r.n_removed for r in windows.remove_repeated_bytes(three, plan).collect()}[len(b)] == 0
