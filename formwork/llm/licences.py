@@ -92,11 +92,14 @@ class Index:
         return out
 
     def retrieved(self, h: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, window's first shingle, its end) of all windows that share a band."""
+        """(template, window's first shingle, its end) of all windows that share a band.
+
+        Windows may reach beyond the last shingle, so that each shingle begins windows of all levels."""
         found: set[tuple[int, int, int]] = set()
         bands, factors = self.bands, self.bands.factors
+        beyond = np.full(1 << max(self.keys), 0xFFFFFFFF, np.uint32)
         for b in range(bands.bands):
-            least = [(h * f >> np.uint64(32)).astype(np.uint32) for f in factors[b * bands.rows : (b + 1) * bands.rows]]
+            least = [np.append((h * f >> np.uint64(32)).astype(np.uint32), beyond) for f in factors[b * bands.rows : (b + 1) * bands.rows]]
             step = 1
             for level in range(max(self.keys) + 1):
                 if level:
@@ -104,8 +107,8 @@ class Index:
                     stride = 2 if level > 3 else 1
                     least = [np.minimum(x[: max(0, len(x) - half)], x[half:])[::stride] for x in least]
                     step *= stride
-                if level in self.keys and len(least[0]):
-                    key = _band_keys(least, bands)[0]
+                if level in self.keys:
+                    key = _band_keys([x[: -(-len(h) // step)] for x in least], bands)[0]
                     for at in np.flatnonzero(self.marks[level][b][key >> np.uint64(48)]).tolist():
                         for i in self.keys[level][b].get(int(key[at]), ()):
                             found.add((i, at * step, at * step + (1 << level)))

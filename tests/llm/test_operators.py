@@ -168,3 +168,13 @@ def test_texts_under_one_id_stay_apart(spark, shared_id):
     assert sorted((r.n_words, r.n_removed) for r in windows.remove_repeated_words(three).collect()) == [(41, 40), (41, 40), (61, 0)]
     plan = windows.Plan(width=100, part=32, words=False, per_bucket=4_000_000)
     assert {r.n_bytes: r.n_removed for r in windows.remove_repeated_bytes(three, plan).collect()}[len(b)] == 0
+
+
+def test_each_licence_alone_in_its_chunk(spark):
+    notices = list(licences.TEMPLATES.items())
+    long = "word " * 210_000
+    alone = spark.sparkContext.parallelize([(i, t) for i, (_, t) in enumerate(notices)], len(notices)).toDF("doc_id long, text string")
+    between = [(-1, long), *(x for i, (_, t) in enumerate(notices) for x in ((i, t), (-1, long)))]
+    for table in (alone, spark.createDataFrame(between, "doc_id long, text string").coalesce(1)):
+        found = {(r.doc_id, r.licence) for r in licences.scan(table).collect() if r.containment == 1.0}
+        assert {(i, name) for i, (name, _) in enumerate(notices)} <= found
