@@ -8,7 +8,11 @@ the minimiser.  Equal windows have equal minimisers, so each bucket can be judge
 * The order of pieces puts frequent ones last: a sketch of fixed size counts all pieces of all
   documents, and pieces in cells with far more than their share come after all others.  A window
   that reaches beyond a common passage thus goes where its rarer part sends it, and no bucket
-  gathers the surroundings of a common passage.
+  gathers the surroundings of a common passage.  The sketch has more cells where there is more
+  input, so that what counts as frequent doesn't rise with it.
+* The strings that tasks would send are counted by minimiser.  Where there are more than
+  ``per_group``, the windows travel one by one and by a longer key, the hash of all their symbols,
+  so that a group of these holds copies of one window only.
 * Each task folds equal strings before the shuffle.  Strings it saw twice are settled there and
   travel once, without their places; the others travel with theirs.
 
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, cell_of, cell_rows, sliding_min, summed_cells, text_chunks
+from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, sliding_min, text_chunks, written
 
 _PACKED = "bucket long, pack binary, id_key long, text_key long, spans binary"
 _SPANS = "id_key long, text_key long, begin int, end int"
@@ -39,13 +43,15 @@ class Plan:
     """width: symbols of a window; part: of a minimiser; words: symbols are words, else bytes.
 
     per_bucket: symbols of input for each bucket, about; held: bytes of packed strings that a task
-    folds before it sends them."""
+    folds before it sends them.  per_group: strings of one minimiser beyond which its windows
+    travel one by one."""
 
     width: int
     part: int
     words: bool
     per_bucket: int
     held: int = 48 << 20
+    per_group: int = 20_000
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -95,27 +101,96 @@ class _Symbols:
         return self.rolling.of(self.starts[:n], self.ends[width - 1 :]) if n > 0 else np.zeros(0, np.uint64)
 
 
-def piece_counts(texts: DataFrame, plan: Plan) -> np.ndarray:
-    """How often pieces fall into each of the sketch's cells, over all documents."""
+def sketch_cells(symbols: int) -> int:
+    """Cells of the sketch: as many more as the input has more than 2**29 symbols, in powers of two.
+
+    The mean cell has 2**13 pieces at most, so that frequent pieces begin at 2**16 or below."""
+    return CELLS << max(0, (symbols - 1) >> 29).bit_length()
+
+
+def common_pieces(texts: DataFrame, plan: Plan, cells: int) -> tuple[np.ndarray, int]:
+    """Which cells of the sketch have far more than their share of all documents' pieces (packed
+    bits), and the number of pieces.
+
+    Cells are added up in blocks by the executors."""
+    shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(cells, np.uint32)
+        for _, chunk in text_chunks(batches, 512 << 10):
+            s = _Symbols(chunk, plan.words)
+            np.add.at(total, (s.hashes(plan.part)[s.inside(plan.part)] >> shift).astype(np.int64), np.uint32(1))
+        blocks = total.reshape(-1, 1 << 14)
+        packed = [zstandard.compress(x.tobytes(), 1) for x in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(1 << 14, np.int64)
+        for raw in rows.column("counts").to_pylist():
+            total += np.frombuffer(zstandard.decompress(raw), np.uint32)
+        return pa.table({"block": rows.column("block").slice(0, 1), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+    sums = written(texts.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary"))
+
+    def size(batches) -> Iterator[pa.RecordBatch]:
+        n = sum(int(np.frombuffer(zstandard.decompress(raw), np.int64).sum()) for x in batches for raw in x.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    pieces = int(sums.select("counts").mapInArrow(size, "n long").agg(F.sum("n")).first()[0] or 0)
+    most = max(64, 8 * pieces // cells)
+
+    def over(batches) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            bits = [np.packbits(np.frombuffer(zstandard.decompress(raw), np.int64) > most).tobytes() for raw in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(bits, pa.binary())], ["block", "bits"])
+
+    found = np.zeros(cells // 8, np.uint8)
+    for row in sums.mapInArrow(over, "block int, bits binary").collect():
+        found[row.block << 11 : (row.block + 1) << 11] = np.frombuffer(row.bits, np.uint8)
+    return found, pieces
+
+
+def hot_minimisers(texts: DataFrame, plan: Plan, bits: np.ndarray) -> np.ndarray:
+    """Sorted minimisers of which tasks would send more than ``plan.per_group`` strings.
+
+    A task counts the distinct strings of each; it leaves out counts below four, so that what is
+    missed is three strings a task at most."""
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        common, minimisers, strings, size = np.unpackbits(bits).astype(bool), [], [], 0
+
+        def counts() -> pa.RecordBatch:
+            none = [np.zeros(0, np.uint64)]
+            first = np.unique(np.concatenate(strings or none), return_index=True)[1]
+            which, often = np.unique(np.concatenate(minimisers or none)[first], return_counts=True)
+            some = often > 3
+            return pa.RecordBatch.from_arrays([pa.array(which[some].view(np.int64)), pa.array(often[some])], ["minimiser", "n"])
+
         for _, chunk in text_chunks(batches, 512 << 10):
             s = _Symbols(chunk, plan.words)
-            total += np.bincount(cell_of(s.hashes(plan.part)[s.inside(plan.part)]), minlength=CELLS)
-        yield cell_rows(total)
+            first, last, minimiser, _ = _runs(s, plan, common, np.zeros(0, np.uint64))
+            if len(first):
+                minimisers.append(minimiser)
+                strings.append(s.rolling.of(s.starts[first], s.ends[last + (plan.width - 2)]))
+                size += len(first)
+            if size > 4_000_000:
+                yield counts()
+                minimisers, strings, size = [], [], 0
+        yield counts()
 
-    return summed_cells(texts.select("text").mapInArrow(count, "block int, counts binary"))
+    rows = texts.select("text").mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).filter(F.col("n") > plan.per_group)
+    return np.sort(np.array([r.minimiser for r in rows.select("minimiser").collect()], np.int64).view(np.uint64))
 
 
-def _runs(s: _Symbols, plan: Plan, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(s: _Symbols, plan: Plan, common: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-k-mers: first window, the end of the windows, the minimiser's hash and its place
-    behind the first window's beginning."""
+    behind the first window's beginning.  Windows of ``hot`` minimisers stand alone, by their own hash."""
     ok = s.inside(plan.width)
     if not ok.any():
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     h = s.hashes(plan.part)
-    order = (h & np.uint64(0x7FFFFFFF)) | (common[cell_of(h)].astype(np.uint64) << np.uint64(31))
+    cell = (h >> np.uint64(64 - (len(common).bit_length() - 1))).astype(np.int64)
+    order = (h & np.uint64(0x7FFFFFFF)) | (common[cell].astype(np.uint64) << np.uint64(31))
     least = sliding_min((order << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), plan.width - plan.part + 1)
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at[~ok] = -1
@@ -123,7 +198,16 @@ def _runs(s: _Symbols, plan: Plan, common: np.ndarray) -> tuple[np.ndarray, np.n
     begins, ends = np.append(0, edge), np.append(edge, len(at))
     real = at[begins] >= 0
     begins, ends = begins[real], ends[real]
-    return begins, ends, h[at[begins]], at[begins] - begins
+    groups = h[at[begins]]
+    alone = np.isin(groups, hot)
+    if alone.any():
+        times = np.where(alone, ends - begins, 1)
+        alone, groups = np.repeat(alone, times), np.repeat(groups, times)
+        step = np.arange(len(groups)) - np.repeat(np.cumsum(times) - times, times)
+        begins, ends = np.repeat(begins, times) + step, np.repeat(ends, times)
+        ends[alone] = begins[alone] + 1
+        groups[alone] = s.hashes(plan.width)[begins[alone]]
+    return begins, ends, groups, at[begins] - begins
 
 
 class _Folded:
@@ -142,8 +226,8 @@ class _Folded:
         self.offsets: list[int] = []
         self.size = 0
 
-    def add(self, s: _Symbols, ids: np.ndarray, keys: np.ndarray, common: np.ndarray) -> None:
-        first, last, minimiser, offset = _runs(s, self.plan, common)
+    def add(self, s: _Symbols, ids: np.ndarray, keys: np.ndarray, common: np.ndarray, hot: np.ndarray) -> None:
+        first, last, minimiser, offset = _runs(s, self.plan, common, hot)
         if not len(first):
             return
         width, flat, number, groups, offsets = self.plan.width, s.flat, self.number, self.groups, self.offsets
@@ -262,16 +346,16 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
 
     ``judge(strings, groups, offsets)`` gets a bucket's distinct strings, each one's minimiser and
     where it stands, and returns, for strings that have them, a mask of the windows that another string shares."""
-    counts = piece_counts(texts, plan)
-    total = int(counts.sum())
-    common = counts > max(64, 8 * total // CELLS)
+    symbols = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits, total = common_pieces(texts, plan, sketch_cells(symbols))
+    hot = hot_minimisers(texts, plan, bits)
     buckets = max(1, -(-total // plan.per_bucket))
     width, words = plan.width, plan.words
 
     def pack(batches) -> Iterator[pa.RecordBatch]:
-        folded = _Folded(plan, buckets)
+        folded, common = _Folded(plan, buckets), np.unpackbits(bits).astype(bool)
         for part, chunk in text_chunks(batches, 512 << 10):
-            folded.add(_Symbols(chunk, words), arrow_column(part, "id_key"), arrow_column(part, "text_key"), common)
+            folded.add(_Symbols(chunk, words), arrow_column(part, "id_key"), arrow_column(part, "text_key"), common, hot)
             if folded.size > plan.held:
                 yield from folded.rows()
         yield from folded.rows()
@@ -474,7 +558,10 @@ def suffix_blocks(width: int, part: int, block: int = 100_000, step: int = 24) -
     as many rounds as its longest string has symbols."""
 
     def judge(strings: list[bytes], groups: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
-        begin, end = _may_share(strings, offsets, width, part, step)
+        _, group, members = np.unique(groups, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(members[group] > 1)  # equal windows share a group, and one string has none twice
+        begin, end = np.zeros((2, len(strings)), np.int64)
+        begin[several], end[several] = _may_share([strings[i] for i in several.tolist()], offsets[several], width, part, step)
         order = np.flatnonzero(end - begin >= width)
         _, which = np.unique(groups[order], return_inverse=True)
         longest = np.zeros(len(order), np.int64)

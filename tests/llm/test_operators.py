@@ -1,5 +1,6 @@
 """The operators against brute force and on odd tables."""
 
+import dataclasses
 import hashlib
 import re
 from collections import Counter
@@ -178,3 +179,33 @@ def test_each_licence_alone_in_its_chunk(spark):
     for table in (alone, spark.createDataFrame(between, "doc_id long, text string").coalesce(1)):
         found = {(r.doc_id, r.licence) for r in licences.scan(table).collect() if r.containment == 1.0}
         assert {(i, name) for i, (name, _) in enumerate(notices)} <= found
+
+
+@pytest.mark.parametrize("plan", [windows.WORD_PLAN, windows.BYTE_PLAN], ids=["words", "bytes"])
+def test_hot_groups_are_divided(spark, plan):
+    rng = np.random.default_rng(5)
+    symbols = lambda n: [f"{x:05d}" for x in rng.integers(0, 100_000, n)]
+    passage = symbols(90)
+    docs = {i: " ".join(symbols(70) + passage[i % 3 :] + symbols(70)).encode() for i in range(60)}
+    table = windows.keyed(spark.createDataFrame([(i, x.decode()) for i, x in docs.items()], "doc_id long, text string").coalesce(2))
+    least = dataclasses.replace(plan, per_group=20)
+    judge = windows.sorted_windows(plan.width) if plan.words else windows.suffix_blocks(plan.width, plan.part)
+
+    def watched(strings, groups, offsets):
+        if np.unique(groups, return_counts=True)[1].max(initial=0) > least.per_group:
+            raise ValueError("a hot group came whole")
+        return judge(strings, groups, offsets)
+
+    with pytest.raises(Exception, match="a hot group came whole"):
+        windows.repeated_spans(table, dataclasses.replace(plan, per_group=1 << 40), watched).collect()
+    covered = {i: set() for i in docs}
+    for r in windows.repeated_spans(table, least, watched).collect():
+        covered[r.id_key].update(range(r.begin, r.end))
+    texts = {i: tuple(x.split()) if plan.words else x for i, x in docs.items()}
+    count = Counter(s[k : k + plan.width] for s in texts.values() for k in range(len(s) - plan.width + 1))
+    assert covered == {i: {p for k in range(len(s) - plan.width + 1) if count[s[k : k + plan.width]] > 1 for p in range(k, k + plan.width)} for i, s in texts.items()}
+
+
+def test_frequent_pieces_begin_at_a_fixed_count():
+    assert windows.sketch_cells(1 << 20) == windows.sketch_cells(1 << 29) == 1 << 16
+    assert all(8 * n // windows.sketch_cells(n) <= 1 << 16 for n in (30 * 10**9, 3 * 10**12))
