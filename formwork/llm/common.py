@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of a word: a run without ASCII white space.
@@ -45,14 +45,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``text`` (null as empty) and ``text_key``, a hash of the text.
+#: Names of the columns that tell rows apart (``row_keys``).
+KEYS = ["key_a", "key_b"]
 
-    Rows that share an id but not a text stay apart by (id, text_key); rows that share both are
-    equal and get equal results.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.col(key).alias("doc_id"), F.xxhash64(whole).alias("text_key"), whole.alias("text"))
+
+def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's id, whether it has one, and text: rows that share an id, or
+    have none, stay apart by 128 bits; equal rows are equal."""
+    given, text = F.col(id_column).cast("string"), F.coalesce(F.col(text_column), F.lit(""))
+    return F.xxhash64(text, given, given.isNull()).alias("key_a"), F.xxhash64(F.lit("b"), given.isNull(), given, text).alias("key_b")
+
+
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, key_a, key_b, text``: a null text is empty, ids keep their type."""
+    return docs.select(F.col(id_column).alias("doc_id"), *row_keys(id_column, text_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    """A column's type as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
 
 
 # --------------------------------------------------------------------------- arrays in tasks

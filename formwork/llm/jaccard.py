@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, cell_of, cell_rows, summed_cells, text_chunks, written
+from formwork.llm.common import KEYS, Rolling, Texts, keyed, row_keys, text_chunks, type_of, written
 from formwork.llm.components import components
-from formwork.llm.windows import keyed, row_key
-
-_MANY = 0xFFFF
-_SLIM = "id_key long, text_key long, n_shingles long, digest binary, shared long"
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -43,102 +35,6 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def shared_counts(texts: DataFrame, n: int, parts: int, held: int = 1_000_000) -> DataFrame:
-    """For each text its number of shingles, a digest of the set, and how many of its shingles
-    other texts have, too (``shared``; a hash collision may raise it).
-
-    A column sum of the incidence matrix: each task sends, for each part of the shingle space, the
-    distinct shingles of some thousand texts, sorted and packed.  Shingles that two of these texts
-    have are settled there and travel without an owner, so a shingle that very many texts have
-    travels once for each pack.  What returns is one count for each text.
-    """
-
-    def pack(batches) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        number = 0
-        squeeze = zstandard.ZstdCompressor(level=1)
-        sets: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        size = 0
-
-        def send() -> pa.RecordBatch:
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            short = np.concatenate(sets) >> np.uint64(24)
-            order = np.argsort(short, kind="stable")
-            short, owner = short[order], owner[order]
-            first = np.append(True, short[1:] != short[:-1])[: len(short)]
-            alone = first & np.append(first[1:], True)[: len(short)]
-            local = np.bincount(owner[~alone], minlength=len(sets)).astype("<i4")
-            token, who = short[first], np.where(alone, owner, _MANY)[first].astype("<u2")
-            edges = np.searchsorted(token, (np.arange(parts + 1) * ((1 << 40) / parts)).astype(np.uint64))
-            edges[-1] = len(token)
-            head = [struct.pack("<i", len(sets)), np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(keys).astype("<i8").tobytes(), np.array([len(s) for s in sets], "<i4").tobytes(), local.tobytes()]
-            head += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            batch = (task << 24) + number
-            rows = [(-1 - batch, batch, squeeze.compress(b"".join(head)))]
-            for p in range(parts):
-                a, b = edges[p], edges[p + 1]
-                if b > a:
-                    steps = np.diff(token[a:b], prepend=np.uint64(0))
-                    wide = bool(steps.max() >= 1 << 32)
-                    body = struct.pack("<iib", len(sets), b - a, wide) + steps.astype("<u8" if wide else "<u4").tobytes() + who[a:b].tobytes()
-                    rows.append((p, batch, squeeze.compress(body)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "batch", "pack"])
-
-        for part, chunk in text_chunks(batches, 512 << 10):
-            new = shingle_sets(chunk, n)
-            sets += new
-            ids.append(arrow_column(part, "id_key"))
-            keys.append(arrow_column(part, "text_key"))
-            size += sum(map(len, new))
-            if size > held or len(sets) > 30_000:
-                yield send()
-                number += 1
-                sets, ids, keys, size = [], [], [], 0
-        if sets:
-            yield send()
-
-    def count(rows: pa.Table) -> pa.Table:
-        batch = rows.column("batch").to_pylist()
-        if rows.column("part")[0].as_py() < 0:
-            return pa.table({"batch": pa.array(batch, pa.int64()), "head": rows.column("pack"), "counts": pa.array([None] * len(batch), pa.binary())})
-        tokens, owners, sizes = [], [], []
-        for pack in rows.column("pack").to_pylist():
-            raw = zstandard.ZstdDecompressor().decompress(pack)
-            docs, m, wide = struct.unpack_from("<iib", raw)
-            tokens.append(np.cumsum(np.frombuffer(raw, "<u8" if wide else "<u4", m, 9), dtype=np.uint64))
-            owners.append(np.frombuffer(raw, "<u2", m, 9 + m * (8 if wide else 4)))
-            sizes.append(docs)
-        token = np.concatenate(tokens)
-        order = np.argsort(token, kind="stable")
-        same = np.diff(token[order]) == 0
-        again = np.empty(len(order), bool)
-        again[order] = np.append(same, False) | np.append(False, same)
-        counts, at = [], 0
-        for own, docs in zip(owners, sizes):
-            hit = own[again[at : at + len(own)]]
-            at += len(own)
-            counts.append(zstandard.compress(np.bincount(hit[hit != _MANY], minlength=docs).astype("<u4").tobytes(), 1))
-        return pa.table({"batch": pa.array(batch, pa.int64()), "head": pa.array([None] * len(batch), pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    def total(rows: pa.Table) -> pa.Table:
-        raw = zstandard.decompress(next(h for h in rows.column("head").to_pylist() if h is not None))
-        (docs,) = struct.unpack_from("<i", raw)
-        take = lambda kind, at: np.frombuffer(raw, kind, docs, at)
-        ids, keys, sizes, shared = take("<i8", 4), take("<i8", 4 + 8 * docs), take("<i4", 4 + 16 * docs), take("<i4", 4 + 20 * docs).astype(np.int64)
-        at = 4 + 24 * docs
-        for c in rows.column("counts").to_pylist():
-            if c is not None:
-                shared += np.frombuffer(zstandard.decompress(c), "<u4")
-        digests = [raw[at + 16 * i : at + 16 * i + 16] for i in range(docs)]
-        return pa.table([pa.array(ids), pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(shared)], ["id_key", "text_key", "n_shingles", "digest", "shared"])
-
-    packs = texts.select("id_key", "text_key", "text").mapInArrow(pack, "part long, batch long, pack binary")
-    counts = packs.groupBy("part").applyInArrow(count, "batch long, head binary, counts binary")
-    return counts.groupBy("batch").applyInArrow(total, _SLIM)
-
-
 def block_links(sets: list[np.ndarray], percent: int, columns: int = 2048) -> np.ndarray:
     """Which pairs of sets link: a boolean matrix, from the product of the incidence matrix and its
     transpose, some columns at a time.
@@ -193,143 +89,184 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     """Links documents whose ``n``-word shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns ``doc_id, n_shingles, component_id`` for each row: the size of its set and the smallest
-    id reachable by links, itself included.
+    id reachable by links, itself included.  Ids may be of any type that has an order.
+
+    Exact up to collisions of 64-bit hashes, and linear in the input but for what links:
 
-    Exact up to collisions of 64-bit hashes:
+    1. Equal sets are one node.
+    2. A node sends a slice of its shingles (``sample_of``).  Those of the slice that no other node
+       has bound what it can share; nodes that can't reach ``percent`` go.  In the order of how many
+       nodes have a shingle, rarest first, linked nodes share one of their first few (``prefixes``).
+    3. In each list of nodes with such a shingle all are held against one of them, its head, by
+       blocks of the sparse product (``linked``).  What links is one component, so groups of near
+       copies end here.
+    4. Lists that still have several components hold the nodes outside the largest against all
+       others of the list, where sizes and bounds allow a link.
 
-    1. Equal sets are one class.  A set can only link if ``percent`` of its shingles occur in other
-       sets, so column sums of the incidence matrix leave few classes (twice: over all documents,
-       then over one document for each class).
-    2. Linked sets share one of the first few of their shingles in any fixed order (rare cells of a
-       sketch first).  Sets that share one of those fall into clusters.
-    3. In clusters, blocks of the sparse product count overlaps.  A cluster of up to ``block`` sets
-       is one block; a larger one is divided by size class and salt, and only pairs of blocks whose
-       sizes can link are multiplied.  Each product returns the links of a spanning forest at most,
-       so no group is expanded into pairs, and components need no more.
+    Each product returns the links of a spanning forest at most, components need no more, and only
+    verified links make components.
 
     Documents without words (or null) are linked with nothing.  Rows that share an id are one node
-    for ``component_id``.  Null ids keep a null component unless they link with an id.  Very long
-    texts count whole; an empty table gives no rows; other columns are ignored.
+    for ``component_id`` only if their texts link.  Null ids keep a null component unless they link
+    with an id.  Very long texts count whole; an empty table gives no rows; other columns are ignored.
     """
-    texts = keyed(docs, id_column, text_column)
-    rows = _labelled(texts, *linked_classes(texts, n, percent, block)).select("id_key", "text_key", "n_shingles", "component_id")
-    out = texts.select("doc_id", "id_key", "text_key").join(rows, ["id_key", "text_key"])
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows, found = linked_classes(keyed(docs, id_column, text_column), n, percent, block)
+    return _labelled(rows, found).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group that ``near_duplicates`` links: the least id's.
 
     Equal rows are a group, rows that share an id but aren't linked are not; rows with a null id
-    only stand for a group without ids.  Documents without words stay, all of them."""
-    texts = keyed(docs, id_column, text_column)
-    rows = _labelled(texts, *linked_classes(texts, n, percent, block))
-    least = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(~F.col("given"), "id_key", "text_key")).alias("c"))
-    stay = least.select("c.id_key", "c.text_key", F.lit(True).alias("__one")).unionByName(rows.filter("component is null").select("id_key", "text_key", F.lit(False).alias("__one")))
-    id_key, text_key = row_key(id_column, text_column)
-    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__id": id_key, "__text": text_key})
-    found = marked.join(stay.withColumnsRenamed({"id_key": "__id", "text_key": "__text"}), ["__id", "__text"])
-    found = found.withColumn("__row", F.when(F.col("__one"), F.lit(-1)).otherwise(F.col("__row")))
-    return found.dropDuplicates(["__id", "__text", "__row"]).select(docs.columns)
+    only stand for a group without ids.  Documents without words stay, all of them.  Columns keep
+    their names, whatever they are."""
+    rows, found = linked_classes(keyed(docs, id_column, text_column), n, percent, block)
+    rows = _labelled(rows, found)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *KEYS)).alias("c")
+    stay = rows.filter("component is not null").groupBy("component").agg(first).select(*(f"c.{k}" for k in KEYS), F.lit(True).alias("one"))
+    stay = stay.unionByName(rows.filter("component is null").select(*KEYS, F.lit(False).alias("one")).distinct())
+    marked = docs.select(F.struct("*").alias("row"), *row_keys(id_column, text_column))
+    found = marked.join(stay.hint("merge"), KEYS).withColumn("number", F.when(F.col("one"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return found.dropDuplicates([*KEYS, "number"]).select("row.*")
+
+
+def sample_of(percent: int) -> float:
+    """The share of the shingle space that nodes send: more than the share a set can lack."""
+    return min(1.0, (100 - percent) / 100 * 2 + 0.03)
+
+
+def _sample_limit(percent: int) -> int:
+    return min((1 << 64) - 1, int(sample_of(percent) * 2.0**64))
+
+
+def _least_overlap(size: Column, percent: int) -> Column:
+    """What a set of this size has in common with any set it links with, at least."""
+    return F.ceil(size * percent / F.lit(100)).cast("int")
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes ``n`` and bounds ``most`` of two rows allow a link."""
+    need = F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    return F.least(f"{a}.most", f"{b}.most") * F.lit(100 + percent) >= need
+
+
+def sets_and_samples(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id``, keys, ``n_shingles, node, sample`` of each text.
+
+    ``node`` hashes the whole set.  ``sample`` are the least hashes, sorted: those below a fixed
+    bound (``sample_of``), and as many more as a prefix needs."""
+    limit = np.uint64(_sample_limit(percent))
+
+    def rows(batches) -> Iterator[pa.RecordBatch]:
+        for part, chunk in text_chunks(batches, 512 << 10):
+            sets = shingle_sets(chunk, n)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            take = [max(int(np.searchsorted(s, limit)), len(s) - -(-percent * len(s) // 100) + 1) if len(s) else 0 for s in sets]
+            digests = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
+            flat = np.concatenate([s[:k] for s, k in zip(sets, take)]).view(np.int64)
+            sample = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(flat))
+            kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", *KEYS)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(digests), sample], ["doc_id", *KEYS, "n_shingles", "node", "sample"])
+
+    return texts.mapInArrow(rows, f"doc_id {type_of(texts, 'doc_id')}, key_a long, key_b long, n_shingles long, node long, sample array<long>")
+
+
+def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, most``: shingles of which linked nodes share one, from ``node, n, sample``.
+
+    The order of all shingles: those below the sample's bound first, by how many nodes have them,
+    then the others by hash.  Shingles of one node alone come first and share nothing: they take
+    places of the prefix, and ``most`` is what remains of the set."""
+    limit = _sample_limit(percent)
+    below = F.col("token").between(0, limit - 1) if limit < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < limit - (1 << 64))
+    rows = nodes.select("node", "n", F.size("sample").alias("sent"), F.explode("sample").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    later = F.when(below, F.col("often")).otherwise(F.lit(1 << 60))
+    held = rows.join(often, "token").groupBy("node", "n", "sent").agg(F.sort_array(F.collect_list(F.struct(later.alias("often"), F.col("token")))).alias("shared"))
+    # Where a set has fewer shingles below the bound than its prefix is long, the prefix is all it sent.
+    places = F.col("n") - _least_overlap(F.col("n"), percent) + 1
+    alone = F.when(F.col("sent") > places, F.col("sent") - F.size("shared")).otherwise(F.lit(0))
+    held = held.withColumn("alone", alone).filter(F.col("n") - F.col("alone") >= _least_overlap(F.col("n"), percent))
+    first = F.slice("shared", 1, F.greatest(F.lit(0), places - F.col("alone")).cast("int"))
+    return held.select("node", "n", (F.col("n") - F.col("alone")).alias("most"), F.explode(first).alias("t")).select("t.token", "node", "n", "most")
 
 
 def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """For each text (``keyed``) its set's size and digest, and the components (node, component) of
-    the linked sets."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, size // (12 << 20))
-    slim = written(shared_counts(texts, n, parts))
-    may = f"n_shingles > 0 and 100 * shared >= {percent} * n_shingles"
-    chosen = written(slim.filter(may).groupBy("digest").agg(F.min(F.struct("id_key", "text_key")).alias("c")).select("c.*"))
-    some = written(texts.join(chosen, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]).select("id_key", "text_key", "text"))
-    left = shared_counts(some, n, max(1, parts // 4)).filter(may).select("id_key", "text_key", F.col("digest").alias("own"))
-    left = left.withColumn("node", F.xxhash64("own"))
-    schema = "node long, n int, tokens binary"
+    """For each text (``keyed``) ``doc_id``, keys, ``n_shingles, node``; and the components
+    (node, component) of the nodes that link."""
+    rows = written(sets_and_samples(texts, n, percent))
+    nodes = rows.filter("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "sample").dropDuplicates(["node"])
+    lists = written(prefixes(written(nodes), percent))
+    heads = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("head"), F.max("node").alias("last")).filter("head.node <> last")
+    lists = written(lists.join(heads, "token").drop("last"))
+    firsts = F.min(F.struct(*KEYS)).alias("c")
+    chosen = rows.join(lists.select("node").distinct(), "node").groupBy("node").agg(firsts).select("node", "c.*")
+    # Both sides grow with the input: neither is broadcast at any size.
+    some = texts.select(*KEYS, "text").join(chosen.hint("merge"), KEYS).dropDuplicates(KEYS).select("node", "text")
 
     def hashed(batches) -> Iterator[pa.RecordBatch]:
         for part, chunk in text_chunks(batches, 512 << 10):
             sets = shingle_sets(chunk, n)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
-
-    sets = written(some.join(left, ["id_key", "text_key"]).select("node", "text").mapInArrow(hashed, schema))
-
-    def cells(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            held = b"".join(batch.column(batch.schema.get_field_index("tokens")).to_pylist())
-            total += np.bincount(cell_of(np.frombuffer(held, np.uint64)), minlength=CELLS)
-        yield cell_rows(total)
-
-    often = np.log2(summed_cells(sets.select("tokens").mapInArrow(cells, "block int, counts binary")) + 1).astype(np.uint64)
-
-    def prefixes(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, first = [], []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.uint64)
-                take = len(s) - -(-percent * len(s) // 100) + 1
-                order = (often[cell_of(s)] << np.uint64(58)) | (s & np.uint64((1 << 58) - 1))
-                first.append(s[np.argsort(order, kind="stable")[:take]].view(np.int64))
-                nodes.append(np.full(len(first[-1]), node))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(first))], ["node", "token"])
-
-    at = sets.select("node", "tokens").mapInArrow(prefixes, "node long, token long")
-    heads = at.groupBy("token").agg(F.min("node").alias("head"), F.max("node").alias("tail")).filter("head <> tail").drop("tail")
-    cluster = components(at.join(heads, "token").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    tiles = _tiles(sets.join(cluster, "node").withColumnRenamed("component", "cluster"), percent, block)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+
+    sets = written(some.mapInArrow(hashed, "node long, tokens binary"))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    me = lists.select("token", "head", F.struct("node", "n", "most").alias("own"))
+    with_head = me.filter("own.node <> head.node").filter(_may_link("own", "head", percent)).select(F.col("head.node").alias("a"), F.col("own.node").alias("b")).distinct()
+    with_head = written(with_head)
+    links = written(linked(with_head, sets, percent, block))
+
+    label = components(links)
+    members = lists.join(label, "node", "left").select("token", "node", "n", "most", F.coalesce("component", "node").alias("component"))
+    shares = members.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("major"), F.count("*").alias("several")).filter("several > 1").drop("several")
+    mixed = written(members.join(shares, "token"))
+    left = mixed.filter("component <> major").select("token", "major", F.struct("node", "n", "most", "component").alias("l"))
+    right = mixed.select("token", F.struct("node", "n", "most", "component").alias("r"))
+    across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("major")) | (F.col("l.node") < F.col("r.node")))
+    others = left.join(right, "token").filter(across & _may_link("l", "r", percent)).select(*pair("l.node", "r.node")).distinct()
+    others = written(others.join(with_head.select(*pair("a", "b")), ["a", "b"], "left_anti"))
+    return rows.drop("sample"), components(links.unionByName(linked(others, sets, percent, block)))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) by which the pairs (a, b) that link are connected; ``sets`` (node, tokens).
+
+    A node and those it is paired with, ``block`` at a time, are one block of the sparse product;
+    small blocks travel together.  A node with very many partners is copied once for each block."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("partners"))
+    total = pairs.count()
+    bundles = F.lit(max(1, total // (2 * block)))
+    blocks = F.ceil(F.col("partners") / block).cast("int")
+    some = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), blocks).cast("int"))
+    own = counts.select("a", F.col("a").alias("node"), "partners", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"))
+    members = some.select("a", F.col("b").alias("node"), "partners", "part").unionByName(own)
+    alone = F.col("partners") > block // 4
+    tile = F.when(alone, F.xxhash64("a", "part")).otherwise(F.pmod(F.xxhash64("a"), bundles))
+    tiles = members.withColumn("tile", tile).join(sets, "node").select("tile", "a", "part", "node", "tokens")
 
     def link(rows: pa.Table) -> pa.Table:
-        group = rows.column("cluster").to_numpy()
-        node = rows.column("node").to_numpy()
+        group, part, node = (rows.column(c).to_numpy() for c in ("a", "part", "node"))
         tokens = rows.column("tokens").to_pylist()
-        order = np.lexsort((node, group))
-        cuts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-        a, b = [], []
+        order = np.lexsort((node, part, group))
+        cuts = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (np.diff(part[order]) != 0)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            if hi - lo > 1:
-                own = order[lo:hi]
-                label = _least_reachable(block_links([np.frombuffer(tokens[i], np.uint64) for i in own.tolist()], percent))
-                linked = np.flatnonzero(label != np.arange(len(label)))
-                a.append(node[own[linked]])
-                b.append(node[own[label[linked]]])
-        return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64()), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64), pa.int64())})
-
-    found = components(tiles.groupBy("tile").applyInArrow(link, "a long, b long"))
-    return slim, found
-
-
-def _tiles(nodes: DataFrame, percent: int, block: int) -> DataFrame:
-    """``nodes`` (cluster, node, n, tokens) with ``tile``, once for each product they are part of."""
-    width = math.log(100 / percent) if percent < 100 else 1.0
-    rows = nodes.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(width + 1e-9)).cast("int"))
-    counts = written(rows.groupBy("cluster", "class").agg(F.count("*").alias("members")))
-    sums = counts.groupBy("cluster").agg(F.sum("members").alias("all"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("members") / block).cast("int").alias("salts")))).alias("salts"))
-    rows = rows.join(sums, "cluster")
-    bundles = F.lit(max(1, (counts.agg(F.sum("members")).first()[0] or 0) // (4 * block)))
-    small = rows.filter(F.col("all") <= block).withColumn("tile", F.concat(F.lit("b"), F.pmod(F.xxhash64("cluster"), bundles).cast("string")))
-    salts = lambda c: F.coalesce(F.try_element_at("salts", c), F.lit(0))
-    own = F.pmod(F.xxhash64("node"), salts(F.col("class"))).cast("int")
-    numbers = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    name = lambda low, high, s, t: F.concat_ws(":", F.col("cluster"), low, high, s, t)
-    c, me = F.col("class"), F.col("me")
-    with_own = F.transform(numbers(salts(c)), lambda t: name(c, c, F.least(me, t), F.greatest(me, t)))
-    with_next = F.transform(numbers(salts(c + 1)), lambda t: name(c, c + 1, me, t))
-    with_last = F.transform(numbers(salts(c - 1)), lambda t: name(c - 1, c, t, me))
-    large = rows.filter(F.col("all") > block).withColumn("me", own)
-    large = large.withColumn("tile", F.explode(F.concat(with_own, with_next, with_last)))
-    columns = ["tile", "cluster", "node", "n", "tokens"]
-    return small.select(columns).unionByName(large.select(columns))
-
-
-def _labelled(texts: DataFrame, slim: DataFrame, found: DataFrame) -> DataFrame:
-    """For each key ``given, n_shingles, component, component_id``: classes of equal sets, tied
-    together by the links found; the last two are null without shingles."""
-    given = texts.select("id_key", "text_key", F.col("doc_id").isNotNull().alias("given")).distinct()
-    rows = slim.dropDuplicates(["id_key", "text_key"]).join(given, ["id_key", "text_key"])
-    rows = rows.withColumn("node", F.when(F.col("n_shingles") > 0, F.xxhash64("digest")))
-    lowest = rows.filter("node is not null").groupBy("node").agg(F.min(F.when(F.col("given"), F.col("id_key"))).alias("low"))
-    grouped = lowest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            own = order[lo:hi]
+            label = _least_reachable(block_links([np.frombuffer(tokens[i], np.uint64) for i in own.tolist()], percent))
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            a.append(node[own[linked]])
+            b.append(node[own[label[linked]]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    return tiles.groupBy("tile").applyInArrow(link, "a long, b long")
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``component`` and ``component_id``, its least id; both null without shingles."""
+    node = F.when(F.col("n_shingles") > 0, F.col("node"))
+    rows = rows.withColumn("node", node)
+    low = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    grouped = low.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     labels = grouped.join(least, "component").select("node", "component", "component_id")
-    return rows.join(labels, "node", "left").select("id_key", "text_key", "given", "n_shingles", "component", "component_id")
+    return rows.join(labels, "node", "left")

@@ -29,13 +29,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, sliding_min, text_chunks, written
+from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, keyed, sliding_min, text_chunks, type_of, written
 
-_PACKED = "bucket long, pack binary, id_key long, text_key long, spans binary"
-_SPANS = "id_key long, text_key long, begin int, end int"
+_PACKED = "bucket long, pack binary, key_a long, key_b long, spans binary"
+_SPANS = "key_a long, key_b long, begin int, end int"
 
 
 @dataclass(frozen=True)
@@ -54,22 +54,6 @@ class Plan:
     per_group: int = 20_000
 
 
-def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, id_key, text_key, text``: a null text is empty.
-
-    (id_key, text_key) names a row by its id and a hash of its text, so that rows that share an id
-    but not the text stay apart; equal rows have equal results."""
-    id_key, text_key = row_key(id_column, text_column)
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), id_key.alias("id_key"), text_key.alias("text_key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-
-
-def row_key(id_column: str, text_column: str) -> tuple[Column, Column]:
-    """The id (0 for null) and 64 bits of the text and of whether the id is null: of n texts under
-    one id, or none, about n * n / 2**65 pairs collide (2e-7 at 3 million)."""
-    given = F.col(id_column).cast("long")
-    return F.coalesce(given, F.lit(0)), F.xxhash64(F.coalesce(F.col(text_column), F.lit("")), given.isNull())
-
-
 class _Symbols:
     """The symbols of some texts: ``flat`` bytes, where each symbol starts and ends there, and
     which symbols (``low`` to ``high``) each text has."""
@@ -275,7 +259,7 @@ class _Folded:
         self.clear()
         for i in range(0, len(out), 500):
             columns = list(zip(*out[i : i + 500]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "pack", "id_key", "text_key", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "pack", "key_a", "key_b", "spans"])
 
 
 def _joined(ids: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -342,7 +326,7 @@ Judge = Callable[[list[bytes], np.ndarray, np.ndarray], dict[int, np.ndarray]]
 
 
 def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
-    """Spans of symbols covered by windows that occur twice: ``id_key, text_key, begin, end``.
+    """Spans of symbols covered by windows that occur twice: ``key_a, key_b, begin, end``.
 
     ``judge(strings, groups, offsets)`` gets a bucket's distinct strings, each one's minimiser and
     where it stands, and returns, for strings that have them, a mask of the windows that another string shares."""
@@ -355,7 +339,7 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
     def pack(batches) -> Iterator[pa.RecordBatch]:
         folded, common = _Folded(plan, buckets), np.unpackbits(bits).astype(bool)
         for part, chunk in text_chunks(batches, 512 << 10):
-            folded.add(_Symbols(chunk, words), arrow_column(part, "id_key"), arrow_column(part, "text_key"), common, hot)
+            folded.add(_Symbols(chunk, words), arrow_column(part, "key_a"), arrow_column(part, "key_b"), common, hot)
             if folded.size > plan.held:
                 yield from folded.rows()
         yield from folded.rows()
@@ -363,7 +347,7 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
     def open_bucket(rows: pa.Table) -> pa.Table:
         out: list[np.ndarray] = []
         if rows.column("bucket")[0].as_py() < 0:
-            for i, k, spans in zip(*(rows.column(c).to_pylist() for c in ("id_key", "text_key", "spans"))):
+            for i, k, spans in zip(*(rows.column(c).to_pylist() for c in ("key_a", "key_b", "spans"))):
                 pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
                 out.append(np.column_stack([np.full(len(pairs), i), np.full(len(pairs), k), pairs]))
         else:
@@ -379,9 +363,9 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
                     spans = union(edges + np.array([0, width - 1])) + begin[j]
                     out.append(np.column_stack([np.full(len(spans), ids[j]), np.full(len(spans), keys[j]), spans]))
         found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        return pa.table([pa.array(found[:, i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id_key", "text_key", "begin", "end"])
+        return pa.table([pa.array(found[:, i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key_a", "key_b", "begin", "end"])
 
-    sent = texts.select("id_key", "text_key", "text").mapInArrow(pack, _PACKED)
+    sent = texts.select("key_a", "key_b", "text").mapInArrow(pack, _PACKED)
     return sent.groupBy("bucket").applyInArrow(open_bucket, _SPANS)
 
 
@@ -593,13 +577,13 @@ BYTE_PLAN = Plan(width=200, part=32, words=False, per_bucket=4_000_000)
 
 def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """``texts`` with ``spans``: all of a text's spans, null without any."""
-    held = spans.groupBy("id_key", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return texts.join(held, ["id_key", "text_key"], "left")
+    held = spans.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return texts.join(held, ["key_a", "key_b"], "left")
 
 
 def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], counts: list[str]) -> DataFrame:
     """Apply ``cut(text, spans)``, which returns counts, the kept bytes and the spans removed."""
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", kept string, kept_sha256 string, removed array<struct<begin:int,end:int>>"
+    schema = f"doc_id {type_of(texts, 'doc_id')}, " + ", ".join(f"{c} long" for c in counts) + ", kept string, kept_sha256 string, removed array<struct<begin:int,end:int>>"
     pair = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def rows(batches) -> Iterator[pa.RecordBatch]:

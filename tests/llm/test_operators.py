@@ -187,7 +187,7 @@ def test_hot_groups_are_divided(spark, plan):
     symbols = lambda n: [f"{x:05d}" for x in rng.integers(0, 100_000, n)]
     passage = symbols(90)
     docs = {i: " ".join(symbols(70) + passage[i % 3 :] + symbols(70)).encode() for i in range(60)}
-    table = windows.keyed(spark.createDataFrame([(i, x.decode()) for i, x in docs.items()], "doc_id long, text string").coalesce(2))
+    table = common.keyed(spark.createDataFrame([(i, x.decode()) for i, x in docs.items()], "doc_id long, text string").coalesce(2))
     least = dataclasses.replace(plan, per_group=20)
     judge = windows.sorted_windows(plan.width) if plan.words else windows.suffix_blocks(plan.width, plan.part)
 
@@ -200,7 +200,7 @@ def test_hot_groups_are_divided(spark, plan):
         windows.repeated_spans(table, dataclasses.replace(plan, per_group=1 << 40), watched).collect()
     covered = {i: set() for i in docs}
     for r in windows.repeated_spans(table, least, watched).collect():
-        covered[r.id_key].update(range(r.begin, r.end))
+        covered[r.key_a].update(range(r.begin, r.end))
     texts = {i: tuple(x.split()) if plan.words else x for i, x in docs.items()}
     count = Counter(s[k : k + plan.width] for s in texts.values() for k in range(len(s) - plan.width + 1))
     assert covered == {i: {p for k in range(len(s) - plan.width + 1) if count[s[k : k + plan.width]] > 1 for p in range(k, k + plan.width)} for i, s in texts.items()}
