@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the table that ``written`` made; only once all that was read from it is written, too."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if folder.getName().startswith("stage-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def beside(rows: DataFrame, small: DataFrame, *on: str, how: str = "inner", most: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """``rows`` joined with ``small`` on columns ``on`` (nulls are equal).
+
+    ``small`` is broadcast only if it is counted to have up to ``most`` rows and ``most_bytes`` of
+    text; else both sides are shuffled, and adaptive execution splits hot keys."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if f.dataType.typeName() == "string"]
+    n, held = small.agg(F.count("*"), F.sum(sum(texts, F.lit(0)))).first()
+    right = small.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on))
+    right = F.broadcast(right) if n <= most and (held or 0) <= most_bytes else right.hint("merge")
+    return rows.join(right, same, how).drop(*(f"_of_{c}" for c in on))
+
+
 #: Names of the columns that tell rows apart (``row_keys``).
 KEYS = ["key_a", "key_b"]
 
