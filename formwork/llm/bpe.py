@@ -7,6 +7,7 @@ import json
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import text_chunks
+from formwork.llm.common import text_chunks, type_of
 
 #: White space by Unicode, without the separators U+001C to U+001F that Python adds.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -33,6 +34,7 @@ class Merges:
     def __init__(self, pairs: dict[int, int], length: dict[int, int]):
         self.pairs, self.length = pairs, length
         self.lookahead = sufficient_lookahead(pairs, length)
+        self.longest = max(length.values(), default=1)
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a whole sequence, lowest rank first, leftmost first."""
@@ -51,21 +53,21 @@ class Merges:
     def stream(self, symbols: Iterable[int], step: int = 64) -> Iterator[int]:
         """Tokens of a sequence of any length, each once no later symbol can change it.
 
-        Holds ``lookahead + step`` symbols and one token: a boundary with ``lookahead`` known
-        symbols behind it is final, and nothing merges across a final boundary."""
+        Holds ``lookahead + longest token + step`` symbols at most: a boundary with ``lookahead``
+        known symbols behind it is final, nothing merges across a final boundary, and the first
+        boundary lies within the longest token, so that each time something leaves."""
         held: list[int] = []
-        for s in symbols:
-            held.append(s)
-            if len(held) >= self.lookahead + step:
-                tokens, end, safe = self.merge(list(held)), 0, len(held) - self.lookahead
-                for t in tokens:
-                    if end + self.length[t] > safe:
+        room, length = self.lookahead + self.longest + step, self.length
+        for part in batched(symbols, step):
+            held += part
+            if len(held) >= room:
+                end, safe = 0, len(held) - self.lookahead
+                for t in self.merge(list(held)):
+                    if end + length[t] > safe:
                         break
-                    end += self.length[t]
+                    end += length[t]
                     yield t
                 held = held[end:]
-                if not end:
-                    step *= 2
         yield from self.merge(held)
 
 
@@ -128,6 +130,7 @@ class Tokenizer:
         self.merges = Merges(pairs, length)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.named = {i: b" " + t.encode() for i, t in self.names.items()}
         self.bytes = {i: b"" for i in self.special.values()}
         back = {c: b for b, c in letters.items()}
         for t, i in vocab.items():
@@ -154,13 +157,12 @@ class Tokenizer:
             yield from self.split.findall(part)
 
     def _tokens(self, word: str) -> bytes:
-        """A word's ids.  A word within the lookahead leaves the transducer only at its end."""
+        """A word's ids, by the transducer."""
         raw = word.encode("utf-8")
         inner = self.inner
         symbols = [inner[b] for b in raw]
         symbols[-1] = self.final[raw[-1]]
-        ids = self.merges.merge(symbols) if len(symbols) <= self.merges.lookahead else list(self.merges.stream(symbols))
-        return np.array(ids, np.int32).tobytes()
+        return np.fromiter(self.merges.stream(symbols), np.int32).tobytes()
 
     def encode(self, text: str, keep: int = 400_000) -> bytes:
         """Token ids as int32 bytes.  Up to ``2 * keep`` words' tokens are remembered."""
@@ -182,24 +184,28 @@ class Tokenizer:
 
 
 class Decoder:
-    """Turns ids to text one at a time.
+    """Turns ids to text, some at a time: an incremental byte-to-text state machine.
 
-    ``joined``: as the file says (it names no decoder), token names with a space between two.
-    Otherwise bytes: a state machine that gives text as soon as a character's bytes are complete,
-    and U+FFFD for bytes that form none."""
+    Each id gives bytes, and text leaves as soon as a character's bytes are complete; bytes that
+    form none become U+FFFD.  ``joined``: the bytes are those of token names with a space between
+    two, as the library has it for files that name no decoder; otherwise those the tokens stand for."""
 
     def __init__(self, tokenizer: Tokenizer, joined: bool = True):
-        self.tokenizer, self.joined, self.begun = tokenizer, joined, False
+        self.of, self.joined, self.begun = tokenizer.named if joined else tokenizer.bytes, joined, False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: int) -> str:
-        if self.joined:
-            begun, self.begun = self.begun, True
-            return " " * begun + self.tokenizer.names[token]
-        return self.state.decode(self.tokenizer.bytes[token])
+    def feed(self, tokens: Iterable[int]) -> str:
+        raw = b"".join(map(self.of.__getitem__, tokens))
+        if self.joined and raw and not self.begun:
+            self.begun, raw = True, raw[1:]
+        return self.state.decode(raw)
 
     def end(self) -> str:
-        return "" if self.joined else self.state.decode(b"", final=True)
+        return self.state.decode(b"", final=True)
+
+    def text(self, ids: list[int], step: int = 4096) -> str:
+        """The whole text of ``ids``, fed ``step`` at a time."""
+        return "".join([*map(self.feed, batched(ids, step)), self.end()])
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -215,10 +221,10 @@ def loaded(path: str) -> Tokenizer:
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, ids``: the token ids of each whole text, without added special tokens.
 
-    ``path`` is the tokenizer's file, at the same place on each executor.  Words go through a
+    ``path`` is the tokenizer's file, at the same place on each executor.  Every word goes through a
     transducer with bounded lookahead (``Merges.stream``), so a word of any length needs constant
-    memory.  A null text is empty and has no ids; repeated rows stay; an empty table gives no rows;
-    other columns are ignored.
+    memory beside its ids; a word seen before is looked up.  A null text is empty and has no ids;
+    ids keep their type; repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
@@ -230,7 +236,8 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     whole = F.coalesce(F.col(text_column), F.lit("")).alias("text")
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), whole).mapInArrow(rows, "doc_id long, ids array<int>")
+    texts = docs.select(F.col(id_column).alias("doc_id"), whole)
+    return texts.mapInArrow(rows, f"doc_id {type_of(texts, 'doc_id')}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, joined: bool = True) -> DataFrame:
@@ -243,11 +250,7 @@ def decode(encoded: DataFrame, path: str, joined: bool = True) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = []
-                for ids in part.column(1):
-                    machine = Decoder(tokenizer, joined)
-                    ids = ids.values.to_pylist() if ids.is_valid else []
-                    texts.append(" ".join(map(tokenizer.names.__getitem__, ids)) if joined else "".join(map(machine.feed, ids)) + machine.end())
+                texts = [Decoder(tokenizer, joined).text(ids.values.to_pylist() if ids.is_valid else []) for ids in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(rows, f"doc_id {type_of(encoded, 'doc_id')}, ids array<int>, decoded string")
