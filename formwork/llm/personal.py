@@ -1,6 +1,10 @@
 """Personal data: labelers vote on candidate spans, expectation-maximisation weighs the labelers,
 and a classifier trained on its verdicts decides.
 
+Candidates are what the base patterns find, which always stays, and other spellings: addresses
+spelled out, IPv6, numbers with other separators, local telephone numbers, and secrets (long keys
+of mixed letters and digits), which stay only if the classifier says so.
+
 DataFrame functions only; the driver sees counts of vote patterns, at most 3 ** 5 for each kind.
 """
 
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from formwork.llm.common import written
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("shape", "gazetteer", "check", "context", "edge")
 
 # Java patterns.  Those of the base kinds find what the plain patterns of the contract find,
@@ -38,21 +42,25 @@ LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?[(\[{]at[)\]}] ?| at )[a-z0-9-]++(?:(?: ?[(\[{]dot[)\]}] ?| dot )[a-z0-9-]++)++",
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
     "card": r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/])",
-    "phone": r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ ./-]|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z.-])",
+    "phone": r"(?<![0-9A-Za-z+.(-])(?<!\+[0-9]{1,3} )(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ ./-]|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z.-])",
+    "secret": r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=.-])",
 }
-LOOSE_HINT = {"email": r"(?i)[(\[{ ]dot[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}", "phone": r"[0-9][ ).-]{1,2}[0-9]{3,4}[ .-][0-9]{3}"}
+LOOSE_HINT = {"email": r"(?i)[(\[{ ]dot[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}", "phone": r"[0-9][ ).-]{1,2}[0-9]{3,4}[ .-][0-9]{3}", "secret": r"[0-9][A-Za-z0-9_+/-]{9}"}
 
 #: Gazetteers (fixed values): top-level domains, calling codes, first digits of card issuers.
 DOMAINS = r"(?i)[.\]) ](?:com|org|net|edu|gov|int|mil|info|io|co|de|fr|es|it|nl|be|at|ch|uk|us|eu|ca|au|jp|cn|br|mx|ar|pt|pl|se|no|dk|fi|example|test)$"
 CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1368]|35[1-9]|37[0-9]|38[0-9]|42[01]|[2-9][0-9]{2})|^\(|^0"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[4-9]|6)"
+SECRETS = r"^(?:sk|pk|rk|gh[opsu]|xox[abps]|glpat|AKIA|ASIA|AIza|ya29|eyJ|npm|hf|dop_v1)[-_A-Z0-9a-z]"
 #: Words before a span (fixed values), in the four languages of the tables and in general use.
 FRIENDS = {
     "email": r"(?i)(?:mail|contact|kontakt|correo|courriel|schreib|write|escrib)[^\n]{0,16}$",
     "ip": r"(?i)(?:\bip\b|address|adresse|direcci|server|serveur|servidor|host)[^\n]{0,16}$",
     "card": r"(?i)(?:card|karte|carte|tarjeta|visa|mastercard|amex|credit|kredit)[^\n]{0,16}$",
     "phone": r"(?i)(?:phone|tel|call|fax|mobil|handy|móvil|ruf|appel|llam)[^\n]{0,16}$",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credential|auth)[\"' ]{0,2}(?:[:=]|is)?[\"' ]{0,3}$",
 }
+NO_SECRETS = r"(?i)(?:sha(?:1|256|512)?|md5|commit|revision|checksum|digest|etag|https?:|file|path|isbn|version|build)[^\n]{0,12}$"
 STRANGERS = r"(?i)(?:version|release|v\.|isbn|issn|token|secret|key|hash|serial|sku|section|\bart\.|§)[^\n]{0,12}$"
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -109,14 +117,23 @@ def _votes(kind: str, loose: bool, hit: Column) -> Column:
         valid = n.between(13, 19) & F.call_function("luhn_check", digits)
         known, unknown = digits.rlike(ISSUERS), ~digits.rlike(ISSUERS)
         good, wrong = F.call_function("luhn_check", digits), ~F.call_function("luhn_check", digits)
-    else:
+    elif kind == "phone":
         valid = n.between(9, 15)
         known, unknown = match.rlike(CODES), ~match.rlike(CODES)
         good, wrong = n.between(9, 15), ~n.between(9, 15)
+    else:  # Random keys mix their letters and digits; names and paths have words.
+        valid = never
+        letters = F.length(F.regexp_replace(match, "[^A-Za-z]", ""))
+        known, unknown = match.rlike(SECRETS), match.rlike(r"[a-z]{7}|[A-Z]{9}|(?:[A-Za-z]{3,}[/_-]){2}")
+        good = (n * 10 >= F.length(match)) & (letters * 10 >= F.length(match)) & (F.size(F.array_distinct(F.split(match, ""))) >= 10)
+        wrong = ~good
     base = never if loose else valid
     shape = _vote(base, never if loose else ~valid)
     glued = before.rlike(r"[\p{L}\p{N}_=/]$") | after.rlike(r"^(?:[\p{L}\p{N}_=/]|\.[0-9])")
-    context = _vote(before.rlike(FRIENDS[kind]), before.rlike(STRANGERS))
+    context = _vote(before.rlike(FRIENDS[kind]), before.rlike(NO_SECRETS if kind == "secret" else STRANGERS))
+    if kind == "secret":
+        shape = _vote(match.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | (match.rlike("[a-z]") & match.rlike("[A-Z]") & good), match.rlike(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|/"))
+        glued = ~(before.rlike(r"[\"'`= ]$") & after.rlike(r"^(?:[\"'`\s.,;)]|$)"))
     names = (shape, _vote(known, unknown), _vote(good, wrong), context, _vote(~glued, glued))
     return F.struct(
         F.lit(KINDS.index(kind)).cast("byte").alias("kind"),
@@ -132,6 +149,8 @@ def candidates(text: Column) -> Column:
     found = []
     for kind in KINDS:
         for loose, patterns, hints in ((False, BASE, HINT), (True, LOOSE, LOOSE_HINT)):
+            if kind not in patterns:
+                continue
             pattern = F.lit(patterns[kind])
             hits = F.regexp_extract_all(text, pattern, F.lit(0))
             gaps = F.split(text, patterns[kind], -1)
@@ -234,16 +253,17 @@ def find(docs: DataFrame, threshold: float = 0.5, id_column: str = "doc_id", tex
     gives no rows.  Other columns are ignored.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    found = written(docs.select(F.col(id_column).cast("long").alias("doc_id"), candidates(text).alias("candidates")))
+    found = written(docs.select(F.col(id_column).alias("doc_id"), candidates(text).alias("candidates")))
     return found.select("doc_id", decide(F.col("candidates"), fit(found), threshold).alias("spans"))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
     """``docs`` with each span in the text replaced by its kind in angle brackets.
 
-    Overlapping spans are replaced together, by the kind of the first.  A null text stays null."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    model = fit(docs.select(candidates(text).alias("candidates")))
+    Overlapping spans are replaced together, by the kind of the first.  A null text stays null;
+    columns keep their names and order, whatever they are.  The candidates are written once."""
+    held = written(docs.select(F.struct("*").alias("row"), candidates(F.coalesce(F.col(text_column), F.lit(""))).alias("candidates")))
+    text = F.col("row")[text_column]
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]
@@ -252,7 +272,8 @@ def redact(docs: DataFrame, threshold: float = 0.5, text_column: str = "text") -
         return F.struct(pieces.alias("pieces"), F.greatest(done["at"], s["end"]).alias("at"))
 
     begin = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("at"))
-    order = F.sort_array(F.transform(F.col("__spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.sort_array(F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     new = F.aggregate(order, begin, step, lambda done: F.concat(F.array_join(done["pieces"], ""), F.substring(text, done["at"] + 1, F.length(text))))
-    rows = docs.withColumn("__spans", decide(candidates(text), model, threshold))
-    return rows.withColumn(text_column, F.when(F.size("__spans") > 0, new).otherwise(F.col(text_column))).drop("__spans")
+    rows = held.select("row", decide(F.col("candidates"), fit(held), threshold).alias("spans"))
+    kept = [F.when(F.size("spans") > 0, new).otherwise(text).alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.select(*kept)
