@@ -22,7 +22,9 @@ Words are runs without ASCII white space.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -433,73 +435,174 @@ def sorted_windows(width: int) -> Judge:
     return judge
 
 
-def column_wise(strings: list[bytes], width: int) -> list[np.ndarray]:
+class _Sequences:
+    """The transform, the common prefixes and the owners of rows, as files that are read and
+    written from their beginning to their end, some rows at a time."""
+
+    KINDS = ("symbol", "common", "owner")
+
+    def __init__(self, folder: str, kinds: tuple, piece: int):
+        self.kinds, self.piece, self.rows = kinds, piece, 0
+        self.files, self.other = ([open(f"{folder}/{name}-{k}", "w+b", buffering=0) for name in self.KINDS] for k in "ab")
+
+    def pieces(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, arrays of these names) for all rows."""
+        which = [self.KINDS.index(name) for name in names]
+        for i in which:
+            self.files[i].seek(0)
+        for at in range(0, self.rows, self.piece):
+            yield at, [np.fromfile(self.files[i], self.kinds[i], min(self.piece, self.rows - at)) for i in which]
+
+    def replace(self, pieces: Iterator[list[np.ndarray]]) -> None:
+        """Write pieces of all three to the other files, which are then the ones that are read."""
+        rows = 0
+        for f in self.other:
+            f.seek(0)
+        for piece in pieces:
+            for f, x, k in zip(self.other, piece, self.kinds):
+                f.write(memoryview(x.astype(k, copy=False)).cast("B"))
+            rows += len(piece[0])
+        self.files, self.other, self.rows = self.other, self.files, rows
+
+    def close(self) -> None:
+        for f in (*self.files, *self.other):
+            f.close()
+
+
+def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[np.ndarray]:
     """For each string, which of its windows another window of the strings equals.
 
     The Burrows-Wheeler transform of the strings and the common prefixes of neighbours grow by one
     symbol of every string in each round, from the right: the suffix c·s stands where the symbol c
     before s stands among all symbols c, and has one more symbol in common with the suffix before
     it than there is in common between s and the last row before s that has c, too.  Rows are kept in
-    sequence and each round merges the new ones in one pass; a stable order of the transform's
-    symbols gives the ranks.  Common prefixes stop at ``width``.  At last a walk over the transform
-    tells which rows are whose.
+    sequence, in files of the task's own that live as long as this call: a round reads them once for
+    the places of the new rows and once to merge these in.  ``piece`` rows and one row of each
+    string are in memory.  Common prefixes stop at ``width``.
     """
     n = len(strings)
     lengths = np.fromiter(map(len, strings), np.int64, n)
+    out = [np.zeros(max(0, x - width + 1), bool) for x in lengths.tolist()]
+    if not n:
+        return out
     ends = np.cumsum(lengths)
     values, text = np.unique(np.frombuffer(b"".join(strings), np.uint8), return_inverse=True)
     text = (text + 1).astype(np.uint8 if len(values) < 255 else np.int16)  # 0 ends a string
-    small = np.uint8 if width < 256 else np.int32
-    every = np.arange(ends[-1] + n if n else 0, dtype=np.int32)
-    bwt, common = text[ends - 1], np.zeros(n + 1, small)
-    at, active = np.arange(n), np.arange(n)
-    for r in range(1, int(lengths.max(initial=0)) + 1):
-        keep = lengths[active] >= r
-        active, at = active[keep], at[keep]
-        size = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(size, np.int32)
-        rank[order] = every[:size]
-        j, symbol = rank[at], bwt[at]
-        new = n + j - np.count_nonzero(bwt == 0)
-        before, after = order[np.maximum(j - 1, 0)], order[np.minimum(j + 1, size - 1)]
-        above, under = (bwt[before] == symbol) & (j > 0), (bwt[after] == symbol) & (j + 1 < size)
-        up = np.where(above, np.minimum(_least(common, before + 1, at + 1, above) + 1, width), 0)
-        down = _least(common, at + 1, after + 1, under) + 1
-        old = np.ones(size + len(active) + 1, bool)
-        old[new] = False
-        later = np.flatnonzero(under & old[new + 1])
-        old = old[:-1]
-        wide, prefix = np.empty(len(old), bwt.dtype), np.empty(len(old) + 1, small)
-        wide[old] = bwt
-        wide[new] = np.where(lengths[active] > r, text[ends[active] - r - 1], 0)
-        prefix[:-1][old], prefix[-1] = common[:-1], 0
-        prefix[new] = up
-        prefix[new[later] + 1] = np.minimum(down[later], width)
-        bwt, common, at = wide, prefix, new
-    size = len(bwt)
-    shared = common[:-1] >= width
-    shared[:-1] |= shared[1:]
-    order = np.argsort(bwt, kind="stable")
-    step = np.empty(size, np.int64)
-    step[order] = np.arange(size) + n - np.count_nonzero(bwt == 0)
-    out = [np.zeros(max(0, x - width + 1), bool) for x in lengths.tolist()]
-    at, active = np.arange(n), np.arange(n)
-    for r in range(1, int(lengths.max(initial=0)) + 1):
-        keep = lengths[active] >= r
-        active, at = active[keep], step[at[keep]]
-        for i in active[shared[at]].tolist():
-            out[i][lengths[i] - r] = True
+    longest, symbols = int(lengths.max()), len(values) + 1
+    codes = np.int32 if n * (longest + 1) < 1 << 31 else np.int64
+    with tempfile.TemporaryDirectory(prefix="transform-") as folder:
+        held = _Sequences(folder, (text.dtype, np.uint8 if width < 256 else np.int32, codes), piece)
+        last = np.where(lengths > 0, text[np.maximum(ends - 1, 0)], 0)
+        every = np.arange(n) * (longest + 1)
+        held.replace([last[a : a + piece], np.zeros(min(piece, n - a)), every[a : a + piece]] for a in range(0, n, piece))
+        total = np.bincount(last, minlength=symbols)
+        at, active = np.arange(n), np.arange(n)
+        for r in range(1, longest + 1):
+            keep = lengths[active] >= r
+            active, at = active[keep], at[keep]
+            symbol, rank, up, down = _places(held, at, symbols, width)
+            new = n + (np.cumsum(total) - total - total[0])[symbol] + rank
+            order = np.argsort(new)
+            at, active, up, down = new[order], active[order], up[order], down[order]
+            added = np.where(lengths[active] > r, text[np.maximum(ends[active] - r - 1, 0)], 0)
+            held.replace(_merged(held, at, added, up, down, active * (longest + 1) + r))
+            total += np.bincount(added, minlength=symbols)
+        code = np.zeros(1, np.int64)
+        for _, (common, owner) in held.pieces("common", "owner"):
+            again = common >= width
+            shared = owner[again].tolist() + np.append(code, owner[:-1])[again].tolist()
+            code = owner[-1:]
+            for x in shared:
+                i, r = divmod(int(x), longest + 1)
+                out[i][lengths[i] - r] = True
+        held.close()
     return out
 
 
+def _places(held: _Sequences, at: np.ndarray, symbols: int, width: int) -> tuple[np.ndarray, ...]:
+    """For rows ``at`` (ascending): their symbol, how often rows before have it, and one more than
+    the common prefix with the last row before and with the next row behind that has it (0 without)."""
+    far, whole = 1 << 30, held.rows <= held.piece  # whole: nothing is carried from piece to piece
+    symbol, rank, up, down = (np.zeros(len(at), np.int64) for _ in range(4))
+    seen = np.zeros(symbols, np.int64)
+    since = np.full(symbols, far)  # least common prefix behind a symbol's last row
+    waits = np.full(symbols, -1)  # which of ``at`` is a symbol's last row
+    for begin, (row, common) in held.pieces("symbol", "common"):
+        lo, hi = np.searchsorted(at, [begin, begin + len(row)])
+        order = np.argsort(row, kind="stable")
+        counts = np.bincount(row, minlength=symbols)
+        base = np.cumsum(counts) - counts
+        if not whole:
+            there = np.flatnonzero(counts)
+            first, final = order[base[there]], order[base[there] + counts[there] - 1]
+            reach = np.minimum.accumulate(common)
+            least = np.minimum(since[there], reach[first])
+            waiting = waits[there] >= 0
+            down[waits[there[waiting]]] = np.minimum(least[waiting] + 1, width)
+            waits[there] = -1
+        place = at[lo:hi] - begin
+        if len(place):
+            own = row[place].astype(np.int64)
+            where = np.empty(len(row), np.int32)
+            where[order] = _numbers(len(row))
+            j = where[place]
+            symbol[lo:hi], rank[lo:hi] = own, seen[own] + j - base[own]
+            head, tail = j == base[own], j == base[own] + counts[own] - 1
+            ahead, behind = order[np.maximum(j - 1, 0)], order[np.minimum(j + 1, len(row) - 1)]
+            up[lo:hi] = np.where(head, 0, np.minimum(_least(common, ahead + 1, place + 1, ~head) + 1, width))
+            down[lo:hi] = np.where(tail, 0, np.minimum(_least(common, place + 1, behind + 1, ~tail) + 1, width))
+            if not whole:
+                carried = head & (seen[own] > 0)
+                up[lo:hi][carried] = np.minimum(np.minimum(since[own], reach[place]) + 1, width)[carried]
+                waits[own[tail]] = lo + np.flatnonzero(tail)
+        if not whole:
+            left = np.append(np.minimum.accumulate(common[::-1])[::-1].astype(np.int64), far)
+            since = np.minimum(since, left[0])
+            since[there] = left[final + 1]
+            seen += counts
+    return symbol, rank, up, down
+
+
+_counted = np.zeros(0, np.int32)
+
+
+def _numbers(n: int) -> np.ndarray:
+    global _counted
+    if len(_counted) < n:
+        _counted = np.arange(2 * n, dtype=np.int32)
+    return _counted[:n]
+
+
+def _merged(held: _Sequences, at: np.ndarray, symbol: np.ndarray, up: np.ndarray, down: np.ndarray, owner: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The rows with new ones, which stand at ``at`` (ascending) in the end."""
+    before = at - np.arange(len(at))  # the old row that each comes before
+    final = np.append(before[1:] != before[:-1], True) & (down > 0)
+    for begin, (row, common, code) in held.pieces(*held.KINDS):
+        stop = begin + len(row) + (begin + len(row) == held.rows)
+        lo, hi = np.searchsorted(before, [begin, stop])
+        next_to = lo + np.flatnonzero(final[lo:hi])
+        common[before[next_to] - begin] = down[next_to]
+        new = before[lo:hi] - begin + np.arange(hi - lo)
+        old = np.ones(len(row) + hi - lo, bool)
+        old[new] = False
+        wide = []
+        for kept, added in ((row, symbol), (common, up), (code, owner)):
+            x = np.empty(len(old), kept.dtype)
+            x[old], x[new] = kept, added[lo:hi]
+            wide.append(x)
+        yield wide
+
+
 def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Minimum of values[begin:end] where wanted, else 0."""
     out = np.zeros(len(begin), np.int64)
     some = np.flatnonzero(wanted)
     if len(some):
         some = some[np.argsort(begin[some], kind="stable")]
-        pairs = np.stack([begin[some], end[some]], axis=1).ravel()
+        pairs = np.empty(2 * len(some), np.int64)
+        pairs[::2], pairs[1::2] = begin[some], end[some]
+        if pairs.max() == len(values):
+            values = np.append(values, values[-1:])
         out[some] = np.minimum.reduceat(values, pairs)[::2]
     return out
 
@@ -581,10 +684,13 @@ def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(held, ["key_a", "key_b"], "left")
 
 
-def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], counts: list[str]) -> DataFrame:
-    """Apply ``cut(text, spans)``, which returns counts, the kept bytes and the spans removed."""
-    schema = f"doc_id {type_of(texts, 'doc_id')}, " + ", ".join(f"{c} long" for c in counts) + ", kept string, kept_sha256 string, removed array<struct<begin:int,end:int>>"
+def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], counts: list[str], whole: bool) -> DataFrame:
+    """Apply ``cut(text, spans)``, which returns counts and the kept bytes; ``whole``: with the kept
+    text and the spans removed, else their digest only leaves the task."""
+    schema = f"doc_id {type_of(texts, 'doc_id')}, " + ", ".join(f"{c} long" for c in counts) + ", kept_sha256 string" + ", kept string, removed array<struct<begin:int,end:int>>" * whole
     pair = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    kinds = [*(pa.int64() for _ in counts), pa.string(), *(pa.string(), pair)[: 2 * whole]]
+    names = ["doc_id", *counts, "kept_sha256", *("kept", "removed")[: 2 * whole]]
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch, chunk in text_chunks(batches, 8 << 20):
@@ -595,21 +701,18 @@ def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], count
                     v = spans.values
                     flat = union(np.stack([v.field("begin").to_numpy(), v.field("end").to_numpy()], axis=1))
                 numbers, kept = cut(text, flat)
-                out.append((*numbers, kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in flat.tolist()]))
-            columns = list(zip(*out))
-            arrays = [batch.column(batch.schema.get_field_index("doc_id"))]
-            arrays += [pa.array(c, pa.int64()) for c in columns[: len(counts)]]
-            arrays += [pa.array(columns[-3], pa.string()), pa.array(columns[-2], pa.string()), pa.array(columns[-1], pair)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *counts, "kept", "kept_sha256", "removed"])
+                more = (kept.decode("utf-8", "replace"), [{"begin": a, "end": b} for a, b in flat.tolist()]) if whole else ()
+                out.append((*numbers, hashlib.sha256(kept).hexdigest(), *more))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
 
     return texts.select("doc_id", "text", "spans").mapInArrow(rows, schema)
 
 
-def remove_repeated_words(docs: DataFrame, plan: Plan = WORD_PLAN) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, plan: Plan = WORD_PLAN, whole: bool = True) -> DataFrame:
     """Remove the words covered by windows (35 words) that also start anywhere else.
 
-    Returns ``doc_id, n_words, n_removed, kept, kept_sha256, removed`` for each row: ``kept`` are
-    the other words joined by one space, ``removed`` the maximal removed runs of words.
+    Returns ``doc_id, n_words, n_removed, kept_sha256`` and, if ``whole``, ``kept, removed`` for each
+    row: ``kept`` are the other words joined by one space, ``removed`` the maximal removed runs of words.
 
     Exact: super-k-mers go to their minimiser's bucket (see the module) where sorting counts the
     windows.  All copies of a window go, the first included.  Null, empty and blank texts have no
@@ -628,14 +731,14 @@ def remove_repeated_words(docs: DataFrame, plan: Plan = WORD_PLAN) -> DataFrame:
         return (len(words), len(words) - len(kept)), b" ".join(kept)
 
     spans = repeated_spans(texts, plan, sorted_windows(plan.width))
-    return _cut_rows(_with_spans(texts, spans), cut, ["n_words", "n_removed"])
+    return _cut_rows(_with_spans(texts, spans), cut, ["n_words", "n_removed"], whole)
 
 
-def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTE_PLAN) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTE_PLAN, whole: bool = True) -> DataFrame:
     """Remove the bytes covered by strings (200 bytes) that also start anywhere else.
 
-    Returns ``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, removed`` for each row.  The
-    digest is of the kept bytes; ``kept`` shows them as text (a character that a cut divided reads
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if ``whole``, ``kept, removed``
+    for each row.  The digest is of the kept bytes; ``kept`` shows them as text (a character that a cut divided reads
     as U+FFFD).
 
     Exact: the collection is divided by minimiser, and each part's multi-document suffix order is
@@ -655,4 +758,4 @@ def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTE_PLAN) -> DataFrame:
         return (len(text), len(text) - len(rest), len(spans)), rest
 
     spans = repeated_spans(texts, plan, suffix_blocks(plan.width, plan.part))
-    return _cut_rows(_with_spans(texts, spans), cut, ["n_bytes", "n_removed", "n_spans"])
+    return _cut_rows(_with_spans(texts, spans), cut, ["n_bytes", "n_removed", "n_spans"], whole)
