@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import Rolling, Texts, arrow_column, text_chunks
+from formwork.llm.common import Rolling, Texts, text_chunks, type_of
 
 #: Notices of common licences (fixed values).
 TEMPLATES = {
@@ -159,14 +159,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     """
     chosen = TEMPLATES if templates is None else templates
     names = list(chosen)
-    schema = "doc_id long, licence string, start_word long, end_word long, n_shingles long, shared long, containment double"
+    schema = "licence string, start_word long, end_word long, n_shingles long, shared long, containment double"
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         index = Index.of(chosen, bands)
         for part, chunk in text_chunks(batches, 1 << 20):
             t, h = _shingles(chunk)
-            ids, out = arrow_column(part, "doc_id"), defaultdict(list)
-            ids = part.column(0).to_pylist() if ids.dtype == object or part.column(0).null_count else ids.tolist()
+            ids, out = part.column(0).to_pylist(), defaultdict(list)
             for i, a, b in index.retrieved(h):
                 first, last = np.searchsorted(t.first, [a, min(b, len(h)) - 1], side="right") - 1
                 for text in range(int(first), int(min(last, len(chunk) - 1)) + 1):
@@ -178,8 +177,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
                     n = len(index.shingles[i])
                     found += [(ids[text], names[i], a - low, b - low + SHINGLE, n, shared, shared / n) for a, b, shared in _verified(h, low, min(high, len(h)), windows, index.shingles[i], containment)]
             columns = list(zip(*found)) if found else [()] * 7
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            kinds = (part.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "licence", "start_word", "end_word", "n_shingles", "shared", "containment"])
 
     whole = F.coalesce(F.col(text_column), F.lit("")).alias("text")
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), whole).mapInArrow(rows, schema)
+    texts = docs.select(F.col(id_column).alias("doc_id"), whole)
+    return texts.mapInArrow(rows, f"doc_id {type_of(texts, 'doc_id')}, {schema}")

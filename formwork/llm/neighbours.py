@@ -27,10 +27,19 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order, and their vectors divided by a power of two near the largest component.
+
+    That changes no cosine, and keeps squares within the range of doubles."""
     ids = table.column("vec_id").to_numpy()
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
-    return ids[order], np.ascontiguousarray(flat.reshape(len(ids), -1).astype(np.float64)[order])
+    rows = flat.reshape(len(ids), -1).astype(np.float64)[order]
+    return ids[order], np.ascontiguousarray(np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products by row, component after component."""
+    return np.cumsum(a * b, axis=1)[:, -1]
 
 
 def tile_search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int, float]]:
@@ -41,7 +50,7 @@ def tile_search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     pair stays if its upper bound reaches the k-th best of the lower bounds and exact values seen;
     what stays is computed from the vectors in double precision and goes through a heap.
     """
-    q_norm, c_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
+    q_norm, c_norm = np.sqrt(_dot(q, q)), np.sqrt(_dot(c, c))
     q_code, q_scale, q_len, q_err = quantised(q / q_norm[:, None])
     c_code, c_scale, _, c_err = quantised(c / c_norm[:, None])
     wide = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -63,7 +72,7 @@ def tile_search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
                 heap = best[a + i]
                 least = max(floor[i], heap[0][0] - 1e-12) if len(heap) == k else floor[i]
                 found = np.flatnonzero((near[i] + off[i] >= least) & ~own[i])
-                exact = (q[a + i] * c[b + found]).sum(axis=1) / (q_norm[a + i] * c_norm[b + found])
+                exact = _dot(q[a + i], c[b + found]) / (q_norm[a + i] * c_norm[b + found])
                 if len(found) > k:
                     keep = np.lexsort((c_ids[b + found], -exact))[:k]
                     found, exact = found[keep], exact[keep]
@@ -75,7 +84,7 @@ def tile_search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     return [(int(i), -j, score) for i, heap in zip(q_ids, best) for score, j in heap]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", candidate_block: int = 16384, query_block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", candidate_block: int = 16384, query_block: int = 16384) -> DataFrame:
     """The ``k`` rows nearest to each query row by cosine: ``query_id, rank, vec_id, score``.
 
     A block matrix join: candidates fall into blocks of about ``candidate_block`` rows, queries of
@@ -88,7 +97,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     equal length are compared.  With fewer than k candidates all are returned; an empty table gives
     no rows; other columns are ignored.  Equal vectors tie and go by id.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("vector"), is_query.alias("asks"))
+    rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).alias("vector"), is_query.alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks")).withColumn("dim", F.size("vector"))
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()

@@ -11,8 +11,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from formwork.llm.common import text_chunks
+from formwork.llm.common import text_chunks, type_of
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -111,14 +112,19 @@ def _severities(sample: list[tuple[int, Counter]]) -> list[int]:
 def fit(docs: DataFrame, labels: DataFrame, grade_column: str = "toxic", per_grade: int = 1500, most: int = 2000, id_column: str = "doc_id", text_column: str = "text") -> Ordinal:
     """Fit the model on labelled documents.
 
-    ``labels`` has ``id_column`` and a whole ``grade_column`` (0: clean, up to 9); where only 0 and 1
-    occur, positive rows are divided into two severities by how much they use typical words and stems.  Up to
-    ``per_grade`` labelled rows of each grade, least hash of the id first, are the sample: a bound
-    that doesn't grow with the data, so the sample's ids are broadcast and its word counts come to the driver.
+    ``labels`` has ``id_column`` and a whole ``grade_column`` (0: clean, up to 9), which are the
+    ordered grades.  Where only 0 and 1 occur, there are no labelled degrees: positive rows are
+    divided into two severities derived from how much they use typical words and stems, so that
+    grade 2 of such a model means "much of it", not a label.
+
+    Up to ``per_grade`` labelled ids of each grade, least hash first, are the sample, with one text
+    each (the one of least hash): a bound that doesn't grow with the data, so the sample's ids are
+    broadcast and its word counts come to the driver.  Of labels that disagree the least counts.
     The grades' shares in all labels correct the cuts.  Rows with a null id, grade or text don't
     count; without both a zero and a positive grade the model rejects nothing.
     """
     usable = labels.select(F.col(id_column).alias("of"), F.col(grade_column).cast("int").alias("grade")).filter("of is not null and grade between 0 and 9")
+    usable = usable.groupBy("of").agg(F.min("grade").alias("grade"))
     shares = {r.grade: r.n for r in usable.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if 0 not in shares or len(shares) < 2:
         return Ordinal()
@@ -133,9 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade_column: str = "toxic", per_gra
             columns = [part.column(0), part.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["of", "grade", "words", "counts"])
 
-    rows = docs.select(F.col(id_column).alias("of"), F.col(text_column).alias("text")).filter("text is not null").join(F.broadcast(some.dropDuplicates(["of"])), "of")
-    found = rows.select("of", "grade", "text").mapInArrow(counted, "of long, grade int, words array<string>, counts array<int>").collect()
-    sample = [(r.grade, Counter(dict(zip(r.words, r.counts)))) for r in sorted(found, key=lambda r: (r.of, r.words[:5]))]
+    rows = docs.select(F.col(id_column).alias("of"), F.col(text_column).alias("text")).filter("text is not null").join(F.broadcast(some), "of")
+    rows = rows.groupBy("of", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = rows.select("of", "grade", "text").mapInArrow(counted, f"of {type_of(rows, 'of')}, grade int, words array<string>, counts array<int>").collect()
+    sample = [(r.grade, Counter(dict(zip(r.words, r.counts)))) for r in sorted(found, key=lambda r: r.of)]
     return fit_sample(sample, shares, most)
 
 
@@ -173,19 +180,35 @@ def grade(docs: DataFrame, model: Ordinal, text_column: str = "text", prefix: st
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
     columns = [*docs.columns, *names]
-    marked = docs.withColumn("__text", F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{names[0]} double, {names[1]} int, {names[2]} boolean"])
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType()), StructField(names[2], BooleanType())])
+    at = docs.columns.index(text_column)
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            severity, grades = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words = word_counts(text)
-                p = model.above(words) if words else np.zeros(len(model.cuts))
-                severity.append(float(p.sum()))
-                grades.append(int((p >= 0.5).sum()))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            severity, grades = graded(model, batch.column(at))
             new = [pa.array(severity, pa.float64()), pa.array(grades, pa.int32()), pa.array([g > 0 for g in grades], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*kept, *new], columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], columns)
+
+    return docs.mapInArrow(rows, schema)
+
+
+def graded(model: Ordinal, texts: pa.Array) -> tuple[list[float], list[int]]:
+    """Expected severity and grade of each text."""
+    severity, grades = [], []
+    for text in texts.to_pylist():
+        words = word_counts(text or "")
+        p = model.above(words) if words else np.zeros(len(model.cuts))
+        severity.append(float(p.sum()))
+        grades.append(int((p >= 0.5).sum()))
+    return severity, grades
+
+
+def accepted(docs: DataFrame, model: Ordinal, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject (grade 0), all columns as they are."""
+    at = docs.columns.index(text_column)
+
+    def rows(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([g == 0 for g in graded(model, batch.column(at))[1]], pa.bool_()))
 
-    return marked.mapInArrow(rows, schema)
+    return docs.mapInArrow(rows, docs.schema)
