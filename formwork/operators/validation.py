@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
@@ -25,8 +26,9 @@ def condition(df: DataFrame, column: str, schema, names: dict | None = None) ->
 
 
 def json_condition(text: Column, schema, names: dict | None = None) -> Column:
-    """Whether a column of JSON text belongs to a schema; malformed text belongs to none."""
-    return variant.predicate(compile_schema(schema, names), F.try_parse_json(text))
+    """Whether a column of JSON text belongs to a schema; text that isn't exactly one JSON value
+    belongs to none."""
+    return variant.predicate(compile_schema(schema, names), variant.parsed(text))
 
 
 def field_conditions(df: DataFrame, schema, closed: bool = True, names: dict | None = None) -> dict[str, Column]:
@@ -156,15 +158,40 @@ def infer(df: DataFrame, most: int = 20) -> t.ObjectType:
 
 
 def infer_json(values: DataFrame, column: str) -> t.Type:
-    """The schema of a VARIANT column: what ``schema_of_variant_agg`` finds, as a type."""
-    found = values.agg(F.schema_of_variant_agg(F.col(column)).alias("s")).first().s
-    return _from_variant(found) if found else t.NEVER
-
-
-def _from_variant(text: str) -> t.Type:
-    """The type of Spark's description of a VARIANT."""
-    dt = T.DataType.fromDDL(text.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")) if "VARIANT" not in text else None
-    if dt is None:
-        return t.ANY
-    optional = lambda k: t.ObjectType(tuple(t.Field(f.name, optional(f.type), True) for f in k.fields)) if isinstance(k, t.ObjectType) else t.ListType(optional(k.item)) if isinstance(k, t.ListType) else k
-    return optional(from_spark(dt))
+    """The schema of a VARIANT column: what ``schema_of_variant_agg`` finds, as a type, with null
+    where values are null.
+
+    That description drops the nulls of a field that has other values, so a second pass looks for
+    nulls at each path of objects; elements of lists may always be null.  Every value belongs to the
+    result, but for floats that are infinite and integers beyond 64 bits."""
+    dt = _described(values.agg(F.schema_of_variant_agg(F.col(column)).alias("s")).first().s)
+    paths = list(_paths(dt, F.col(column)))
+    nulls = values.agg(*(F.max(sure(F.is_variant_null(v))).alias(f"n{i}") for i, (_, v) in enumerate(paths))).first()
+    if isinstance(dt, T.NullType) and not nulls.n0:
+        return t.NEVER
+    return _with_nulls(dt, (), {path for (path, _), has in zip(paths, nulls) if has})
+
+
+def _described(text: str) -> T.DataType:
+    """Spark's description of a VARIANT as a Spark type; quoted keys are left as they are."""
+    return T.DataType.fromDDL(re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: m[0] if m[0][0] == "`" else "STRUCT<", text))
+
+
+def _paths(dt: T.DataType, v: Column, path: tuple = ()):
+    yield path, v
+    if isinstance(dt, T.StructType):
+        held = F.try_variant_get(v, "$", "map<string,variant>")
+        for f in dt.fields:
+            yield from _paths(f.dataType, F.element_at(held, f.name), (*path, f.name))
+
+
+def _with_nulls(dt: T.DataType, path: tuple | None, nulls: set) -> t.Type:
+    """``path`` is None within lists, where all may be null."""
+    if isinstance(dt, T.StructType):
+        fields = [t.Field(f.name, _with_nulls(f.dataType, None if path is None else (*path, f.name), nulls), True) for f in dt.fields]
+        kind = t.ObjectType(tuple(sorted(fields, key=lambda f: f.name)))
+    elif isinstance(dt, T.ArrayType):
+        kind = t.ListType(_with_nulls(dt.elementType, None, nulls))
+    else:
+        kind = from_spark(dt)
+    return t.sum_of([kind, t.NULL]) if path is None or path in nulls else kind

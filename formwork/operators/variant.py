@@ -14,6 +14,17 @@ from formwork.schema import types as t
 _SPARK = {"bool": ("BOOLEAN", "boolean"), "int": ("BIGINT", "bigint"), "string": ("STRING", "string")}
 
 
+def parsed(text: Column) -> Column:
+    """The VARIANT of a text that holds exactly one JSON value, else NULL.
+
+    Spark's parser stops behind the first value of a text.  In an array with the text's own hash
+    behind it, anything that follows the value shows: the array has two elements only if the text is one value."""
+    mark = F.xxhash64(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    one = (F.try_variant_get(pair, "$[1]", "bigint") == mark) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(one, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def _get(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 

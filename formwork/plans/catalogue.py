@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formwork import streaming
+from formwork.functions import register
 from formwork.operators import validation as v
 from formwork.operators.expressions import sure
 from formwork.schema import order
 from formwork.schema.compile import compile_schema
-from formwork.sources import table
+from formwork.sources import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +60,9 @@ for _name, _table, _keys, _column, _schema, _sql in (
     ("f08_ends_with", "pages", "page_id", "url", '(string, endsWith(x, "1"))', "suffix(url, '1')"),
     ("f09_contains", "documents", "doc_id", "text", '(string, contains(x, " of "))', "contains(text, ' of ')"),
     ("f10_url", "pages", "page_id", "url", "(string, url(x))", r"regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+[^\s]*$')"),
+    ("f16_subtract", "lineitem", _LINE, "l_linenumber", "(int, x - 2 > 1)", "l_linenumber - 2 > 1"),
+    ("f17_divide", "lineitem", _LINE, "l_linenumber", "(int, x / 2 > 1.5)", "l_linenumber / 2 > 1.5"),
+    ("f18_minus", "lineitem", _LINE, "l_linenumber", "(int, -x + 7 < 4)", "7 - l_linenumber < 4"),
     ("f11_length_or_prefix", "documents", "doc_id", "text", '(string, len(x) < 500 || startsWith(x, "The "))', "(length(text) < 500 OR starts_with(text, 'The '))"),
 ):
     column_query(_name, _table, _keys, _column, _schema, _sql)
@@ -112,10 +116,28 @@ for _name, _schema, _pieces, _sql in (
     ("j10_sum", '{"v":(int)|(string)}', ('{"v":', (3, ["1", '"a"', "true"]), "}"), "event_id % 3 <> 2"),
     ("j11_literal_object", '{"kind":"a","n":(int, 0 <= x < 5000)}', ('{"kind":', (2, ['"a"', '"b"']), ',"n":', None, "}"), "event_id % 2 = 0 AND event_id < 5000"),
     ("j12_nested_optional", '{"a":(string),"b":({"a":(string),"b":(int)},optional)}', ('{"a":"x"', (3, ["", ',"b":{"a":"y","b":1}', ',"b":{"a":"y"}']), "}"), "event_id % 3 <> 2"),
+    ("j13_one_value", '{"a":(int)}', ('{"a":', None, "}", (7, ["", " x", "}", '{"b":2}', "],[2", ",1", " "])), "event_id % 7 IN (0, 6)"),
 ):
     text_query(_name, _schema, _joined(*_pieces), _sql_joined(*_pieces), f"({_sql})")
 
 
+def string_query(name: str, schema: str, pieces: tuple, sql_valid: str) -> None:
+    """Registers: events and whether a string made of each belongs to the schema."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, "events").select("event_id", _joined(*pieces)().alias("s"))
+        return df.withColumn("valid", sure(v.condition(df, "s", schema)))
+
+    QUERIES[name] = query
+    ORACLES[name] = f"SELECT event_id, {_sql_joined(*pieces)} AS s, ({sql_valid}) AS valid FROM events"
+
+
+string_query("f12_email", "(email)", ("user", None, (4, ["@mail.example.org", "@mail", "mail.org", "@a-b.c"])), "event_id % 4 IN (0, 3)")
+string_query("f13_uuid", "(uuid)", ("0000000", (2, ["0", "g"]), "-1234-5678-9abc-def012345678"), "event_id % 2 = 0")
+string_query("f14_ipv4", "(ipv4)", ("10.0.", (3, ["0", "256", "01"]), ".7"), "event_id % 3 = 0")
+string_query("f15_parsedate", '(string, parsedate(x, "yyyy-MM-dd"))', ("2024-", (3, ["01", "13", "2x"]), "-05"), "event_id % 3 = 0")
+
+
 def query(name: str, sql: str):
     """Registers a function and its SQL."""
 
@@ -136,6 +158,24 @@ def j02(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sure(v.json_condition(F.col("props"), '{"k":(int, 10 <= x <= 50)}')).alias("valid"))
 
 
+@query("f19_own_function", "SELECT p_partkey, p_size % 2 = 0 AS valid FROM part")
+def f19(spark, sf_dir):
+    """A function of the user's own, called by a schema."""
+    register("even", lambda x: x % 2 == 0)
+    df = table(spark, sf_dir, "part")
+    return df.select("p_partkey", sure(v.condition(df, "p_size", "(int, even(x))")).alias("valid"))
+
+
+@query("m01_map", "SELECT event_id, event_id % 4 IN (0, 2) AS valid FROM events")
+def m01(spark, sf_dir):
+    """A map as an object: required and optional keys, a wrong value, an unknown key."""
+    pairs = lambda *kv: F.map_from_arrays(F.array(*(F.lit(k) for k, _ in kv)), F.array(*(x for _, x in kv)))
+    one, two, big = F.lit(1).cast("long"), F.lit(2).cast("long"), F.col("event_id") + 100
+    held = F.element_at(F.array(pairs(("a", one)), pairs(("b", two)), pairs(("a", two), ("b", one)), pairs(("a", one), ("z", big))), (F.col("event_id") % 4).cast("int") + 1)
+    df = table(spark, sf_dir, "events").select("event_id", held.alias("m"))
+    return df.select("event_id", sure(v.condition(df, "m", '{"a":(int, x < 50),"b":(int,optional)}')).alias("valid"))
+
+
 CUSTOMER = '{"c_custkey":(int, x >= 1),"c_name":(string, len(x) > 0),"c_nationkey":(int, 0 <= x <= 24),"c_acctbal":(float, x >= 0),"c_mktsegment":(string, x in ["BUILDING","MACHINERY","FURNITURE"])}'
 _CUSTOMER_SQL = {"c_custkey": "c_custkey >= 1", "c_name": "length(c_name) > 0", "c_nationkey": "c_nationkey BETWEEN 0 AND 24", "c_acctbal": "c_acctbal >= 0", "c_mktsegment": "c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')"}
 LINEITEM = '{"l_orderkey":(int),"l_partkey":(int, x >= 1),"l_suppkey":(int, x >= 1),"l_linenumber":(int, 1 <= x <= 5),"l_quantity":(float, 1 <= x <= 50),"l_extendedprice":(float, x > 0),"l_discount":(float, 0 <= x < 0.1),"l_tax":(float, 0 <= x <= 0.08),"l_returnflag":(string, x in ["A","N"]),"l_linestatus":(string, x in ["F","O"])}'
@@ -231,8 +271,7 @@ _bound("s06_glb", order.glb, "l_linenumber BETWEEN 3 AND 4")
 @query("t01_stream", "SELECT event_id, event_type IN ('click', 'view') AND value >= 20 AS valid FROM events")
 def t01(spark, sf_dir):
     """The events as a stream, validated batch by batch into a table of the shared folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-stream-checks"
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = streaming.validated(stream, '{"event_type":(string, x in ["click","view"]),"value":(float, x >= 20)}', closed=False)

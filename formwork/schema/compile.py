@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from formwork.schema import types as t
 from formwork.schema.syntax import (
     COMPARISONS,
@@ -17,6 +19,7 @@ from formwork.schema.syntax import (
     Name,
     ObjectNode,
     Path,
+    Reader,
     SchemaError,
     SchemaNode,
     SumNode,
@@ -28,14 +31,31 @@ from formwork.schema.syntax import (
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
 #: Ranges of the sized integer names.
 SIZED = {f"int{n}": (-(1 << (n - 1)), (1 << (n - 1)) - 1) for n in (8, 16, 32, 64)} | {f"uint{n}": (0, (1 << n) - 1) for n in (8, 16, 32, 64)} | {"uint": (0, (1 << 63) - 1)}
-_ALIASES = {"number": "(float)", "uuid": "(string,uuid(x))", "email": "(string,email(x))", "url": "(string,url(x))"}
+_ALIASES = {"number": "(float)", "uuid": "(string,uuid(x))", "email": "(string,email(x))", "url": "(string,url(x))", "ipv4": "(string,ipv4(x))", "date": '(string,parsedate(x,"yyyy-MM-dd"))', "datetime": '(string,parsedate(x,"yyyy-MM-dd HH:mm:ss"))'}
+
+
+def located(method):
+    """Gives an error without a place that of the innermost node of the text it concerns."""
+
+    @functools.wraps(method)
+    def run(self, node, *args):
+        try:
+            return method(self, node, *args)
+        except SchemaError as e:
+            held = self.places.get(id(node))
+            if e.at is not None or held is None:
+                raise
+            raise SchemaError(str(e), held[1]) from None
+
+    return run
 
 
 class Compiler:
-    """Compiles nodes of one document; ``names`` are the user's own types, as nodes or text."""
+    """Compiles nodes of one document; ``names`` are the user's own types, as nodes or text;
+    ``places`` are the reader's, for errors."""
 
-    def __init__(self, root=None, names: dict | None = None):
-        self.root = root
+    def __init__(self, root=None, names: dict | None = None, places: dict | None = None):
+        self.root, self.places = root, places or {}
         self.names = {k: parse(v) if isinstance(v, str) else v for k, v in (_ALIASES | (names or {})).items()}
         self.open: list = []
 
@@ -48,6 +68,7 @@ class Compiler:
             raise SchemaError(f"optional doesn't belong to {where}")
         return found
 
+    @located
     def value(self, node) -> tuple[t.Type, bool]:
         match node:
             case Lit(kind, v):
@@ -91,9 +112,13 @@ class Compiler:
                 optional = said.value
         for c in node.clauses:
             if isinstance(c, Check):
-                base = constrained(base, c.expr)
+                base = self.checked(c, base)
         return base, bool(optional)
 
+    @located
+    def checked(self, check: Check, base: t.Type) -> t.Type:
+        return constrained(base, check.expr)
+
     def reference(self, ref) -> t.Type:
         if isinstance(ref, Name):
             if ref.name in t.KINDS:
@@ -142,8 +167,11 @@ def compile_schema(schema, names: dict | None = None) -> t.Type:
     """The canonical type of a schema: text, a syntax node, or a type as it is."""
     if isinstance(schema, t.Type):
         return schema
-    node = parse(schema) if isinstance(schema, str) else schema
-    return Compiler(node, names).whole(node)
+    if not isinstance(schema, str):
+        return Compiler(schema, names).whole(schema)
+    reader = Reader(schema)
+    node = reader.document()
+    return Compiler(node, names, reader.places).whole(node)
 
 
 # ----------------------------------------------------------------------------- constraints

@@ -131,10 +131,23 @@ _TOKEN = re.compile(
 )
 
 
+def _placed(method):
+    """Notes where in the text the node that a method reads begins."""
+
+    def read(self, *args):
+        at = self.tokens[self.i][2]
+        node = method(self, *args)
+        self.places.setdefault(id(node), (node, at))
+        return node
+
+    return read
+
+
 class Reader:
-    """Recursive descent over the tokens of one text."""
+    """Recursive descent over the tokens of one text; ``places``: nodes by identity, and where they begin."""
 
     def __init__(self, text: str):
+        self.places: dict[int, tuple[object, int]] = {}
         self.tokens: list[tuple[str, str, int]] = []
         at = 0
         while at < len(text):
@@ -187,6 +200,7 @@ class Reader:
         self.next("end")
         return node
 
+    @_placed
     def value(self):
         node = self.single()
         members = [node]
@@ -194,6 +208,7 @@ class Reader:
             members.append(self.single())
         return node if len(members) == 1 else SumNode(tuple(members))
 
+    @_placed
     def single(self):
         if self.take("("):
             return self.schema()
@@ -210,6 +225,7 @@ class Reader:
         self.need(":")
         return name, self.value()
 
+    @_placed
     def literal(self) -> Lit:
         if self.kind == "string":
             return Lit("string", json.loads(self.next("string")))
@@ -242,6 +258,7 @@ class Reader:
             parts.append(self.next("name"))
         return ".".join(parts)
 
+    @_placed
     def clause(self):
         start = self.i
         if self.kind == "name" and self.now not in ("x", "true", "false", "null"):
@@ -253,6 +270,7 @@ class Reader:
             self.i = start
         return Check(self.expr())
 
+    @_placed
     def expr(self, level: int = 0):
         if level == len(LEVELS):
             return self.unary()

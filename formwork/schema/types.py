@@ -145,7 +145,7 @@ def clean(value: Lit) -> Lit:
 
 
 def literal(value: Lit) -> Type:
-    return Literal(clean(value))
+    return NULL if value.kind == "null" else Literal(clean(value))
 
 
 def has_length(base: Type) -> bool:
@@ -210,6 +210,7 @@ def sum_of(members) -> Type:
     flat = sorted({m for m in flat if m != NEVER}, key=str)
     if ANY in flat:
         return ANY
+    flat = sorted(set(_united(flat)), key=str)
     while (joined := _join_once(flat)) is not None:
         flat = sorted(set(joined), key=str)
     if not flat:
@@ -217,6 +218,31 @@ def sum_of(members) -> Type:
     return flat[0] if len(flat) == 1 else SumType(tuple(flat))
 
 
+def _united(flat: list[Type]) -> list[Type]:
+    """Enums of one base as one, and intervals of numbers that touch as one: what would join pair
+    by pair, in the time of a sort."""
+    enums: dict[tuple, set] = {}
+    ranges: dict[tuple, list[Bounds]] = {}
+    out = []
+    for m in flat:
+        base, c = parts(m)
+        if c.enum is not None:
+            enums.setdefault((base, c.bounds, c.length, c.rest), set()).update(c.enum)
+        elif base in (INT, FLOAT) and c.length.free and not c.bounds.free:
+            ranges.setdefault((base, c.rest), []).append(c.bounds)
+        else:
+            out.append(m)
+    out += [refined(base, Constraint(bounds, length, frozenset(values), rest)) for (base, bounds, length, rest), values in enums.items()]
+    for (base, rest), held in ranges.items():
+        held.sort(key=lambda b: (b.low is not None, b.low or 0, b.low_open))
+        done = held[:1]
+        for b in held[1:]:
+            both = done[-1].joined(b, base == INT)
+            done[-1:] = [both] if both else [done[-1], b]
+        out += [refined(base, Constraint(b, rest=rest)) for b in done]
+    return out
+
+
 def _join_once(flat: list[Type]) -> list[Type] | None:
     from formwork.schema.order import is_subtype
 
