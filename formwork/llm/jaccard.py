@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import KEYS, Rolling, Texts, keyed, row_keys, text_chunks, type_of, written
+from formwork.llm.common import KEYS, Rolling, Texts, keyed, row_keys, dropped, text_chunks, type_of, written
 from formwork.llm.components import components
 
 
@@ -97,6 +97,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     2. A node sends a slice of its shingles (``sample_of``).  Those of the slice that no other node
        has bound what it can share; nodes that can't reach ``percent`` go.  In the order of how many
        nodes have a shingle, rarest first, linked nodes share one of their first few (``prefixes``).
+       The nodes that remain send all their shingles and are sifted in the same way.
     3. In each list of nodes with such a shingle all are held against one of them, its head, by
        blocks of the sparse product (``linked``).  What links is one component, so groups of near
        copies end here.
@@ -171,24 +172,26 @@ def sets_and_samples(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(rows, f"doc_id {type_of(texts, 'doc_id')}, key_a long, key_b long, n_shingles long, node long, sample array<long>")
 
 
-def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
+def prefixes(nodes: DataFrame, percent: int, whole: bool) -> DataFrame:
     """``token, node, n, most``: shingles of which linked nodes share one, from ``node, n, sample``.
 
-    The order of all shingles: those below the sample's bound first, by how many nodes have them,
-    then the others by hash.  Shingles of one node alone come first and share nothing: they take
-    places of the prefix, and ``most`` is what remains of the set."""
+    The order of all shingles: those below the sample's bound first (``whole``: all are), by how
+    many nodes have them, then the others by hash.  Shingles of one node alone come first and share
+    nothing: they take places of the prefix.  ``most`` bounds what a set can share if this shingle
+    is the first shared one: all that comes before isn't."""
     limit = _sample_limit(percent)
-    below = F.col("token").between(0, limit - 1) if limit < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < limit - (1 << 64))
+    below = F.lit(True) if whole else F.col("token").between(0, limit - 1) if limit < 1 << 63 else (F.col("token") >= 0) | (F.col("token") < limit - (1 << 64))
     rows = nodes.select("node", "n", F.size("sample").alias("sent"), F.explode("sample").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
     later = F.when(below, F.col("often")).otherwise(F.lit(1 << 60))
     held = rows.join(often, "token").groupBy("node", "n", "sent").agg(F.sort_array(F.collect_list(F.struct(later.alias("often"), F.col("token")))).alias("shared"))
     # Where a set has fewer shingles below the bound than its prefix is long, the prefix is all it sent.
     places = F.col("n") - _least_overlap(F.col("n"), percent) + 1
-    alone = F.when(F.col("sent") > places, F.col("sent") - F.size("shared")).otherwise(F.lit(0))
+    alone = F.when(F.lit(whole) | (F.col("sent") > places), F.col("sent") - F.size("shared")).otherwise(F.lit(0))
     held = held.withColumn("alone", alone).filter(F.col("n") - F.col("alone") >= _least_overlap(F.col("n"), percent))
     first = F.slice("shared", 1, F.greatest(F.lit(0), places - F.col("alone")).cast("int"))
-    return held.select("node", "n", (F.col("n") - F.col("alone")).alias("most"), F.explode(first).alias("t")).select("t.token", "node", "n", "most")
+    most = (F.col("n") - F.col("alone") - F.col("at")).alias("most")
+    return held.select("node", "n", "alone", F.posexplode(first).alias("at", "t")).select("t.token", "node", "n", most)
 
 
 def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -196,24 +199,30 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     (node, component) of the nodes that link."""
     rows = written(sets_and_samples(texts, n, percent))
     nodes = rows.filter("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "sample").dropDuplicates(["node"])
-    lists = written(prefixes(written(nodes), percent))
-    heads = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("head"), F.max("node").alias("last")).filter("head.node <> last")
-    lists = written(lists.join(heads, "token").drop("last"))
-    firsts = F.min(F.struct(*KEYS)).alias("c")
-    chosen = rows.join(lists.select("node").distinct(), "node").groupBy("node").agg(firsts).select("node", "c.*")
+    nodes = written(nodes)
+    lists = prefixes(nodes, percent, False)
+    several = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
+    candidates = written(lists.join(several, "token").select("node").distinct())
+    dropped(nodes)
+    chosen = rows.join(candidates, "node").groupBy("node").agg(F.min(F.struct(*KEYS)).alias("c")).select("node", "c.*")
     # Both sides grow with the input: neither is broadcast at any size.
     some = texts.select(*KEYS, "text").join(chosen.hint("merge"), KEYS).dropDuplicates(KEYS).select("node", "text")
 
     def hashed(batches) -> Iterator[pa.RecordBatch]:
         for part, chunk in text_chunks(batches, 512 << 10):
             sets = shingle_sets(chunk, n)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
-
-    sets = written(some.mapInArrow(hashed, "node long, tokens binary"))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array(sizes), tokens], ["node", "n", "tokens"])
+
+    sets = written(some.mapInArrow(hashed, "node long, n long, tokens array<long>"))
+    lists = prefixes(sets.select("node", "n", F.col("tokens").alias("sample")), percent, True)
+    lists = written(lists)
+    heads = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("head"), F.max("node").alias("last")).filter("head.node <> last").drop("last")
+    lists = written(lists.join(heads, "token"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    me = lists.select("token", "head", F.struct("node", "n", "most").alias("own"))
-    with_head = me.filter("own.node <> head.node").filter(_may_link("own", "head", percent)).select(F.col("head.node").alias("a"), F.col("own.node").alias("b")).distinct()
-    with_head = written(with_head)
+    me = lists.select("head", F.struct("node", "n", "most").alias("own")).filter("own.node <> head.node")
+    with_head = written(me.filter(_may_link("own", "head", percent)).select(*pair("head.node", "own.node")).distinct())
     links = written(linked(with_head, sets, percent, block))
 
     label = components(links)
@@ -224,7 +233,7 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     right = mixed.select("token", F.struct("node", "n", "most", "component").alias("r"))
     across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("major")) | (F.col("l.node") < F.col("r.node")))
     others = left.join(right, "token").filter(across & _may_link("l", "r", percent)).select(*pair("l.node", "r.node")).distinct()
-    others = written(others.join(with_head.select(*pair("a", "b")), ["a", "b"], "left_anti"))
+    others = written(others.join(with_head, ["a", "b"], "left_anti"))
     return rows.drop("sample"), components(links.unionByName(linked(others, sets, percent, block)))
 
 
@@ -246,13 +255,14 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
 
     def link(rows: pa.Table) -> pa.Table:
         group, part, node = (rows.column(c).to_numpy() for c in ("a", "part", "node"))
-        tokens = rows.column("tokens").to_pylist()
+        tokens = rows.column("tokens").combine_chunks()
+        flat, cut = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()
         order = np.lexsort((node, part, group))
         cuts = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (np.diff(part[order]) != 0)))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             own = order[lo:hi]
-            label = _least_reachable(block_links([np.frombuffer(tokens[i], np.uint64) for i in own.tolist()], percent))
+            label = _least_reachable(block_links([flat[cut[i] : cut[i + 1]] for i in own.tolist()], percent))
             linked = np.flatnonzero(label != np.arange(len(label)))
             a.append(node[own[linked]])
             b.append(node[own[label[linked]]])
