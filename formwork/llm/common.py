@@ -2,41 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formwork.sources import shared_dir, table  # noqa: F401
+
 #: Java pattern of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Java pattern of what separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` below ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only a local session (tests) without such a setting gets a folder of its own.
-    """
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+_made: list[list[DataFrame]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -44,16 +29,43 @@ def written(df: DataFrame) -> DataFrame:
     outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(found)
+    return found
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete the table that ``written`` made; only once all that was read from it is written, too."""
+    """Delete the table that ``written`` made; only once all that was read from it is written, too.
+
+    Spark deletes shuffle files once the driver has collected the plans that made them, so this asks
+    for a collection: what led to the table goes with it."""
     spark = df.sparkSession
     for f in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
         if folder.getName().startswith("stage-"):
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes tables ``written`` inside: ``kept(table)`` all but this one, which thus must not read
+    from the others any more, and leaving the block those written since."""
+    made: list[DataFrame] = []
+    _made.append(made)
+
+    def kept(table: DataFrame) -> DataFrame:
+        for other in made:
+            if other is not table:
+                dropped(other)
+        made[:] = [table]
+        return table
+
+    try:
+        yield kept
+    finally:
+        _made.remove(made)
 
 
 def beside(rows: DataFrame, small: DataFrame, *on: str, how: str = "inner", most: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame:

@@ -218,6 +218,7 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     sets = written(some.mapInArrow(hashed, "node long, n long, tokens array<long>"))
     lists = prefixes(sets.select("node", "n", F.col("tokens").alias("sample")), percent, True)
     lists = written(lists)
+    dropped(candidates)
     heads = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("head"), F.max("node").alias("last")).filter("head.node <> last").drop("last")
     lists = written(lists.join(heads, "token"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
