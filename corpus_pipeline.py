@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formwork.llm import bpe, jaccard, mixing, personal, toxicity
-from formwork.llm.common import table, written
+from formwork.llm.common import scratch, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labelled ones, doesn't reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.grade(docs, model, prefix="__").filter("not __rejected").select(docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` through all stages, each written and read again; what a stage wrote on its way
+    and what it read are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    with scratch() as kept:
+        for _, stage in STAGES:
+            docs = kept(written(stage(spark, docs, sf_dir)))
     return docs
