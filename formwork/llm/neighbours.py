@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SCHEMA = "query_id long, vec_id long, score double"
-
+from formwork.llm.common import type_of
 
 def usable(vector: Column) -> Column:
     """True for vectors that take part: not null, not empty, all components finite, not all zero."""
@@ -30,7 +29,7 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids in order, and their vectors divided by a power of two near the largest component.
 
     That changes no cosine, and keeps squares within the range of doubles."""
-    ids = table.column("vec_id").to_numpy()
+    ids = table.column("vec_id").to_numpy()  # objects, where they aren't numbers
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
     rows = flat.reshape(len(ids), -1).astype(np.float64)[order]
@@ -43,7 +42,8 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 256, columns: int = 4096) -> list[tuple[int, int, float]]:
-    """The ``k`` nearest of ``c`` for each of ``q`` (ties to smaller ids), never a row of the same id.
+    """The ``k`` nearest of ``c`` for each of ``q`` (ties to smaller ids), never a row of the same id;
+    ``c_ids`` ascend.
 
     Each tile's int8 products (exact in float32 while they stay below 2**24, else in float64) give
     a cosine that is off by ``|decoded query| * error of candidate + error of query`` at most.  A
@@ -74,14 +74,14 @@ def tile_search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
                 found = np.flatnonzero((near[i] + off[i] >= least) & ~own[i])
                 exact = _dot(q[a + i], c[b + found]) / (q_norm[a + i] * c_norm[b + found])
                 if len(found) > k:
-                    keep = np.lexsort((c_ids[b + found], -exact))[:k]
+                    keep = np.lexsort((found, -exact))[:k]
                     found, exact = found[keep], exact[keep]
-                for score, j in zip(exact.tolist(), c_ids[b + found].tolist()):
+                for score, j in zip(exact.tolist(), (b + found).tolist()):
                     if len(heap) < k:
                         heapq.heappush(heap, (score, -j))
                     elif (score, -j) > heap[0]:
                         heapq.heapreplace(heap, (score, -j))
-    return [(int(i), -j, score) for i, heap in zip(q_ids, best) for score, j in heap]
+    return [(i, c_ids[-j], score) for i, heap in zip(q_ids, best) for score, j in heap]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", candidate_block: int = 16384, query_block: int = 16384) -> DataFrame:
@@ -92,8 +92,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     returns k rows for each of its queries, and a ranking window merges the tiles.  The result is
     exact, so that its recall is 1.
 
-    Null ids and vectors that are null, empty, zero or hold a null or non-finite component take no
-    part.  Rows that repeat an id count once, by the least vector in array order.  Only vectors of
+    Ids may be of any type that has an order.  Null ids and vectors that are null, empty, zero or
+    hold a null or non-finite component take no part.  Ids name vectors: rows that repeat an id
+    count once, by the least vector in array order.  Only vectors of
     equal length are compared.  With fewer than k candidates all are returned; an empty table gives
     no rows; other columns are ignored.  Equal vectors tie and go by id.
     """
@@ -110,9 +111,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         found = tile_search(*_matrix(left), *_matrix(right), k) if left.num_rows and right.num_rows else []
         ids, others, scores = zip(*found) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(scores, pa.float64())})
+        kind = left.schema.field("vec_id").type
+        return pa.table({"query_id": pa.array(ids, kind), "vec_id": pa.array(others, kind), "score": pa.array(scores, pa.float64())})
 
-    keys = ["dim", "cb", "qb"]
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(tile, _SCHEMA)
+    keys, kind = ["dim", "cb", "qb"], type_of(rows, "vec_id")
+    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(tile, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
