@@ -6,13 +6,16 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from formwork.llm import bpe, jaccard, licences, mixing, neighbours, personal, quality, queries, toxicity, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = "doc_id long, text string, source string, spans string, n int"
+#: Names that operators use inside, as columns of the user's.
+CLASHES = "spans n row own unit token node key_a key_b candidates size draw copies part tile words kept score of good severity batch removed ids decoded rank dim cb qb asks __id __row __text __words __time __size __copies __spans __one __rejected".split()
+ODD = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
 EMAIL = "write to ann.lee@mail.example.com or +1 (743) 555-3824, card 4111 1111 1111 1111, host 10.1.2.3"
 
 
@@ -20,13 +23,20 @@ EMAIL = "write to ann.lee@mail.example.com or +1 (743) 555-3824, card 4111 1111
 def odd(spark):
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     rows = [(1, EMAIL), (2, None), (3, ""), (4, " \n\t"), (5, long), (6, long), (6, long), (None, "x y z " * 20), (7, "Released under the MIT License."), (5, "other text of the same id")]
-    return spark.createDataFrame([(i, t, s, "clash", 1) for (i, t), s in zip(rows, ["a", None, "b"] * 4)], ODD)
+    return spark.createDataFrame([(i, t, s, *[f"clash {c}" for c in CLASHES]) for (i, t), s in zip(rows, ["a", None, "b"] * 4)], ODD)
+
+
+def _labels(d, name):
+    return d.select("doc_id", F.pmod(F.hash("doc_id"), F.lit(2)).alias(name))
 
 
 OPERATORS = {
-    "quality": lambda d: quality.resemblance(d, d.select(F.col("doc_id"), (F.col("doc_id") % 2).alias("quality"))),
+    "quality": lambda d: quality.resemblance(d, _labels(d, "quality")),
     "licences": licences.scan,
-    "toxicity": lambda d: toxicity.grade(d, toxicity.fit(d, d.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))),
+    "toxicity": lambda d: toxicity.grade(d, toxicity.fit(d, _labels(d, "toxic")), prefix="new_"),
+    "accepted": lambda d: toxicity.accepted(d, toxicity.fit(d, _labels(d, "toxic"))),
+    "nearest": lambda d: neighbours.nearest(d.withColumn("embedding", F.when(F.length("text") > 0, F.array(F.length("text").cast("double"), F.lit(1.0)))), F.lit(True), 2, id_column="doc_id"),
+    "bpe": lambda d: bpe.decode(bpe.encode(d, public_tokenizers.path("word_bpe_49k.json")), public_tokenizers.path("word_bpe_49k.json")),
     "mixing": mixing.mix,
     "mixed": mixing.mixed_rows,
     "words": windows.remove_repeated_words,
@@ -40,10 +50,21 @@ OPERATORS = {
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_odd_and_empty_tables(odd, name):
-    rows = OPERATORS[name](odd).collect()
-    if name not in ("licences", "mixed", "one"):
-        assert len(rows) == odd.count()
-    assert OPERATORS[name](odd.filter("false")).count() == 0
+    """Nulls, blank and long texts, repeated rows and ids, clashing names, ids that aren't numbers, no rows."""
+    run = OPERATORS[name]
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    counts = []
+    for table in (odd, named):
+        found = run(table)
+        rows = found.collect()
+        counts.append(len(rows))
+        if name in ("toxicity", "accepted", "mixed", "one", "redact"):  # these return the table's own columns
+            assert found.columns[: len(odd.columns)] == odd.columns
+            assert all(r[c] == f"clash {c}" for r in rows for c in CLASHES)
+    assert counts[0] == counts[1] or name in ("toxicity", "accepted", "mixed")
+    if name not in ("licences", "accepted", "mixed", "one", "nearest"):
+        assert counts == [odd.count()] * 2
+    assert run(odd.filter("false")).count() == 0
 
 
 def test_defined_results_on_odd_rows(odd):
