@@ -133,7 +133,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 512, i
 
 def sample_of(percent: int) -> float:
     """The share of the shingle space that nodes send: more than the share a set can lack."""
-    return min(1.0, (100 - percent) / 100 * 2 + 0.03)
+    return min(1.0, (100 - percent) / 100 + 0.07)
 
 
 def _sample_limit(percent: int) -> int:
@@ -151,25 +151,50 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return F.least(f"{a}.most", f"{b}.most") * F.lit(100 + percent) >= need
 
 
-def sets_and_samples(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id``, keys, ``n_shingles, node, sample`` of each text.
+def sized_sets(texts: DataFrame, n: int) -> DataFrame:
+    """``doc_id``, keys, ``n_shingles, node`` of each text; ``node`` hashes the whole set."""
 
-    ``node`` hashes the whole set.  ``sample`` are the least hashes, sorted: those below a fixed
-    bound (``sample_of``), and as many more as a prefix needs."""
+    def rows(batches) -> Iterator[pa.RecordBatch]:
+        for part, chunk in text_chunks(batches, 512 << 10):
+            sets = shingle_sets(chunk, n)
+            kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", *KEYS)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int64()), _nodes(sets)], ["doc_id", *KEYS, "n_shingles", "node"])
+
+    return texts.mapInArrow(rows, f"doc_id {type_of(texts, 'doc_id')}, key_a long, key_b long, n_shingles long, node long")
+
+
+def samples(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``node, n, sample`` of each text with words: its least hashes, sorted, those below a fixed
+    bound (``sample_of``) and as many more as a prefix needs."""
     limit = np.uint64(_sample_limit(percent))
 
+    def rows(batches) -> Iterator[pa.RecordBatch]:
+        for _, chunk in text_chunks(batches, 512 << 10):
+            sets = [s for s in shingle_sets(chunk, n) if len(s)]
+            take = [max(int(np.searchsorted(s, limit)), len(s) - -(-percent * len(s) // 100) + 1) for s in sets]
+            yield pa.RecordBatch.from_arrays([_nodes(sets), pa.array([len(s) for s in sets], pa.int64()), _lists([s[:k] for s, k in zip(sets, take)])], ["node", "n", "sample"])
+
+    return texts.select("text").mapInArrow(rows, "node long, n long, sample array<long>")
+
+
+def whole_sets(texts: DataFrame, n: int) -> DataFrame:
+    """``node, n, tokens`` from ``node, text``."""
+
     def rows(batches) -> Iterator[pa.RecordBatch]:
         for part, chunk in text_chunks(batches, 512 << 10):
             sets = shingle_sets(chunk, n)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            take = [max(int(np.searchsorted(s, limit)), len(s) - -(-percent * len(s) // 100) + 1) if len(s) else 0 for s in sets]
-            digests = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
-            flat = np.concatenate([s[:k] for s, k in zip(sets, take)]).view(np.int64)
-            sample = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), pa.array(flat))
-            kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", *KEYS)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(digests), sample], ["doc_id", *KEYS, "n_shingles", "node", "sample"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "tokens"])
+
+    return texts.mapInArrow(rows, "node long, n long, tokens array<long>")
+
 
-    return texts.mapInArrow(rows, f"doc_id {type_of(texts, 'doc_id')}, key_a long, key_b long, n_shingles long, node long, sample array<long>")
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], pa.int64())
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
 def prefixes(nodes: DataFrame, percent: int, whole: bool) -> DataFrame:
@@ -197,9 +222,8 @@ def prefixes(nodes: DataFrame, percent: int, whole: bool) -> DataFrame:
 def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """For each text (``keyed``) ``doc_id``, keys, ``n_shingles, node``; and the components
     (node, component) of the nodes that link."""
-    rows = written(sets_and_samples(texts, n, percent))
-    nodes = rows.filter("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "sample").dropDuplicates(["node"])
-    nodes = written(nodes)
+    rows = written(sized_sets(texts, n))
+    nodes = written(samples(texts, n, percent).dropDuplicates(["node"]))
     lists = prefixes(nodes, percent, False)
     several = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
     candidates = written(lists.join(several, "token").select("node").distinct())
@@ -207,18 +231,10 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     chosen = rows.join(candidates, "node").groupBy("node").agg(F.min(F.struct(*KEYS)).alias("c")).select("node", "c.*")
     # Both sides grow with the input: neither is broadcast at any size.
     some = texts.select(*KEYS, "text").join(chosen.hint("merge"), KEYS).dropDuplicates(KEYS).select("node", "text")
-
-    def hashed(batches) -> Iterator[pa.RecordBatch]:
-        for part, chunk in text_chunks(batches, 512 << 10):
-            sets = shingle_sets(chunk, n)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array(sizes), tokens], ["node", "n", "tokens"])
-
-    sets = written(some.mapInArrow(hashed, "node long, n long, tokens array<long>"))
+    sets = written(whole_sets(some, n))
+    dropped(candidates)
     lists = prefixes(sets.select("node", "n", F.col("tokens").alias("sample")), percent, True)
     lists = written(lists)
-    dropped(candidates)
     heads = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("head"), F.max("node").alias("last")).filter("head.node <> last").drop("last")
     lists = written(lists.join(heads, "token"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -235,7 +251,7 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("major")) | (F.col("l.node") < F.col("r.node")))
     others = left.join(right, "token").filter(across & _may_link("l", "r", percent)).select(*pair("l.node", "r.node")).distinct()
     others = written(others.join(with_head, ["a", "b"], "left_anti"))
-    return rows.drop("sample"), components(links.unionByName(linked(others, sets, percent, block)))
+    return rows, components(links.unionByName(linked(others, sets, percent, block)))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
