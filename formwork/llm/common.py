@@ -207,34 +207,5 @@ def arrow_column(batch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-# ------------------------------------------------------------------ fixed-size frequency sketch
-
+#: Cells of a frequency sketch at its smallest.
 CELLS = 1 << 16
-_CELL_SHIFT = np.uint64(48)
-
-
-def cell_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _CELL_SHIFT).astype(np.int64)
-
-
-def summed_cells(counted: DataFrame) -> np.ndarray:
-    """Add up count arrays (rows ``block int, counts binary`` of int64, 4,096 cells each).
-
-    The sums have ``CELLS`` cells at any input size, so that the driver gets half a megabyte.
-    """
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(4096, np.int64)
-        for raw in table.column("counts").to_pylist():
-            total += np.frombuffer(raw, np.int64)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(CELLS, np.int64)
-    for row in counted.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[row.block * 4096 : row.block * 4096 + 4096] = np.frombuffer(row.counts, np.int64)
-    return out
-
-
-def cell_rows(counts: np.ndarray) -> pa.RecordBatch:
-    blocks = counts.reshape(-1, 4096)
-    return pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])

@@ -22,7 +22,6 @@ Words are runs without ASCII white space.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import tempfile
 from collections.abc import Callable, Iterator
