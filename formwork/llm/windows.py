@@ -435,10 +435,10 @@ def sorted_windows(width: int) -> Judge:
 
 
 class _Sequences:
-    """The transform, the common prefixes and the owners of rows, as files that are read and
-    written from their beginning to their end, some rows at a time."""
+    """The transform and the common prefixes of rows, as files that are read and written from their
+    beginning to their end, some rows at a time."""
 
-    KINDS = ("symbol", "common", "owner")
+    KINDS = ("symbol", "common")
 
     def __init__(self, folder: str, kinds: tuple, piece: int):
         self.kinds, self.piece, self.rows = kinds, piece, 0
@@ -453,7 +453,7 @@ class _Sequences:
             yield at, [np.fromfile(self.files[i], self.kinds[i], min(self.piece, self.rows - at)) for i in which]
 
     def replace(self, pieces: Iterator[list[np.ndarray]]) -> None:
-        """Write pieces of all three to the other files, which are then the ones that are read."""
+        """Write pieces of both to the other files, which are then the ones that are read."""
         rows = 0
         for f in self.other:
             f.seek(0)
@@ -476,8 +476,9 @@ def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[
     before s stands among all symbols c, and has one more symbol in common with the suffix before
     it than there is in common between s and the last row before s that has c, too.  Rows are kept in
     sequence, in files of the task's own that live as long as this call: a round reads them once for
-    the places of the new rows and once to merge these in.  ``piece`` rows and one row of each
-    string are in memory.  Common prefixes stop at ``width``.
+    the places of the new rows and once to merge these in, with ``piece`` rows and one row of each
+    string in memory.  Common prefixes stop at ``width``.  At last a walk over the finished
+    transform, which is in memory then, tells which rows are whose.
     """
     n = len(strings)
     lengths = np.fromiter(map(len, strings), np.int64, n)
@@ -488,12 +489,10 @@ def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[
     values, text = np.unique(np.frombuffer(b"".join(strings), np.uint8), return_inverse=True)
     text = (text + 1).astype(np.uint8 if len(values) < 255 else np.int16)  # 0 ends a string
     longest, symbols = int(lengths.max()), len(values) + 1
-    codes = np.int32 if n * (longest + 1) < 1 << 31 else np.int64
     with tempfile.TemporaryDirectory(prefix="transform-") as folder:
-        held = _Sequences(folder, (text.dtype, np.uint8 if width < 256 else np.int32, codes), piece)
+        held = _Sequences(folder, (text.dtype, np.uint8 if width < 256 else np.int32), piece)
         last = np.where(lengths > 0, text[np.maximum(ends - 1, 0)], 0)
-        every = np.arange(n) * (longest + 1)
-        held.replace([last[a : a + piece], np.zeros(min(piece, n - a)), every[a : a + piece]] for a in range(0, n, piece))
+        held.replace([last[a : a + piece], np.zeros(min(piece, n - a))] for a in range(0, n, piece))
         total = np.bincount(last, minlength=symbols)
         at, active = np.arange(n), np.arange(n)
         for r in range(1, longest + 1):
@@ -504,17 +503,22 @@ def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[
             order = np.argsort(new)
             at, active, up, down = new[order], active[order], up[order], down[order]
             added = np.where(lengths[active] > r, text[np.maximum(ends[active] - r - 1, 0)], 0)
-            held.replace(_merged(held, at, added, up, down, active * (longest + 1) + r))
+            held.replace(_merged(held, at, added, up, down))
             total += np.bincount(added, minlength=symbols)
-        code = np.zeros(1, np.int64)
-        for _, (common, owner) in held.pieces("common", "owner"):
-            again = common >= width
-            shared = owner[again].tolist() + np.append(code, owner[:-1])[again].tolist()
-            code = owner[-1:]
-            for x in shared:
-                i, r = divmod(int(x), longest + 1)
-                out[i][lengths[i] - r] = True
+        held.piece = held.rows
+        ((_, (row, common)),) = held.pieces("symbol", "common")
         held.close()
+    shared = common >= width
+    shared[:-1] |= shared[1:]
+    step = np.empty(len(row), np.int32)
+    step[np.argsort(row, kind="stable")] = _numbers(len(row))
+    step += n - np.count_nonzero(row == 0)
+    at, active = np.arange(n), np.arange(n)
+    for r in range(1, longest + 1):
+        keep = lengths[active] >= r
+        active, at = active[keep], step[at[keep]]
+        for i in active[shared[at]].tolist():
+            out[i][lengths[i] - r] = True
     return out
 
 
@@ -572,11 +576,11 @@ def _numbers(n: int) -> np.ndarray:
     return _counted[:n]
 
 
-def _merged(held: _Sequences, at: np.ndarray, symbol: np.ndarray, up: np.ndarray, down: np.ndarray, owner: np.ndarray) -> Iterator[list[np.ndarray]]:
+def _merged(held: _Sequences, at: np.ndarray, symbol: np.ndarray, up: np.ndarray, down: np.ndarray) -> Iterator[list[np.ndarray]]:
     """The rows with new ones, which stand at ``at`` (ascending) in the end."""
     before = at - np.arange(len(at))  # the old row that each comes before
     final = np.append(before[1:] != before[:-1], True) & (down > 0)
-    for begin, (row, common, code) in held.pieces(*held.KINDS):
+    for begin, (row, common) in held.pieces(*held.KINDS):
         stop = begin + len(row) + (begin + len(row) == held.rows)
         lo, hi = np.searchsorted(before, [begin, stop])
         next_to = lo + np.flatnonzero(final[lo:hi])
@@ -585,7 +589,7 @@ def _merged(held: _Sequences, at: np.ndarray, symbol: np.ndarray, up: np.ndarray
         old = np.ones(len(row) + hi - lo, bool)
         old[new] = False
         wide = []
-        for kept, added in ((row, symbol), (common, up), (code, owner)):
+        for kept, added in ((row, symbol), (common, up)):
             x = np.empty(len(old), kept.dtype)
             x[old], x[new] = kept, added[lo:hi]
             wide.append(x)
