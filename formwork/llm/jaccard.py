@@ -222,21 +222,21 @@ def prefixes(nodes: DataFrame, percent: int, whole: bool) -> DataFrame:
 def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """For each text (``keyed``) ``doc_id``, keys, ``n_shingles, node``; and the components
     (node, component) of the nodes that link."""
+    # Where both sides of a join grow with the input, neither is broadcast at any size.
     rows = written(sized_sets(texts, n))
     nodes = written(samples(texts, n, percent).dropDuplicates(["node"]))
     lists = prefixes(nodes, percent, False)
     several = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
-    candidates = written(lists.join(several, "token").select("node").distinct())
+    candidates = written(lists.join(several.hint("merge"), "token").select("node").distinct())
     dropped(nodes)
-    chosen = rows.join(candidates, "node").groupBy("node").agg(F.min(F.struct(*KEYS)).alias("c")).select("node", "c.*")
-    # Both sides grow with the input: neither is broadcast at any size.
+    chosen = rows.join(candidates.hint("merge"), "node").groupBy("node").agg(F.min(F.struct(*KEYS)).alias("c")).select("node", "c.*")
     some = texts.select(*KEYS, "text").join(chosen.hint("merge"), KEYS).dropDuplicates(KEYS).select("node", "text")
     sets = written(whole_sets(some, n))
     dropped(candidates)
     lists = prefixes(sets.select("node", "n", F.col("tokens").alias("sample")), percent, True)
     lists = written(lists)
     heads = lists.groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("head"), F.max("node").alias("last")).filter("head.node <> last").drop("last")
-    lists = written(lists.join(heads, "token"))
+    lists = written(lists.join(heads.hint("merge"), "token"))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     me = lists.select("head", F.struct("node", "n", "most").alias("own")).filter("own.node <> head.node")
     with_head = written(me.filter(_may_link("own", "head", percent)).select(*pair("head.node", "own.node")).distinct())
@@ -268,7 +268,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
     members = some.select("a", F.col("b").alias("node"), "partners", "part").unionByName(own)
     alone = F.col("partners") > block // 4
     tile = F.when(alone, F.xxhash64("a", "part")).otherwise(F.pmod(F.xxhash64("a"), bundles))
-    tiles = members.withColumn("tile", tile).join(sets, "node").select("tile", "a", "part", "node", "tokens")
+    tiles = members.withColumn("tile", tile).join(sets.hint("merge"), "node").select("tile", "a", "part", "node", "tokens")
 
     def link(rows: pa.Table) -> pa.Table:
         group, part, node = (rows.column(c).to_numpy() for c in ("a", "part", "node"))
