@@ -639,7 +639,7 @@ def _may_share(strings: list[bytes], offsets: np.ndarray, width: int, part: int,
     return np.minimum(begin, end), end
 
 
-def suffix_blocks(width: int, part: int, block: int = 100_000, step: int = 24) -> Judge:
+def suffix_blocks(width: int, part: int, block: int = 300_000, step: int = 24) -> Judge:
     """Finds shared windows of bytes by the transform of the strings that share a minimiser.
 
     Equal windows share their minimiser and most of what surrounds it, so parts of strings for which
