@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formwork.llm import bpe, jaccard, licences, mixing, neighbours, personal, quality, toxicity, windows
+from formwork.llm import alignment, bpe, jaccard, licences, mixing, neighbours, personal, quality, toxicity, urls, whitening, windows
 from formwork.llm.common import table
 
 
@@ -28,7 +28,7 @@ def op3_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of all documents, by a model of the labelled ones."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.grade(docs, model).select("doc_id", "severity", "grade", "rejected")
 
@@ -72,6 +72,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, personal.KINDS[:4]), F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), secrets)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 4 whitened coordinates of all embeddings."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), 4)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages' URLs."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in all documents."""
+    found = alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") != "", F.sha2(F.encode("groups", "UTF-8"), 256)).otherwise("")
+    return found.select("*", digest.alias("groups_sha256")).drop("groups")
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_rules": op2_quality_rules,
@@ -83,4 +101,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_personal_data": op10_personal_data,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_url_filters": op12_url_filters,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }

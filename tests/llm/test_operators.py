@@ -10,11 +10,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from formwork.llm import bpe, jaccard, licences, mixing, neighbours, personal, quality, queries, toxicity, windows
+from formwork.llm import alignment, bpe, common, jaccard, licences, mixing, neighbours, personal, quality, queries, toxicity, urls, whitening, windows
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside, as columns of the user's.
-CLASHES = "spans n row own unit token node key_a key_b candidates size draw copies part tile words kept score of good severity batch removed ids decoded rank dim cb qb asks __id __row __text __words __time __size __copies __spans __one __rejected".split()
+CLASHES = "spans n row own unit token node key_a key_b candidates size draw copies part tile words kept score of good severity batch removed ids decoded rank dim cb qb asks __id __row __text __words __time __size __copies __spans __one __rejected url host path rule ruled verdict blocked fold part value urls a b n groups salt dim most packed vector component grade severity".split()
 ODD = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
 EMAIL = "write to ann.lee@mail.example.com or +1 (743) 555-3824, card 4111 1111 1111 1111, host 10.1.2.3"
 
@@ -44,6 +44,9 @@ OPERATORS = {
     "jaccard": jaccard.near_duplicates,
     "one": jaccard.keep_one,
     "personal": personal.find,
+    "aligned": lambda d: alignment.aligned(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
+    "whitened": lambda d: whitening.whitened(d.withColumn("embedding", F.array(F.coalesce(F.length("text"), F.lit(0)) / 7)), id_column="doc_id"),
+    "judged": lambda d: urls.judged(d, id_column="doc_id", url_column="text"),
     "redact": personal.redact,
 }
 
@@ -209,6 +212,7 @@ def test_hot_groups_are_divided(spark, plan):
     passage = symbols(90)
     docs = {i: " ".join(symbols(70) + passage[i % 3 :] + symbols(70)).encode() for i in range(60)}
     table = common.keyed(spark.createDataFrame([(i, x.decode()) for i, x in docs.items()], "doc_id long, text string").coalesce(2))
+    ids = {(r.key_a, r.key_b): r.doc_id for r in table.collect()}
     least = dataclasses.replace(plan, per_group=20)
     judge = windows.sorted_windows(plan.width) if plan.words else windows.suffix_blocks(plan.width, plan.part)
 
@@ -221,7 +225,7 @@ def test_hot_groups_are_divided(spark, plan):
         windows.repeated_spans(table, dataclasses.replace(plan, per_group=1 << 40), watched).collect()
     covered = {i: set() for i in docs}
     for r in windows.repeated_spans(table, least, watched).collect():
-        covered[r.key_a].update(range(r.begin, r.end))
+        covered[ids[r.key_a, r.key_b]].update(range(r.begin, r.end))
     texts = {i: tuple(x.split()) if plan.words else x for i, x in docs.items()}
     count = Counter(s[k : k + plan.width] for s in texts.values() for k in range(len(s) - plan.width + 1))
     assert covered == {i: {p for k in range(len(s) - plan.width + 1) if count[s[k : k + plan.width]] > 1 for p in range(k, k + plan.width)} for i, s in texts.items()}
