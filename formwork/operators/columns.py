@@ -61,6 +61,8 @@ def predicate(k: t.Type, c: Column, dt: T.DataType) -> Column:
             return c.isNull()
         case t.Basic("float") if kind == "int":
             return c <= t.FLOAT_LIMIT
+        case t.Basic("float") if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return c.isNotNull() & ~F.isnan(c)  # NaN isn't a value of the language
         case t.Basic(name):
             return c.isNotNull() if name == kind else F.lit(False)
         case t.Literal(v):
@@ -76,18 +78,34 @@ def predicate(k: t.Type, c: Column, dt: T.DataType) -> Column:
         case t.ObjectType(fields):
             return _object(fields, c, dt)
         case t.SumType(members):
+            base = common_base(members)
+            if base is not None:
+                return predicate(base, c, dt) & reduce(or_, (_held(base, t.parts(m)[1], c, dt) for m in members))
             return reduce(or_, (sure(predicate(m, c, dt)) for m in members))
         case t.Refined(base, held):
-            inner = predicate(base, c, dt)
-            if not held.length.free and length_of(c, dt) is None:
-                return F.lit(False)
-            fits = lambda v: v.kind == kind or v.kind == "null" or {v.kind, kind} == {"int", "float"} and base == t.FLOAT
-            if not held.bounds.free and kind not in ("int", "float"):
-                return F.lit(False)
-            return inner & constraint(held, c, length_of(c, dt), fits, isinstance(dt, (T.FloatType, T.DoubleType)))
+            return predicate(base, c, dt) & _held(base, held, c, dt)
     raise TypeError(k)
 
 
+def common_base(members: tuple) -> t.Type | None:
+    """The number or string type that all members of a sum refine, if there is one: their conditions
+    can stay bare, and reach the scan as an alternative."""
+    bases = {t.parts(m)[0] for m in members}
+    base = bases.pop()
+    return base if not bases and base in (t.INT, t.FLOAT, t.STRING) else None
+
+
+def _held(base: t.Type, held: t.Constraint, c: Column, dt: T.DataType) -> Column:
+    """The constraint on a value that is known to belong to ``base``."""
+    kind = kind_of(dt)
+    if not held.length.free and length_of(c, dt) is None:
+        return F.lit(False)
+    fits = lambda v: v.kind == kind or v.kind == "null" or {v.kind, kind} == {"int", "float"} and base == t.FLOAT
+    if not held.bounds.free and kind not in ("int", "float"):
+        return F.lit(False)
+    return constraint(held, c, length_of(c, dt), fits, c.cast("long") if kind == "int" else None)
+
+
 def field(k: t.Type, optional: bool, c: Column, dt: T.DataType) -> Column:
     """``predicate`` of a field, which may be absent if it is optional."""
     p = predicate(k, c, dt)

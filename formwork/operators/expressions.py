@@ -32,8 +32,12 @@ def column_of(e, x: Column, length: Column | None) -> Column:
                 raise SchemaError("this type has no length")
             return length
         case Call(name, args):
+            if name == "len":
+                raise SchemaError("len is of x only")
             if name not in REGISTRY:
                 raise SchemaError(f"unknown function {name!r}")
+            if name == "parsedate":  # its layout is a name, known when the schema is compiled
+                return REGISTRY[name](column_of(args[0], x, length), args[1].value)
             return REGISTRY[name](*(column_of(a, x, length) for a in args))
         case Unary("!", arg):
             return ~column_of(arg, x, length)
@@ -78,11 +82,10 @@ def in_bounds(b: t.Bounds, x: Column) -> list[Column]:
     return out
 
 
-def constraint(c: t.Constraint, x: Column, length: Column | None, fits=lambda v: True, nan: bool = False) -> Column:
-    """``c`` for the value ``x``; ``fits``: which literals x can equal at all; ``nan``: x may be one."""
+def constraint(c: t.Constraint, x: Column, length: Column | None, fits=lambda v: True, wide: Column | None = None) -> Column:
+    """``c`` for the value ``x``; ``fits``: which literals x can equal at all; ``wide``: x in the type
+    in which expressions are computed, if that isn't its own."""
     found = in_bounds(c.bounds, x)
-    if found and nan:
-        found.append(~F.isnan(x))
     if not c.length.free:
         found += in_bounds(c.length, length)
     if c.enum is not None:
@@ -90,5 +93,5 @@ def constraint(c: t.Constraint, x: Column, length: Column | None, fits=lambda v:
         plain = [v.value for v in values if v.kind != "null"]
         held = x.isin(plain) if plain else F.lit(False)
         found.append(held | x.isNull() if len(plain) < len(values) else held)
-    found += [column_of(e, x, length) for e in sorted(c.rest, key=str)]
+    found += [column_of(e, x if wide is None else wide, length) for e in sorted(c.rest, key=str)]
     return reduce(and_, found) if found else F.lit(True)

@@ -164,7 +164,7 @@ def infer_json(values: DataFrame, column: str) -> t.Type:
     That description drops the nulls of a field that has other values, so a second pass looks for
     nulls at each path of objects; elements of lists may always be null.  Every value belongs to the
     result, but for floats that are infinite and integers beyond 64 bits."""
-    dt = _described(values.agg(F.schema_of_variant_agg(F.col(column)).alias("s")).first().s)
+    dt = described(values.agg(F.schema_of_variant_agg(F.col(column)).alias("s")).first().s)
     paths = list(_paths(dt, F.col(column)))
     nulls = values.agg(*(F.max(sure(F.is_variant_null(v))).alias(f"n{i}") for i, (_, v) in enumerate(paths))).first()
     if isinstance(dt, T.NullType) and not nulls.n0:
@@ -172,7 +172,7 @@ def infer_json(values: DataFrame, column: str) -> t.Type:
     return _with_nulls(dt, (), {path for (path, _), has in zip(paths, nulls) if has})
 
 
-def _described(text: str) -> T.DataType:
+def described(text: str) -> T.DataType:
     """Spark's description of a VARIANT as a Spark type; quoted keys are left as they are."""
     return T.DataType.fromDDL(re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: m[0] if m[0][0] == "`" else "STRUCT<", text))
 

@@ -8,6 +8,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from formwork.operators.columns import common_base
 from formwork.operators.expressions import constraint, sure
 from formwork.schema import types as t
 
@@ -70,6 +71,8 @@ def predicate(k: t.Type, v: Column) -> Column:
                 there, p = F.map_contains_key(m, f.name), sure(predicate(f.type, F.element_at(m, f.name)))
                 out = out & ((~there | p) if f.optional else (there & p))
             return out
+        case t.SumType(members) if (base := common_base(members)) is not None:
+            return sure(predicate(base, v)) & reduce(or_, (sure(_constraint(base, t.parts(m)[1], v)) for m in members))
         case t.SumType(members):
             return reduce(or_, (sure(predicate(m, v)) for m in members))
         case t.Refined(base, c):

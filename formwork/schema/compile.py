@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from formwork.functions import arguments, layouts
 from formwork.schema import types as t
 from formwork.schema.syntax import (
     COMPARISONS,
@@ -31,7 +32,7 @@ from formwork.schema.syntax import (
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
 #: Ranges of the sized integer names.
 SIZED = {f"int{n}": (-(1 << (n - 1)), (1 << (n - 1)) - 1) for n in (8, 16, 32, 64)} | {f"uint{n}": (0, (1 << n) - 1) for n in (8, 16, 32, 64)} | {"uint": (0, (1 << 63) - 1)}
-_ALIASES = {"number": "(float)", "uuid": "(string,uuid(x))", "email": "(string,email(x))", "url": "(string,url(x))", "ipv4": "(string,ipv4(x))", "date": '(string,parsedate(x,"yyyy-MM-dd"))', "datetime": '(string,parsedate(x,"yyyy-MM-dd HH:mm:ss"))'}
+_ALIASES = {"number": "(float)", "uuid": "(string,uuid(x))", "email": "(string,email(x))", "url": "(string,url(x))", "ipv4": "(string,ipv4(x))", "date": '(string,parsedate(x,"yyyy-MM-dd"))', "datetime": '(string,parsedate(x,"datetime"))'}
 
 
 def located(method):
@@ -192,13 +193,60 @@ def tidy(e):
         case Unary(op, arg):
             return Unary(op, tidy(arg))
         case Call(name, args):
-            return Call(name, tuple(map(tidy, args)))
+            return called(name, tuple(map(tidy, args)))
         case ListNode(items):
             return ListNode(tuple(map(tidy, items)))
         case other:
             return other
 
 
+def called(name: str, args: tuple) -> Call:
+    """The call, with ``x`` as first argument where one is missing; a date's layout is checked."""
+    known = arguments(name)
+    if known is not None and len(args) != known:
+        if len(args) != known - 1:
+            raise SchemaError(f"{name} takes {known} arguments, or {known - 1} and x before them")
+        args = (X, *args)
+    if name == "parsedate":
+        try:
+            layouts(args[1].value if isinstance(args[1], Lit) else None)
+        except ValueError as e:
+            raise SchemaError(str(e)) from None
+    return Call(name, args)
+
+
+_NOT = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
+
+
+def positive(e):
+    """The expression with negations moved inwards over &&, ||, comparisons and lists."""
+    match bare(e):
+        case Unary("!", arg):
+            return negative(arg)
+        case Binary("&&" | "||" as op, left, right):
+            return Binary(op, positive(left), positive(right))
+        case other:
+            return other
+
+
+def negative(e):
+    """What holds where the expression is false."""
+    match bare(e):
+        case Unary("!", arg):
+            return positive(arg)
+        case Binary("&&", left, right):
+            return Binary("||", negative(left), negative(right))
+        case Binary("||", left, right):
+            return Binary("&&", negative(left), negative(right))
+        case Binary("in", left, ListNode(items)) if items and all(isinstance(v, Lit) and v.kind in ("int", "float") for v in items):
+            return functools.reduce(lambda a, b: Binary("&&", a, b), (Binary("!=", left, v) for v in items))
+        case Binary(op, _, _) as one if op in _NOT:
+            first, *rest = conjuncts(one)
+            return functools.reduce(lambda a, b: Binary("||", a, negative(b)), rest, Binary(_NOT[first.op], first.left, first.right))
+        case other:
+            return Unary("!", other)
+
+
 def conjuncts(e) -> list:
     """What must all hold: sides of &&, and the pairs of a chained comparison."""
     match bare(e):
@@ -211,14 +259,28 @@ def conjuncts(e) -> list:
 
 
 def constrained(base: t.Type, expr) -> t.Type:
-    for part in conjuncts(expr):
+    for part in conjuncts(positive(expr)):
         if isinstance(base, t.SumType):
             base = t.sum_of([constrained(m, part) for m in base.members])
-        else:
-            base = t.refined(base, single(base, tidy(part)))
+        elif base != t.NEVER:
+            base = united(base, part) or t.refined(base, single(base, tidy(part)))
     return base
 
 
+def united(base: t.Type, e) -> t.Type | None:
+    """The union that a condition makes of a base, if normal forms can say it: an alternative of
+    ranges, or all numbers but one.  None for any other condition."""
+    match tidy(e):
+        case Binary("||", left, right) as whole if alternatives(whole) is None:
+            both = [constrained(base, side) for side in (left, right)]
+            own = t.parts(base)[1].rest
+            members = [m for k in both for m in (k.members if isinstance(k, t.SumType) else (k,))]
+            return t.sum_of(both) if all(m == t.NEVER or t.parts(m)[1].rest == own for m in members) else None
+        case Binary("!=", left, right) if t.parts(base)[0] in (t.INT, t.FLOAT) and ((left == X and isinstance(right, Lit)) or (right == X and isinstance(left, Lit))):
+            return t.sum_of([constrained(base, Binary(op, left, right)) for op in ("<", ">")])
+    return None
+
+
 def single(base: t.Type, e) -> t.Constraint:
     """The constraint that one expression puts on a base type."""
     root = t.parts(base)[0]

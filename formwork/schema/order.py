@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 from formwork.schema import types as t
+from formwork.schema.domains import covers
 
 
 def is_subtype(a: t.Type, b: t.Type) -> bool:
-    """Whether each value of ``a`` is one of ``b``.  True is always right; false may mean unknown."""
+    """Whether each value of ``a`` is one of ``b``.  True is always right; false may mean unknown.
+
+    What comparing normal forms doesn't settle is decided for ints and enums by their values
+    (``domains``): residual expressions, and several members of a sum that cover a type together."""
+    if _within(a, b):
+        return True
+    if isinstance(a, t.SumType):
+        return False  # each member has been asked
+    members = list(b.members) if isinstance(b, t.SumType) else [b]
+    return (len(members) > 1 or any(t.parts(m)[1].rest for m in (a, *members))) and covers(a, members)
+
+
+def _within(a: t.Type, b: t.Type) -> bool:
+    """``is_subtype`` by normal forms."""
     if a == b or a == t.NEVER or b == t.ANY:
         return True
     if isinstance(a, t.SumType):
