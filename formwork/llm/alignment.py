@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,10 @@ from formwork.llm.common import text_chunks, type_of
 
 #: A pair of ids as one number.
 _SHIFT = 21
-#: Slices that a task remembers at most, and the bytes of a slice beyond which it isn't remembered.
-_KNOWN, _LONG = 200_000, 200
+#: Slices that are encoded at a time: plain ones together, and others.
+_PLAIN, _OTHER = 4_000, 2_000
+#: Bytes of a plain slice at most.
+_SHORT = 200
 _SPACE = "▁"
 
 
@@ -64,18 +67,40 @@ class Pair:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not spec.get("normalizer")
         self.sliced = plain and not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.fast = self._ranked(spec) if self.sliced else None
         self.a_len, self.b_len = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         assert max(len(self.a_len), len(self.b_len)) < 1 << _SHIFT
 
-    def encode(self, slices: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """A's and B's ids of slices (each begins with a space), and whether both give their bytes.
-
-        Slices of other bytes, or of none but the space, have no ids."""
+    def _ranked(self, spec: dict):
+        """A as a ``tiktoken`` encoding, several times as fast for short slices: where each merge makes the next
+        id, the ids are its ranks.  None where they aren't."""
+        import public_tokenizers
+        import tiktoken
+
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        first = len(vocab) - len(pairs)
+        if first != 256 or any(vocab.get(x + y) != first + i for i, (x, y) in enumerate(pairs)):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes)}, special_tokens={})
+
+    def together(self, whole: bytes, sizes: np.ndarray) -> tuple | None:
+        """A's ids and B's ids of plain slices in a row, as of one text: no token crosses from one to the next.
+        None if the tokens don't give the bytes back."""
+        text = whole.decode("utf-8", "replace")
+        a, b = self.fast.encode_ordinary(text) if self.fast else self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
+        if any(b"".join(map(names.__getitem__, ids)) != whole for ids, names in ((a, self.a_bytes), (b, self.b_bytes))):
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64), np.ones(len(sizes), bool)
+
+    def alone(self, slices: list[bytes]) -> tuple:
+        """A's ids and B's ids of slices encoded one by one, and whether both give the slice's bytes.  Slices
+        of other bytes, or of none but the space, have no ids."""
         texts = [s.decode("utf-8", "replace") for s in slices]
         a = [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)]
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        good = np.array([len(s) > 1 and b"".join(map(self.a_bytes.__getitem__, x)) == s and b"".join(map(self.b_bytes.__getitem__, y)) == s for s, x, y in zip(slices, a, b)], bool)
-        return [x if g else [] for x, g in zip(a, good)], [y if g else [] for y, g in zip(b, good)], good
+        good = [len(s) > 1 and b"".join(map(self.a_bytes.__getitem__, x)) == s and b"".join(map(self.b_bytes.__getitem__, y)) == s for s, x, y in zip(slices, a, b)]
+        return *(np.array([i for x, g in zip(ids, good) if g for i in x], np.int64) for ids in (a, b)), np.array(good, bool)
 
 
 @lru_cache(2)
@@ -95,7 +120,7 @@ def align(a: np.ndarray, b: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) ->
     offsets where tokens of both end, the group of each token of A and of B, and the links as
     places in ``a``, in ``b`` and in the cuts."""
     a_ends, b_ends = np.cumsum(a_len), np.cumsum(b_len)
-    cuts = np.intersect1d(a_ends, b_ends)
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=bool(a_len.all() and b_len.all()))
     a_low, b_low = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
     a_n, b_n = np.searchsorted(a_ends, cuts, "right") - a_low, np.searchsorted(b_ends, cuts, "right") - b_low
     times = a_n * b_n  # 1, but for tokens without bytes
@@ -104,58 +129,59 @@ def align(a: np.ndarray, b: np.ndarray, a_len: np.ndarray, b_len: np.ndarray) ->
     return cuts, np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends), a_low[cut] + k // b_n[cut], b_low[cut] + k % b_n[cut], cut
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
-
-
-def _grouped(a: list[int], b: list[int], a_group: list[int], b_group: list[int]) -> str:
-    """Ids by group, as ``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    while i < len(a):
-        m, n, g = i, j, a_group[i]
-        while m < len(a) and a_group[m] == g:
-            m += 1
-        while n < len(b) and b_group[n] == g:
-            n += 1
-        out.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-        i, j = m, n
-    return ";".join(out)
-
-
-class _Slices:
-    """What is known of slices: whether they align, their tokens and groups, links as pair numbers."""
-
-    def __init__(self, held: Pair, texts: bool):
-        self.held, self.texts = held, texts
-        self.known: dict[bytes, tuple] = {}
-
-    def of(self, slices: list[bytes]) -> list[tuple]:
-        """``good, n_a, n_b, n_groups, links, groups`` of each."""
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        new = [s for s in slices if s not in self.known]
-        found = dict(zip(new, self._facts(new)))
-        self.known.update((s, f) for s, f in found.items() if len(s) <= _LONG)
-        return [self.known.get(s) or found[s] for s in slices]
-
-    def _facts(self, slices: list[bytes]) -> list[tuple]:
-        if not slices:
-            return []
-        a_ids, b_ids, good = self.held.encode(slices)
-        (a, a_size), (b, b_size) = _flat(a_ids), _flat(b_ids)
-        cuts, a_group, b_group, a_at, b_at, cut = align(a, b, self.held.a_len[a], self.held.b_len[b])
-        ends = np.cumsum(np.where(good, np.fromiter(map(len, slices), np.int64, len(slices)), 0))
-        upto = lambda x: np.concatenate([[0], np.searchsorted(x, ends, "right")])
-        group_to, link_to, links = upto(cuts), upto(cuts[cut]), (a[a_at] << _SHIFT) | b[b_at]
-        a_to, b_to = np.concatenate([[0], np.cumsum(a_size)]), np.concatenate([[0], np.cumsum(b_size)])
-        out = []
-        for i, ok in enumerate(good.tolist()):
-            text = ""
-            if ok and self.texts:
-                text = _grouped(a_ids[i], b_ids[i], a_group[a_to[i] : a_to[i + 1]].tolist(), b_group[b_to[i] : b_to[i + 1]].tolist())
-            out.append((ok, len(a_ids[i]), len(b_ids[i]), int(group_to[i + 1] - group_to[i]), links[link_to[i] : link_to[i + 1]], text))
-        return out
+@dataclass
+class Facts:
+    """What is found of some distinct slices: whether each aligns, how many tokens, groups and links
+    it has, all links as pair numbers, and the groups as text (if asked for)."""
+
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    links: np.ndarray
+    groups: list[str]
+
+
+def _facts(held: Pair, slices: pa.Array, together: bool, texts: bool) -> Facts:
+    """The facts of some slices; ``together``: they are plain."""
+    offsets = np.frombuffer(slices.buffers()[1], np.int32)[slices.offset : slices.offset + len(slices) + 1]
+    sizes = np.diff(offsets).astype(np.int64)
+    found = held.together(slices.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes(), sizes) if together else None
+    a, b, good = found or held.alone(slices.to_pylist())
+    cuts, a_group, b_group, a_at, b_at, cut = align(a, b, held.a_len[a], held.b_len[b])
+    ends = np.cumsum(np.where(good, sizes, 0))
+    within = lambda x: np.diff(np.searchsorted(x, ends, "right"), prepend=0)
+    n_a, n_b, n_groups = within(np.cumsum(held.a_len[a])), within(np.cumsum(held.b_len[b])), within(cuts)
+    groups = _texts(a, b, a_group, b_group, n_groups) if texts else []
+    return Facts(good, n_a, n_b, n_groups, within(cuts[cut]), (a[a_at] << _SHIFT) | b[b_at], groups)
+
+
+@lru_cache(1)
+def _digits() -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of ids up to 2**17 from the left, zeros behind them, and how many there are."""
+    sizes = np.char.str_len(names := np.arange(1 << 17).astype("S8"))
+    return names.view(np.uint8).reshape(-1, 8), sizes
+
+
+def _texts(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, n_groups: np.ndarray) -> list[str]:
+    """The ids of each slice by group, as ``a1,a2|b1;a3|b2,b3``."""
+    place = np.concatenate([a_group * 2, b_group * 2 + 1])
+    order = np.argsort(place, kind="stable")
+    ids, place = np.concatenate([a, b])[order], place[order]
+    digits, sizes = _digits()
+    last = np.diff(place, append=-1) != 0
+    marks = np.where(last, np.where(place % 2 == 0, ord("|"), ord(";")), ord(",")).astype(np.uint8)
+    if ids.max(initial=0) < len(digits):
+        held = digits[ids]
+        held[np.arange(len(ids)), sizes[ids]] = marks
+        text, width = held[held != 0].tobytes().decode(), sizes[ids] + 1
+    else:
+        each = [f"{i}{chr(m)}" for i, m in zip(ids.tolist(), marks.tolist())]
+        text, width = "".join(each), np.fromiter(map(len, each), np.int64, len(each))
+    group_ends = np.cumsum(width)[last & (place % 2 == 1)]
+    ends = np.concatenate([[0], group_ends])[np.cumsum(n_groups)].tolist()
+    return [text[i : max(i, j - 1)] for i, j in zip([0, *ends], ends)]
 
 
 _VISIBLE = np.zeros(256, bool)
@@ -176,20 +202,47 @@ def sliced(texts: list[bytes], cut: bool) -> tuple[pa.DictionaryArray, np.ndarra
         at = np.flatnonzero(data[1:-1] == 32) + 1
         before, after = data[at - 1], data[at + 1]
         at = at[(_VISIBLE[before] | ((before >= 0x80) & (data[at - 2] == 0xC3))) & (_VISIBLE[after] | (after == 0xC3))]
-        starts = np.union1d(begins, at)
+        marks = np.zeros(len(data), bool)
+        marks[begins] = marks[at] = True
+        starts = np.flatnonzero(marks)
     offsets = np.append(starts, len(data)).astype(np.int32)
     slices = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
     return slices.dictionary_encode(), np.searchsorted(starts, begins)
 
 
-def _chunks(batches, slices: _Slices) -> Iterator[tuple]:
+def _plain(slices: pa.Array) -> np.ndarray:
+    """Which slices are short, begin with a single space, end visibly and hold only characters up to U+017F:
+    both libraries for A know the same letters there, and such slices encode in a row as alone."""
+    data, offsets = np.frombuffer(slices.buffers()[2], np.uint8), np.frombuffer(slices.buffers()[1], np.int32)[: len(slices) + 1]
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    second, before, last = (data[np.clip(i, 0, len(data) - 1)] for i in (starts + 1, offsets[1:] - 2, offsets[1:] - 1))
+    begins = (sizes > 1) & (_VISIBLE[second] | (second == 0xC3))
+    ends = _VISIBLE[last] | ((last >= 0x80) & (before == 0xC3) & (sizes > 2))
+    return begins & ends & (sizes <= _SHORT) & (np.maximum.reduceat(data, starts) < 0xC6)
+
+
+def _chunks(batches, held: Pair, texts: bool) -> Iterator[tuple]:
     """For each chunk of texts: its rows, its distinct slices' facts, the slice at each place, where
     each text's places begin, and which texts align as a whole."""
-    for part, texts in text_chunks(batches, 8 << 20):
-        coded, first = sliced(texts, slices.held.sliced)
-        facts, which = slices.of(coded.dictionary.to_pylist()), coded.indices.to_numpy()
-        good = np.logical_and.reduceat(np.array([f[0] for f in facts])[which], first)
-        yield part, facts, which, first, good
+    for part, chunk in text_chunks(batches, 16 << 20):
+        coded, first = sliced(chunk, held.sliced)
+        plain = _plain(coded.dictionary) & held.sliced
+        order = np.argsort(~plain, kind="stable")
+        place, n = np.empty(len(order), np.int64), int(plain.sum())
+        place[order] = np.arange(len(order))
+        pieces = [(i, min(n, i + _PLAIN), True) for i in range(0, n, _PLAIN)] + [(i, i + _OTHER, False) for i in range(n, len(order), _OTHER)]
+        each = [_facts(held, coded.dictionary.take(pa.array(order[i:j])), together, texts) for i, j, together in pieces]
+        found = Facts(*(np.concatenate([getattr(f, c) for f in each]) for c in ("good", "n_a", "n_b", "n_groups", "n_links", "links")), [g for f in each for g in f.groups])
+        which = place[coded.indices.to_numpy()]
+        yield part, found, which, first, np.logical_and.reduceat(found.good[which], first)
+
+
+def _added(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their times."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_column: str = "text", salts: int = 16) -> DataFrame:
@@ -199,16 +252,11 @@ def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_column: str = "t
     shuffled by pair and salt first, then by pair.  Null, empty and unaligned texts have no links."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        slices, keys, sums = _Slices(pair_of(a_path, b_path), False), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, facts, which, first, good in _chunks(batches, slices):
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, found, which, first, good in _chunks(batches, pair_of(a_path, b_path), False):
             use = np.repeat(good, np.diff(np.append(first, len(which))))
-            often = np.bincount(which[use], minlength=len(facts))
-            links = [f[4] for f in facts]
-            found = np.concatenate([keys, *links])
-            times = np.concatenate([sums, np.repeat(often, np.fromiter(map(len, links), np.int64, len(links)))])
-            keys, at = np.unique(found, return_inverse=True)
-            sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, at, times)
+            often = np.bincount(which[use], minlength=len(found.good))
+            keys, sums = _added(np.concatenate([keys, found.links]), np.concatenate([sums, np.repeat(often, found.n_links)]))
         some = sums > 0
         keys, sums = keys[some], sums[some]
         for i in range(0, len(keys), 10_000):
@@ -246,15 +294,13 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id"
     columns = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
-        slices = _Slices(pair_of(a_path, b_path), True)
-        for part, facts, which, first, good in _chunks(batches, slices):
-            _, n_a, n_b, n_groups, links, groups = zip(*facts)
-            sizes = np.fromiter(map(len, links), np.int64, len(links))
-            at = np.searchsorted(keys, np.concatenate([np.zeros(0, np.int64), *links]))
+        for part, found, which, first, good in _chunks(batches, pair_of(a_path, b_path), True):
+            at = np.searchsorted(keys, found.links)
             at = np.minimum(at, max(0, len(keys) - 1))  # links of unaligned texts may be unknown
-            to = np.concatenate([[0], np.cumsum(sizes)])
-            of = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[at])])[to]) if len(at) else np.zeros(len(sizes), np.int64)
-            sums = [np.add.reduceat(np.asarray(x, np.int64)[which], first) * good for x in (n_a, n_b, n_groups, sizes, of(best.astype(np.int64)), of(counts))]
+            to = np.concatenate([[0], np.cumsum(found.n_links)])
+            of = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[at])])[to]) if len(keys) else np.zeros(len(to) - 1, np.int64)
+            sums = [np.add.reduceat(x[which], first) * good for x in (found.n_a, found.n_b, found.n_groups, found.n_links, of(best.astype(np.int64)), of(counts))]
+            groups = found.groups
             ends = np.append(first[1:], len(which)).tolist()
             where = which.tolist()
             text = [";".join([groups[w] for w in where[i:j]]) if g else "" for i, j, g in zip(first.tolist(), ends, good.tolist())]
