@@ -18,6 +18,8 @@ from formwork.sources import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Of the queries of one column: table, column and schema.
+COLUMN_QUERIES: dict[str, tuple[str, str, str]] = {}
 
 
 def column_query(name: str, of: str, keys: str, column: str, schema: str, sql: str) -> None:
@@ -29,6 +31,7 @@ def column_query(name: str, of: str, keys: str, column: str, schema: str, sql: s
 
     QUERIES[name] = query
     ORACLES[name] = f"SELECT {', '.join(keys.split())}, {sql} AS valid FROM {of}"
+    COLUMN_QUERIES[name] = of, column, schema
 
 
 _LINE = "l_orderkey l_linenumber l_partkey l_suppkey l_extendedprice"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from formwork.operators import inference, keys, paths
+from formwork.operators import conform, inference, keys, paths, sql
 from formwork.operators import validation as v
 from formwork.operators.variant import parsed
 from formwork.plans.catalogue import _LINE, _ORDERS, _soundness, column_query, query, string_query
@@ -129,3 +129,46 @@ def k01(spark, sf_dir):
     """All lines against the orders that conform: quarantined orders leave orphans behind."""
     good = v.split(table(spark, sf_dir, "orders"), _ORDERS, closed=False)[0]
     return keys.key_violations({"lineitem": table(spark, sf_dir, "lineitem"), "orders": good}, _KEYED)
+
+
+# ------------------------------------------------------------------ conforming projections
+
+
+@query(
+    "c01_conform_json",
+    """SELECT event_id AS id, lower('User' || event_id || '@Mail.Example.ORG') AS mail, CASE WHEN event_type <> 'view' THEN (props::JSON->>'$.k')::BIGINT END AS k,
+    (props::JSON->>'$.k')::BIGINT + 1 AS first_n FROM events WHERE event_type <> 'click' AND (props::JSON->>'$.k')::BIGINT <= 80""",
+)
+def c01(spark, sf_dir):
+    """JSON to typed columns: mail addresses in normal form, optional and nested fields, wrong ones left out."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    fields = F.concat_ws(",", F.concat(F.lit('"id":'), "event_id"), F.concat(F.lit('"mail":"User'), "event_id", F.lit('@Mail.Example.ORG"')), F.when(kind != "view", F.concat(F.lit('"k":'), k)), F.when(kind == "click", F.lit('"z":1')), F.concat(F.lit('"list":[{"n":'), (k.cast("long") + 1).cast("string"), F.lit("}]")))
+    docs = table(spark, sf_dir, "events").select(parsed(F.concat(F.lit("{"), fields, F.lit("}"))).alias("value"))
+    schema = '{"id":(int),"mail":(email),"k":(int,x<=80,optional),"list":([{"n":(int,x<=81)}],len(x)==1)}'
+    typed = conform.conform_value(docs, "value", schema, "row").filter("row IS NOT NULL")
+    return typed.select("row.id", "row.mail", "row.k", F.col("row.list")[0]["n"].alias("first_n"))
+
+
+@query("c02_conform_table", "SELECT o_custkey, o_orderkey, lower(o_orderstatus || o_orderkey || '@x.ORG') AS contact, NULL::BIGINT AS later FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice < 200000")
+def c02(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("contact", F.concat("o_orderstatus", "o_orderkey", F.lit("@x.ORG")))
+    schema = '{"o_orderkey":(int,x%3==0),"o_custkey":(int),"contact":(email),"later":(int,optional),"o_totalprice":(float,x<200000)}'
+    return conform.conform(df, schema, closed=False).drop("o_totalprice")
+
+
+# ----------------------------------------------------------------------------- SQL surface
+
+
+@query("q01_sql_function", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE (o_totalprice < 50000 OR o_totalprice >= 150000.5::DOUBLE) AND o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND o_orderkey % 4 = 0 GROUP BY o_orderstatus")
+def q01(spark, sf_dir):
+    """Types as functions of the session, called in plain SQL."""
+    sql.create_function(spark, "fair_price", "(float, x < 50000 || x >= 150000.5)", "double")
+    sql.create_function(spark, "soon", '(string, x in ["1-URGENT", "3-MEDIUM"])', "string")
+    sql.create_function(spark, "fourth", "(int, x % 4 == 0)", "bigint")
+    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE fair_price(o_totalprice) AND soon(o_orderpriority) AND fourth(o_orderkey) GROUP BY o_orderstatus", orders=table(spark, sf_dir, "orders"))
+
+
+@query("q02_sql_condition", "SELECT vec_id, len([e FOR e IN embedding IF e::DOUBLE < -0.3::DOUBLE OR e::DOUBLE > 0.3::DOUBLE]) = 0 AND len(embedding) = 64 AS valid FROM embeddings")
+def q02(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    return df.selectExpr("vec_id", f"coalesce({sql.sql_condition(df, 'embedding', '([(float, -0.3 <= x <= 0.3)], len(x) == 64)')}, false) AS valid")

@@ -304,7 +304,7 @@ def single(base: t.Type, e) -> t.Constraint:
                 return t.Constraint(length=length_bound(root, op, right))
             if not mentions(e):
                 raise SchemaError("a comparison needs x")
-    if not mentions(e):
+    if not mentions(e) and not isinstance(e, Call):  # a function of the user's may look elsewhere
         raise SchemaError("a constraint needs x")
     if isinstance(e, (Name, Lit, ListNode)):
         raise SchemaError("a constraint is a condition")
