@@ -224,7 +224,7 @@ def _plain(slices: pa.Array) -> np.ndarray:
 def _chunks(batches, held: Pair, texts: bool) -> Iterator[tuple]:
     """For each chunk of texts: its rows, its distinct slices' facts, the slice at each place, where
     each text's places begin, and which texts align as a whole."""
-    for part, chunk in text_chunks(batches, 16 << 20):
+    for part, chunk in text_chunks(batches, 8 << 20):
         coded, first = sliced(chunk, held.sliced)
         plain = _plain(coded.dictionary) & held.sliced
         order = np.argsort(~plain, kind="stable")

@@ -35,7 +35,8 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text needs to be searched at all.
+#: What a text needs to be searched at all: each match of a pattern holds a match of its hint, so
+#: that no span depends on what else the text has.
 HINT = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Other spellings, which only count if the classifier says so.
 LOOSE = {
@@ -45,7 +46,7 @@ LOOSE = {
     "phone": r"(?<![0-9A-Za-z+.(-])(?<!\+[0-9]{1,3} )(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ ./-]|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z.-])",
     "secret": r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=.-])",
 }
-LOOSE_HINT = {"email": r"(?i)[(\[{ ]dot[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}", "phone": r"[0-9][ ).-]{1,2}[0-9]{3,4}[ .-][0-9]{3}", "secret": r"[0-9][A-Za-z0-9_+/-]{9}"}
+LOOSE_HINT = {"email": r"(?i)[(\[{ ]dot[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}", "phone": r"[0-9](?:\) ?|[ ./-])[0-9]{3,4}[ .-][0-9]{3}", "secret": r"[A-Za-z0-9_+/-]{20}"}
 
 #: Gazetteers (fixed values): top-level domains, calling codes, first digits of card issuers.
 DOMAINS = r"(?i)[.\]) ](?:com|org|net|edu|gov|int|mil|info|io|co|de|fr|es|it|nl|be|at|ch|uk|us|eu|ca|au|jp|cn|br|mx|ar|pt|pl|se|no|dk|fi|example|test)$"

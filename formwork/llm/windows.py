@@ -9,10 +9,12 @@ the minimiser.  Equal windows have equal minimisers, so each bucket can be judge
   documents, and pieces in cells with far more than their share come after all others.  A window
   that reaches beyond a common passage thus goes where its rarer part sends it, and no bucket
   gathers the surroundings of a common passage.  The sketch has more cells where there is more
-  input, so that what counts as frequent doesn't rise with it.
+  input, so that what counts as frequent doesn't rise with it, up to ``MOST_CELLS``, which bounds
+  what a task, its closure and the driver hold.
 * The strings that tasks would send are counted by minimiser.  Where there are more than
-  ``per_group``, the windows travel one by one and by a longer key, the hash of all their symbols,
-  so that a group of these holds copies of one window only.
+  ``per_group`` (at very large inputs, than a 2**20th of all strings), the windows travel one by one and by a longer key, the hash of all their symbols,
+  so that a group of these holds copies of one window only.  There are up to ``MOST_HOT`` of these
+  minimisers, so that a task's list of them is bounded, too; what these bounds leave is a larger group, with the same result.
 * Each task folds equal strings before the shuffle.  Strings it saw twice are settled there and
   travel once, without their places; the others travel with theirs.
 
@@ -86,11 +88,26 @@ class _Symbols:
         return self.rolling.of(self.starts[:n], self.ends[width - 1 :]) if n > 0 else np.zeros(0, np.uint64)
 
 
+#: Cells of the sketch at most: 64 MiB of counts in a task, 2 MiB of bits in a closure and on the driver.
+MOST_CELLS = 1 << 24
+#: Minimisers whose windows travel one by one at most: 8 MiB in a closure and on the driver.
+MOST_HOT = 1 << 20
+
+
 def sketch_cells(symbols: int) -> int:
-    """Cells of the sketch: as many more as the input has more than 2**29 symbols, in powers of two.
+    """Cells of the sketch: as many more as the input has more than 2**29 symbols, in powers of two,
+    up to ``MOST_CELLS``.
+
+    Up to 2**37 symbols the mean cell has 2**13 pieces at most, so that frequent pieces begin at
+    2**16 or below; beyond, they begin at 8 times the mean cell."""
+    return min(MOST_CELLS, CELLS << max(0, (symbols - 1) >> 29).bit_length())
+
 
-    The mean cell has 2**13 pieces at most, so that frequent pieces begin at 2**16 or below."""
-    return CELLS << max(0, (symbols - 1) >> 29).bit_length()
+def hot_from(pieces: int, plan: Plan) -> int:
+    """Strings of a minimiser beyond which its windows travel one by one, for so many pieces in all:
+    ``per_group``, or a 2**20th of the strings that random texts would give, if that is more."""
+    strings = 2 * pieces // (plan.width - plan.part + 2)
+    return max(plan.per_group, strings // MOST_HOT)
 
 
 def common_pieces(texts: DataFrame, plan: Plan, cells: int) -> tuple[np.ndarray, int]:
@@ -135,8 +152,9 @@ def common_pieces(texts: DataFrame, plan: Plan, cells: int) -> tuple[np.ndarray,
     return found, pieces
 
 
-def hot_minimisers(texts: DataFrame, plan: Plan, bits: np.ndarray) -> np.ndarray:
-    """Sorted minimisers of which tasks would send more than ``plan.per_group`` strings.
+def hot_minimisers(texts: DataFrame, plan: Plan, bits: np.ndarray, pieces: int) -> np.ndarray:
+    """Sorted minimisers of which tasks would send more than ``hot_from`` strings; of more than
+    ``MOST_HOT`` the most frequent.
 
     A task counts the distinct strings of each; it leaves out counts below four, so that what is
     missed is three strings a task at most."""
@@ -163,8 +181,9 @@ def hot_minimisers(texts: DataFrame, plan: Plan, bits: np.ndarray) -> np.ndarray
                 minimisers, strings, size = [], [], 0
         yield counts()
 
-    rows = texts.select("text").mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).filter(F.col("n") > plan.per_group)
-    return np.sort(np.array([r.minimiser for r in rows.select("minimiser").collect()], np.int64).view(np.uint64))
+    rows = texts.select("text").mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_from(pieces, plan))
+    most = rows.orderBy(F.desc("n"), "minimiser").limit(MOST_HOT).select("minimiser").toArrow()
+    return np.sort(most.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _runs(s: _Symbols, plan: Plan, common: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -333,7 +352,7 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
     where it stands, and returns, for strings that have them, a mask of the windows that another string shares."""
     symbols = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, total = common_pieces(texts, plan, sketch_cells(symbols))
-    hot = hot_minimisers(texts, plan, bits)
+    hot = hot_minimisers(texts, plan, bits, total)
     buckets = max(1, -(-total // plan.per_bucket))
     width, words = plan.width, plan.words
 

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -507,3 +508,60 @@ def test_pipeline_against_plain_stages(spark, data):
     ids = {i: library.encode(r.text, add_special_tokens=False).ids for i, r in clean_rows.items()}
     wanted = Counter((i, len(ids[i]), tuple(ids[i])) for (i, _, _), n in copies.items() for _ in range(n))
     assert Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, data).collect()) == Counter({k: n for k, n in wanted.items() if k[1]})
+
+
+# ------------------------------------------------------------------------- hints of personal data
+
+
+def _made(rng, kind, loose):
+    """A text that is shaped like a match."""
+    pick, digits = rng.choice, lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda n: "".join(rng.choice("abcXYZ09") for _ in range(n))
+    if kind == "email":
+        at, dot = (pick([" at ", "(at)", " [AT] ", "{at} "]), pick([" dot ", "(dot)", " [Dot] ", "{dot}"])) if loose else ("@", ".")
+        return word(3) + at + word(4) + dot + word(2) + pick(["", dot + "de"])
+    if kind == "ip":
+        return ":".join(word(rng.randrange(1, 5)).lower().translate(str.maketrans("xyz", "abc")) for _ in range(8)) if loose else ".".join(digits(rng.randrange(1, 4)) for _ in range(4))
+    if kind == "card":
+        sep = pick("._/") if loose else pick(["", " ", "-"])
+        return sep.join(digits(4) for _ in range(4))
+    if kind == "phone":
+        if not loose:
+            return "+" + digits(1) + pick([" ", "(", ".", "-", "1"]) + digits(rng.randrange(5, 12))
+        return pick([f"({digits(rng.randrange(2, 6))}){pick(['', ' '])}", f"0{digits(rng.randrange(1, 5))}{pick(' ./-')}", f"{digits(3)}{pick('.-')}"]) + digits(rng.randrange(3, 5)) + pick(" .-") + digits(rng.randrange(3, 6))
+    return "".join(pick("abcXYZ_+/-019") for _ in range(rng.randrange(19, 40))) + pick(["", "=", "=="])
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_each_match_holds_its_hint(loose):
+    """A text with a match is searched, whatever else it has."""
+    rng = random.Random(17)
+    patterns, hints = (personal.LOOSE, personal.LOOSE_HINT) if loose else (personal.BASE, personal.HINT)
+    for kind, pattern in patterns.items():
+        plain, hint, found = regex.compile(pattern.replace(r"(?:\G|", "(?:")), regex.compile(hints[kind]), 0
+        for _ in range(3000):
+            text = pick_text(rng, _made(rng, kind, loose))
+            for m in plain.finditer(text):
+                found += 1
+                assert hint.search(m[0]), (kind, m[0])
+        assert found > 1000, kind
+
+
+def pick_text(rng, made):
+    """The text, sometimes with one character changed or put among others."""
+    if rng.random() < 0.3:
+        i = rng.randrange(len(made))
+        made = made[:i] + rng.choice(" .-/()0a:") + made[i + 1 :]
+    return rng.choice(["", "call ", "x (", "\n"]) + made + rng.choice(["", " now", ".", ")"])
+
+
+def test_spans_do_not_depend_on_other_parts(spark):
+    """What is found in a text is found in it beside other text, too: candidates are the same."""
+    texts = ["Telefon 030/1234 5678", "token: abcdEFGHijklMNOPqrst1", "call (030) 123 45678", "visa 4111.1111.1111.1111", "ann (at) mail (dot) org", "key: ABCDEFGHIJKLMNOPQRST0"]
+    others = ["030 1234 5678", "9abcdefghij", "1.2", "nothing"]
+    rows = [(i, t + tail) for i, (t, tail) in enumerate((t, tail) for t in texts for tail in ["", *(f"\n\n\n and then {o}" for o in others)])]
+    found = spark.createDataFrame(rows, "i int, text string").select("i", "text", personal.candidates(F.col("text")).alias("c")).collect()
+    for r in found:
+        own = texts[r.i // (1 + len(others))]
+        alone = {(c.kind, c.start, c.end) for c in found[r.i - r.i % (1 + len(others))].c}
+        assert alone and alone <= {(c.kind, c.start, c.end) for c in r.c if c.end <= len(own)}

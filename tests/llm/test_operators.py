@@ -233,4 +233,32 @@ def test_hot_groups_are_divided(spark, plan):
 
 def test_frequent_pieces_begin_at_a_fixed_count():
     assert windows.sketch_cells(1 << 20) == windows.sketch_cells(1 << 29) == 1 << 16
-    assert all(8 * n // windows.sketch_cells(n) <= 1 << 16 for n in (30 * 10**9, 3 * 10**12))
+    assert all(8 * n // windows.sketch_cells(n) <= 1 << 16 for n in (30 * 10**9, 130 * 10**9))
+
+
+@pytest.mark.parametrize("plan", [windows.WORD_PLAN, windows.BYTE_PLAN], ids=["words", "bytes"])
+def test_what_tasks_hold_is_bounded(plan):
+    """Counts, bits and the list of hot minimisers, at any input: 100 TB, 10 PB."""
+    for n in (10**9, 10**12, 10**14, 10**16):
+        cells = windows.sketch_cells(n)
+        assert 4 * cells <= 64 << 20 and cells // 8 <= 2 << 20 and 8 * windows.MOST_HOT <= 8 << 20
+        assert windows.hot_from(n, plan) >= plan.per_group
+    assert windows.hot_from(10**10, plan) == plan.per_group
+    assert windows.hot_from(10**14, plan) < 1.4e7  # strings in a group that travels whole
+
+
+@pytest.mark.parametrize("plan", [windows.WORD_PLAN, windows.BYTE_PLAN], ids=["words", "bytes"])
+def test_bounds_change_no_result(spark, data, plan, monkeypatch):
+    """Few cells and one hot minimiser give the spans that many give."""
+    table = common.keyed(spark.read.parquet(f"{data}/documents.parquet"))
+    judge = windows.sorted_windows(plan.width) if plan.words else windows.suffix_blocks(plan.width, plan.part)
+
+    def covered():
+        found = {}
+        for r in windows.repeated_spans(table, dataclasses.replace(plan, per_group=5), judge).collect():
+            found.setdefault((r.key_a, r.key_b), set()).update(range(r.begin, r.end))
+        return found
+
+    many = covered()
+    monkeypatch.setattr(windows, "MOST_HOT", 1)
+    assert covered() == many
