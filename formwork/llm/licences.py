@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ TEMPLATES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Full texts of long licences, as files (fixed values).
+FULL = ("Apache-2.0", "CC0-1.0", "GPL-3.0", "MPL-2.0")
+TEMPLATES |= {f"{name}-full": (files("formwork.llm") / "texts" / f"{name}.txt").read_text(encoding="utf-8") for name in FULL}
 
 SHINGLE = 5
 #: Letters and digits, and all bytes beyond ASCII, make words; A-Z become a-z.

@@ -43,15 +43,43 @@ class Ordinal:
 
     def above(self, words: Counter) -> np.ndarray:
         """P(grade > k) for each k."""
-        weights, found = self.weights, {}
-        for w, n in words.items():
-            if w in weights:
-                found[w] = n
-            for k in range(3, min(9, len(w))):
-                if (stem := w[:k] + "~") in weights:
-                    found[stem] = found.get(stem, 0) + n
-        z = sum(weights[f] * (1 + np.log2(found[f])) for f in sorted(found))
-        return 1 / (1 + np.exp(np.clip(np.array(self.cuts) - z, -500, 500)))
+        return Scorer(self).above([words])[0]
+
+
+class Scorer:
+    """The model with its features by number, and the features of words that it has met."""
+
+    KNOWN = 200_000
+
+    def __init__(self, model: Ordinal):
+        self.number = {f: i for i, f in enumerate(sorted(model.weights))}
+        self.weights = np.array([model.weights[f] for f in sorted(model.weights)])
+        self.cuts = np.array(model.cuts)
+        self.met: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        """The numbers of the word and of its beginnings that have weights."""
+        found = self.met.get(word)
+        if found is None:
+            names = [word, *(word[:k] + "~" for k in range(3, min(9, len(word))))]
+            found = tuple(self.number[n] for n in names if n in self.number)
+            if len(self.met) >= self.KNOWN:
+                self.met.clear()
+            self.met[word] = found
+        return found
+
+    def above(self, texts: list[Counter]) -> np.ndarray:
+        """P(grade > k) for each k (columns) and text (rows)."""
+        place, often, width = [], [], max(1, len(self.weights))
+        for i, words in enumerate(texts):
+            for w, n in words.items():
+                for f in self.of(w):
+                    place.append(i * width + f)
+                    often.append(n)
+        keys, which = np.unique(np.array(place, np.int64), return_inverse=True)
+        counts = np.bincount(which, often, len(keys)) if len(keys) else np.zeros(0)
+        z = np.bincount(keys // width, self.weights[keys % width] * (1 + np.log2(counts)), len(texts)) if len(keys) else np.zeros(len(texts))
+        return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -500, 500)))
 
 
 def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 0.0005, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade_column: str = "toxic", per_gra
 
     Up to ``per_grade`` labelled ids of each grade, least hash first, are the sample, with one text
     each (the one of least hash): a bound that doesn't grow with the data, so the sample's ids are
-    broadcast and its word counts come to the driver.  Of labels that disagree the least counts.
+    broadcast and its word counts come to the driver.  The model has up to ``most`` features, those that tell grades
+    best; words and stems in fewer than three rows of the sample are none.  Of labels that disagree the least counts.
     The grades' shares in all labels correct the cuts.  Rows with a null id, grade or text don't
     count; without both a zero and a positive grade the model rejects nothing.
     """
@@ -192,14 +221,14 @@ def grade(docs: DataFrame, model: Ordinal, text_column: str = "text", prefix: st
     return docs.mapInArrow(rows, schema)
 
 
-def graded(model: Ordinal, texts: pa.Array) -> tuple[list[float], list[int]]:
+def graded(model: Ordinal, texts: pa.Array, at_once: int = 500) -> tuple[list[float], list[int]]:
     """Expected severity and grade of each text."""
-    severity, grades = [], []
-    for text in texts.to_pylist():
-        words = word_counts(text or "")
-        p = model.above(words) if words else np.zeros(len(model.cuts))
-        severity.append(float(p.sum()))
-        grades.append(int((p >= 0.5).sum()))
+    scorer, severity, grades = Scorer(model), [], []
+    for i in range(0, len(texts), at_once):
+        counts = [word_counts(x or "") for x in texts.slice(i, at_once).to_pylist()]
+        p = scorer.above(counts) * np.array([bool(c) for c in counts])[:, None]
+        severity += p.sum(axis=1).tolist()
+        grades += (p >= 0.5).sum(axis=1).tolist()
     return severity, grades
 
 

@@ -14,7 +14,7 @@ from formwork.llm import alignment, bpe, common, jaccard, licences, mixing, neig
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside, as columns of the user's.
-CLASHES = "spans n row own unit token node key_a key_b candidates size draw copies part tile words kept score of good severity batch removed ids decoded rank dim cb qb asks __id __row __text __words __time __size __copies __spans __one __rejected url host path rule ruled verdict blocked fold part value urls a b n groups salt dim most packed vector component grade severity".split()
+CLASHES = "spans n row own unit token node key_a key_b candidates size draw copies part tile words kept score of good severity batch removed ids decoded rank dim cb qb asks __id __row __text __words __time __size __copies __spans __one __rejected url host path rule ruled verdict blocked fold value urls a b groups salt most packed vector component grade".split()
 ODD = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES)
 EMAIL = "write to ann.lee@mail.example.com or +1 (743) 555-3824, card 4111 1111 1111 1111, host 10.1.2.3"
 
