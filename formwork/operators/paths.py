@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from formwork.operators import columns, variant
 from formwork.operators.expressions import constraint, sure
-from formwork.operators.validation import row_condition
+from formwork.operators.validation import free_name, row_condition
 from formwork.schema import types as t
 from formwork.schema.compile import compile_schema
 from formwork.schema.syntax import SchemaError
@@ -232,12 +232,6 @@ def _row_problems(df: DataFrame, kind: t.Type, closed: bool) -> Column:
     return _all(*found)
 
 
-def _free(name: str, df: DataFrame) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def nested_violations(df: DataFrame, schema, keys: list[str], closed: bool = True, names: dict | None = None) -> DataFrame:
     """``keys``, ``path``, ``place`` and ``problem``: a row for each innermost value that violates
     the object schema, in nested columns of any kind.
@@ -248,7 +242,7 @@ def nested_violations(df: DataFrame, schema, keys: list[str], closed: bool = Tru
     kind = compile_schema(schema, names)
     known = {f.name for f in kind.fields} if isinstance(kind, t.ObjectType) else set()
     rows = df.drop(*(k for k in keys if k not in known)) if closed else df
-    found = _free("found", df)
+    found = free_name("found", df.columns)
     bad = df.filter(~sure(row_condition(rows, kind, closed))).select(*keys, F.explode(_row_problems(rows, kind, closed)).alias(found))
     return bad.select(*keys, f"{found}.path", f"{found}.place", f"{found}.problem")
 
@@ -259,7 +253,7 @@ def value_violations(df: DataFrame, column: str, schema, keys: list[str], names:
     kind, x = compile_schema(schema, names), _typed(F.col(column), df.schema[column].dataType)
     at = At(F.lit(""), F.lit(""))
     missing = _none() if not isinstance(x, _Json) and columns.accepts_null(kind) else at.problem(F.lit(True), "missing")
-    found = _free("found", df)
+    found = free_name("found", df.columns)
     bad = df.filter(~x.fits(kind)).select(*keys, F.explode(F.when(x.absent(), missing).otherwise(problems(kind, x, at, True))).alias(found))
     return bad.select(*keys, f"{found}.path", f"{found}.place", f"{found}.problem")
 
@@ -277,6 +271,6 @@ def samples(found: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     that a place that is violated everywhere sends ``k`` rows a task and no table is sorted."""
     group = [*(by or []), "place", "problem"]
     order = [c for c in found.columns if c not in group]
-    rank = _free("rank", found)
+    rank = free_name("rank", found.columns)
     ranked = found.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.filter(F.col(rank) <= k).drop(rank)

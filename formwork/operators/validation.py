@@ -18,16 +18,26 @@ from formwork.schema.syntax import SchemaError
 
 
 def condition(df: DataFrame, column: str, schema, names: dict | None = None) -> Column:
-    """Whether the values of one column (typed or VARIANT) belong to a schema."""
+    """Whether the values of one column (typed or VARIANT) belong to a schema.
+
+    The condition is NULL where the value is, and where arithmetic has no result (``10 / x > 1`` at 0): a filter on it
+    keeps what belongs; for a filter on its opposite wrap it in ``sure``."""
     kind, dt = compile_schema(schema, names), df.schema[column].dataType
     if isinstance(dt, T.VariantType):
         return variant.predicate(kind, F.col(column))
     return columns.field(kind, False, F.col(column), dt)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def json_condition(text: Column, schema, names: dict | None = None) -> Column:
     """Whether a column of JSON text belongs to a schema; text that isn't exactly one JSON value
-    belongs to none."""
+    belongs to none.  NULL counts as no, as in ``condition``: wrap it in ``sure`` to negate it."""
     return variant.predicate(compile_schema(schema, names), variant.parsed(text))
 
 
@@ -76,10 +86,12 @@ def report(df: DataFrame, schema, by: list[str] | None = None, closed: bool = Tr
     """``path, valid, invalid``: counts for each field, in one pass; ``by``: for each group."""
     by = by or []
     conditions = field_conditions(df.drop(*by) if closed else df, schema, closed, names)
-    counts = [F.struct(F.count_if(sure(p)).alias("valid"), F.count_if(~sure(p)).alias("invalid")).alias(f"__{i}") for i, p in enumerate(conditions.values())]
+    held = [free_name(f"counts{i}", by) for i in range(len(conditions))]
+    counts = [F.struct(F.count_if(sure(p)).alias("valid"), F.count_if(~sure(p)).alias("invalid")).alias(c) for c, p in zip(held, conditions.values())]
     rows = df.groupBy(*by).agg(*counts)
-    paths = F.array(*(F.struct(F.lit(name).alias("path"), F.col(f"__{i}.valid").alias("valid"), F.col(f"__{i}.invalid").alias("invalid")) for i, name in enumerate(conditions)))
-    return rows.select(*by, F.explode(paths).alias("r")).select(*by, "r.*")
+    paths = F.array(*(F.struct(F.lit(name).alias("path"), F.col(f"{c}.valid").alias("valid"), F.col(f"{c}.invalid").alias("invalid")) for c, name in zip(held, conditions)))
+    one = free_name("r", by)
+    return rows.select(*by, F.explode(paths).alias(one)).select(*by, f"{one}.*")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from formwork.operators.validation import validate
+from formwork.operators.validation import free_name, validate
 
 
 def validated(stream: DataFrame, schema, name: str = "valid", closed: bool = True) -> DataFrame:
@@ -17,10 +17,11 @@ def quarantine(stream: DataFrame, schema, good_path: str, bad_path: str, checkpo
     number, so that a repeated batch replaces its own files."""
 
     def put(batch: DataFrame, number: int) -> None:
-        held = validate(batch, schema, "__valid", closed).persist()
+        mark = free_name("valid", batch.columns)
+        held = validate(batch, schema, mark, closed).persist()
         try:
             for wanted, path in ((True, good_path), (False, bad_path)):
-                held.filter(held["__valid"] == wanted).drop("__valid").write.mode("overwrite").parquet(f"{path}/batch={number}")
+                held.filter(held[mark] == wanted).drop(mark).write.mode("overwrite").parquet(f"{path}/batch={number}")
         finally:
             held.unpersist()
 
