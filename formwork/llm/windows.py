@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, keyed, sliding_min, text_chunks, type_of, written
 
+#: Bytes of texts that are hashed at a time.
+_AT_ONCE = 512 << 10
 _PACKED = "bucket long, pack binary, key_a long, key_b long, spans binary"
 _SPANS = "key_a long, key_b long, begin int, end int"
 
@@ -119,7 +121,7 @@ def common_pieces(texts: DataFrame, plan: Plan, cells: int) -> tuple[np.ndarray,
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
-        for _, chunk in text_chunks(batches, 512 << 10):
+        for _, chunk in text_chunks(batches, _AT_ONCE):
             s = _Symbols(chunk, plan.words)
             np.add.at(total, (s.hashes(plan.part)[s.inside(plan.part)] >> shift).astype(np.int64), np.uint32(1))
         blocks = total.reshape(-1, 1 << 14)
@@ -169,7 +171,7 @@ def hot_minimisers(texts: DataFrame, plan: Plan, bits: np.ndarray, pieces: int)
             some = often > 3
             return pa.RecordBatch.from_arrays([pa.array(which[some].view(np.int64)), pa.array(often[some])], ["minimiser", "n"])
 
-        for _, chunk in text_chunks(batches, 512 << 10):
+        for _, chunk in text_chunks(batches, _AT_ONCE):
             s = _Symbols(chunk, plan.words)
             first, last, minimiser, _ = _runs(s, plan, common, np.zeros(0, np.uint64))
             if len(first):
@@ -358,7 +360,7 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
 
     def pack(batches) -> Iterator[pa.RecordBatch]:
         folded, common = _Folded(plan, buckets), np.unpackbits(bits).astype(bool)
-        for part, chunk in text_chunks(batches, 512 << 10):
+        for part, chunk in text_chunks(batches, _AT_ONCE):
             folded.add(_Symbols(chunk, words), arrow_column(part, "key_a"), arrow_column(part, "key_b"), common, hot)
             if folded.size > plan.held:
                 yield from folded.rows()
@@ -453,38 +455,54 @@ def sorted_windows(width: int) -> Judge:
     return judge
 
 
-class _Sequences:
-    """The transform and the common prefixes of rows, as files that are read and written from their
-    beginning to their end, some rows at a time."""
+class _Sequence:
+    """The rows of a transform, a symbol and a common prefix each, as a file that is read and written
+    from its beginning to its end, some rows at a time.
 
-    KINDS = ("symbol", "common")
+    A row is one number, the symbol above ``bits`` bits of common prefix."""
 
-    def __init__(self, folder: str, kinds: tuple, piece: int):
-        self.kinds, self.piece, self.rows = kinds, piece, 0
-        self.files, self.other = ([open(f"{folder}/{name}-{k}", "w+b", buffering=0) for name in self.KINDS] for k in "ab")
+    def __init__(self, folder: str, symbols: int, width: int, piece: int):
+        self.bits = 8 if width < 256 else 16
+        self.kind = np.dtype(np.uint16 if self.bits == 8 and symbols <= 256 else np.uint32)
+        self.piece, self.rows = piece, 0
+        self.file, self.other = (open(f"{folder}/rows-{k}", "w+b", buffering=0) for k in "ab")
 
-    def pieces(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(first row, arrays of these names) for all rows."""
-        which = [self.KINDS.index(name) for name in names]
-        for i in which:
-            self.files[i].seek(0)
+    def row(self, symbol: np.ndarray, common: np.ndarray) -> np.ndarray:
+        return (symbol.astype(self.kind) << self.bits) | common.astype(self.kind)
+
+    def symbols(self, rows: np.ndarray) -> np.ndarray:
+        return rows >> self.bits
+
+    def common(self, rows: np.ndarray) -> np.ndarray:
+        return rows.astype(np.uint8 if self.bits == 8 else np.uint16)  # the lower bits
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, rows) for all rows."""
+        self.file.seek(0)
         for at in range(0, self.rows, self.piece):
-            yield at, [np.fromfile(self.files[i], self.kinds[i], min(self.piece, self.rows - at)) for i in which]
+            yield at, np.fromfile(self.file, self.kind, min(self.piece, self.rows - at))
 
-    def replace(self, pieces: Iterator[list[np.ndarray]]) -> None:
-        """Write pieces of both to the other files, which are then the ones that are read."""
+    def replace(self, pieces: Iterator[np.ndarray]) -> None:
+        """Write pieces to the other file, which is then the one that is read."""
         rows = 0
-        for f in self.other:
-            f.seek(0)
+        self.other.seek(0)
         for piece in pieces:
-            for f, x, k in zip(self.other, piece, self.kinds):
-                f.write(memoryview(x.astype(k, copy=False)).cast("B"))
-            rows += len(piece[0])
-        self.files, self.other, self.rows = self.other, self.files, rows
+            self.other.write(memoryview(piece).cast("B"))
+            rows += len(piece)
+        self.file, self.other, self.rows = self.other, self.file, rows
 
     def close(self) -> None:
-        for f in (*self.files, *self.other):
-            f.close()
+        self.file.close()
+        self.other.close()
+
+
+def _ordered(symbol: np.ndarray, symbols: int) -> tuple[np.ndarray, int]:
+    """Places by symbol, then place, as numbers with the symbol above so many bits of place."""
+    kind, bits = (np.uint32, 24) if symbols <= 256 and len(symbol) <= 1 << 24 else (np.uint64, 40)
+    keys = symbol.astype(kind) << kind(bits)
+    keys |= np.arange(len(symbol), dtype=kind)
+    keys.sort()
+    return keys, bits
 
 
 def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[np.ndarray]:
@@ -506,32 +524,33 @@ def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[
         return out
     ends = np.cumsum(lengths)
     values, text = np.unique(np.frombuffer(b"".join(strings), np.uint8), return_inverse=True)
-    text = (text + 1).astype(np.uint8 if len(values) < 255 else np.int16)  # 0 ends a string
+    text = (text + 1).astype(np.int16)  # 0 ends a string
     longest, symbols = int(lengths.max()), len(values) + 1
     with tempfile.TemporaryDirectory(prefix="transform-") as folder:
-        held = _Sequences(folder, (text.dtype, np.uint8 if width < 256 else np.int32), piece)
+        held = _Sequence(folder, symbols, width, piece)
         last = np.where(lengths > 0, text[np.maximum(ends - 1, 0)], 0)
-        held.replace([last[a : a + piece], np.zeros(min(piece, n - a))] for a in range(0, n, piece))
+        held.replace(held.row(last[a : a + piece], np.zeros(min(piece, n - a))) for a in range(0, n, piece))
         total = np.bincount(last, minlength=symbols)
         at, active = np.arange(n), np.arange(n)
         for r in range(1, longest + 1):
             keep = lengths[active] >= r
             active, at = active[keep], at[keep]
-            symbol, rank, up, down = _places(held, at, symbols, width)
+            symbol, rank, up, down = _places(held, at, total, width)
             new = n + (np.cumsum(total) - total - total[0])[symbol] + rank
             order = np.argsort(new)
             at, active, up, down = new[order], active[order], up[order], down[order]
             added = np.where(lengths[active] > r, text[np.maximum(ends[active] - r - 1, 0)], 0)
-            held.replace(_merged(held, at, added, up, down))
-            total += np.bincount(added, minlength=symbols)
+            held.replace(_merged(held, at, held.row(added, up), down))
+            total = total + np.bincount(added, minlength=symbols)
         held.piece = held.rows
-        ((_, (row, common)),) = held.pieces("symbol", "common")
+        ((_, rows),) = held.pieces()
         held.close()
-    shared = common >= width
+    shared = held.common(rows) >= width
     shared[:-1] |= shared[1:]
-    step = np.empty(len(row), np.int32)
-    step[np.argsort(row, kind="stable")] = _numbers(len(row))
-    step += n - np.count_nonzero(row == 0)
+    keys, bits = _ordered(held.symbols(rows), symbols)
+    step = np.empty(len(rows), np.int32)
+    step[keys & keys.dtype.type((1 << bits) - 1)] = np.arange(len(rows), dtype=np.int32)
+    step += n - int(total[0])
     at, active = np.arange(n), np.arange(n)
     for r in range(1, longest + 1):
         keep = lengths[active] >= r
@@ -541,22 +560,25 @@ def column_wise(strings: list[bytes], width: int, piece: int = 1 << 20) -> list[
     return out
 
 
-def _places(held: _Sequences, at: np.ndarray, symbols: int, width: int) -> tuple[np.ndarray, ...]:
+def _places(held: _Sequence, at: np.ndarray, total: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """For rows ``at`` (ascending): their symbol, how often rows before have it, and one more than
-    the common prefix with the last row before and with the next row behind that has it (0 without)."""
-    far, whole = 1 << 30, held.rows <= held.piece  # whole: nothing is carried from piece to piece
+    the common prefix with the last row before and with the next row behind that has it (0 without).
+    ``total``: how many rows have each symbol."""
+    far, whole, symbols = 1 << 30, held.rows <= held.piece, len(total)  # whole: nothing is carried from piece to piece
     symbol, rank, up, down = (np.zeros(len(at), np.int64) for _ in range(4))
     seen = np.zeros(symbols, np.int64)
     since = np.full(symbols, far)  # least common prefix behind a symbol's last row
     waits = np.full(symbols, -1)  # which of ``at`` is a symbol's last row
-    for begin, (row, common) in held.pieces("symbol", "common"):
-        lo, hi = np.searchsorted(at, [begin, begin + len(row)])
-        order = np.argsort(row, kind="stable")
-        counts = np.bincount(row, minlength=symbols)
+    for begin, rows in held.pieces():
+        row, common = held.symbols(rows), held.common(rows)
+        lo, hi = np.searchsorted(at, [begin, begin + len(rows)])
+        keys, bits = _ordered(row, symbols)
+        of = lambda i, keys=keys, bits=bits: (keys[i] & keys.dtype.type((1 << bits) - 1)).astype(np.int64)
+        counts = total if whole else np.bincount(row, minlength=symbols)
         base = np.cumsum(counts) - counts
         if not whole:
             there = np.flatnonzero(counts)
-            first, final = order[base[there]], order[base[there] + counts[there] - 1]
+            first, final = of(base[there]), of(base[there] + counts[there] - 1)
             reach = np.minimum.accumulate(common)
             least = np.minimum(since[there], reach[first])
             waiting = waits[there] >= 0
@@ -565,12 +587,10 @@ def _places(held: _Sequences, at: np.ndarray, symbols: int, width: int) -> tuple
         place = at[lo:hi] - begin
         if len(place):
             own = row[place].astype(np.int64)
-            where = np.empty(len(row), np.int32)
-            where[order] = _numbers(len(row))
-            j = where[place]
+            j = np.searchsorted(keys, ((own << bits) | place).astype(keys.dtype))
             symbol[lo:hi], rank[lo:hi] = own, seen[own] + j - base[own]
             head, tail = j == base[own], j == base[own] + counts[own] - 1
-            ahead, behind = order[np.maximum(j - 1, 0)], order[np.minimum(j + 1, len(row) - 1)]
+            ahead, behind = of(np.maximum(j - 1, 0)), of(np.minimum(j + 1, len(rows) - 1))
             up[lo:hi] = np.where(head, 0, np.minimum(_least(common, ahead + 1, place + 1, ~head) + 1, width))
             down[lo:hi] = np.where(tail, 0, np.minimum(_least(common, place + 1, behind + 1, ~tail) + 1, width))
             if not whole:
@@ -585,34 +605,18 @@ def _places(held: _Sequences, at: np.ndarray, symbols: int, width: int) -> tuple
     return symbol, rank, up, down
 
 
-_counted = np.zeros(0, np.int32)
-
-
-def _numbers(n: int) -> np.ndarray:
-    global _counted
-    if len(_counted) < n:
-        _counted = np.arange(2 * n, dtype=np.int32)
-    return _counted[:n]
-
-
-def _merged(held: _Sequences, at: np.ndarray, symbol: np.ndarray, up: np.ndarray, down: np.ndarray) -> Iterator[list[np.ndarray]]:
-    """The rows with new ones, which stand at ``at`` (ascending) in the end."""
+def _merged(held: _Sequence, at: np.ndarray, added: np.ndarray, down: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows with ``added`` ones, which stand at ``at`` (ascending) in the end; ``down``: common
+    prefixes of the rows behind them."""
     before = at - np.arange(len(at))  # the old row that each comes before
     final = np.append(before[1:] != before[:-1], True) & (down > 0)
-    for begin, (row, common) in held.pieces(*held.KINDS):
-        stop = begin + len(row) + (begin + len(row) == held.rows)
+    for begin, rows in held.pieces():
+        stop = begin + len(rows) + (begin + len(rows) == held.rows)
         lo, hi = np.searchsorted(before, [begin, stop])
         next_to = lo + np.flatnonzero(final[lo:hi])
-        common[before[next_to] - begin] = down[next_to]
-        new = before[lo:hi] - begin + np.arange(hi - lo)
-        old = np.ones(len(row) + hi - lo, bool)
-        old[new] = False
-        wide = []
-        for kept, added in ((row, symbol), (common, up)):
-            x = np.empty(len(old), kept.dtype)
-            x[old], x[new] = kept, added[lo:hi]
-            wide.append(x)
-        yield wide
+        place = before[next_to] - begin
+        rows[place] = held.row(held.symbols(rows[place]), down[next_to])
+        yield np.insert(rows, before[lo:hi] - begin, added[lo:hi])
 
 
 def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -641,7 +645,7 @@ def _may_share(strings: list[bytes], offsets: np.ndarray, width: int, part: int,
     spans = [(offsets - g, offsets - g + min(width - step, width - g)) for g in places]
     inside = [np.flatnonzero((low >= 0) & (high <= lengths)) for low, high in spans]
     keys: list[list[np.ndarray]] = [[] for _ in places]
-    edges = np.searchsorted(np.cumsum(lengths), np.arange(0, int(lengths.sum()) + (2 << 20), 2 << 20)).tolist()
+    edges = np.searchsorted(np.cumsum(lengths), np.arange(0, int(lengths.sum()) + _AT_ONCE, _AT_ONCE)).tolist()
     for a, b in zip(edges, [*edges[1:], n]):
         base = np.cumsum(lengths[a:b]) - lengths[a:b]
         rolling = Rolling(np.frombuffer(b"".join(strings[a:b]), np.uint8))
