@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, keyed, sliding_min, text_chunks, type_of, written
 
-#: Bytes of texts that are hashed at a time.
-_AT_ONCE = 512 << 10
+#: Bytes of texts that are hashed at a time: their arrays stay in a core's cache.
+_AT_ONCE = 128 << 10
 _PACKED = "bucket long, pack binary, key_a long, key_b long, spans binary"
 _SPANS = "key_a long, key_b long, begin int, end int"
 
@@ -662,7 +662,7 @@ def _may_share(strings: list[bytes], offsets: np.ndarray, width: int, part: int,
     return np.minimum(begin, end), end
 
 
-def suffix_blocks(width: int, part: int, block: int = 300_000, step: int = 24) -> Judge:
+def suffix_blocks(width: int, part: int, block: int = 300_000, step: int = 12) -> Judge:
     """Finds shared windows of bytes by the transform of the strings that share a minimiser.
 
     Equal windows share their minimiser and most of what surrounds it, so parts of strings for which
