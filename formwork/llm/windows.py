@@ -705,9 +705,16 @@ BYTE_PLAN = Plan(width=200, part=32, words=False, per_bucket=4_000_000)
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """``texts`` with ``spans``: all of a text's spans, null without any."""
+    """``texts`` with ``spans``: all of a text's spans, null without any.  Texts travel compressed."""
+
+    def squeezed(batches) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for part, chunk in text_chunks(batches, 8 << 20):
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([squeeze.compress(x) for x in chunk], pa.binary())], ["doc_id", "key_a", "key_b", "text"])
+
     held = spans.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return texts.join(held, ["key_a", "key_b"], "left")
+    sent = texts.select("doc_id", "key_a", "key_b", "text").mapInArrow(squeezed, f"doc_id {type_of(texts, 'doc_id')}, key_a long, key_b long, text binary")
+    return sent.join(held, ["key_a", "key_b"], "left")
 
 
 def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], counts: list[str], whole: bool) -> DataFrame:
@@ -719,9 +726,10 @@ def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], count
     names = ["doc_id", *counts, "kept_sha256", *("kept", "removed")[: 2 * whole]]
 
     def rows(batches) -> Iterator[pa.RecordBatch]:
-        for batch, chunk in text_chunks(batches, 8 << 20):
+        opened = zstandard.ZstdDecompressor()
+        for batch, chunk in text_chunks(batches, 2 << 20):
             out = []
-            for text, spans in zip(chunk, batch.column(batch.schema.get_field_index("spans"))):
+            for text, spans in zip(map(opened.decompress, chunk), batch.column(batch.schema.get_field_index("spans"))):
                 flat = np.zeros((0, 2), np.int64)
                 if spans.is_valid:
                     v = spans.values
@@ -731,7 +739,7 @@ def _cut_rows(texts: DataFrame, cut: Callable[[bytes, np.ndarray], tuple], count
                 out.append((*numbers, hashlib.sha256(kept).hexdigest(), *more))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(rows, schema)
+    return texts.select("doc_id", "text", "spans").mapInArrow(rows, schema)  # texts as _with_spans sends them
 
 
 def remove_repeated_words(docs: DataFrame, plan: Plan = WORD_PLAN, whole: bool = True) -> DataFrame:
