@@ -21,8 +21,15 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
+def _is_wide(dt: T.DataType) -> bool:
+    """Decimals without a fraction are integers, some beyond 64 bits."""
+    return isinstance(dt, T.DecimalType) and dt.scale == 0
+
+
 def kind_of(dt: T.DataType) -> str:
     """The kind of a Spark type's values."""
+    if _is_wide(dt):
+        return "int"
     for kind, classes in (("bool", T.BooleanType), ("int", _WHOLE), ("float", _REAL), ("string", T.StringType), ("null", T.NullType)):
         if isinstance(dt, classes):
             return kind
@@ -61,6 +68,10 @@ def predicate(k: t.Type, c: Column, dt: T.DataType) -> Column:
             return c.isNull()
         case t.Basic("float") if kind == "int":
             return c <= t.FLOAT_LIMIT
+        case t.Basic("huge"):
+            return c.between(F.lit(str(t.INT_MAX + 1)).cast("decimal(20,0)"), F.lit(str(t.HUGE_MAX)).cast("decimal(20,0)")) if _is_wide(dt) else F.lit(False)
+        case t.Basic("int") if _is_wide(dt):
+            return c.between(t.INT_MIN, t.INT_MAX)
         case t.Basic("float") if isinstance(dt, (T.FloatType, T.DoubleType)):
             return c.isNotNull() & ~F.isnan(c)  # NaN isn't a value of the language
         case t.Basic(name):
@@ -103,7 +114,7 @@ def _held(base: t.Type, held: t.Constraint, c: Column, dt: T.DataType) -> Column
     fits = lambda v: v.kind == kind or v.kind == "null" or {v.kind, kind} == {"int", "float"} and base == t.FLOAT
     if not held.bounds.free and kind not in ("int", "float"):
         return F.lit(False)
-    return constraint(held, c, length_of(c, dt), fits, c.cast("long") if kind == "int" else None)
+    return constraint(held, c, length_of(c, dt), fits, c.cast("long") if kind == "int" and base != t.HUGE else None)
 
 
 def field(k: t.Type, optional: bool, c: Column, dt: T.DataType) -> Column:

@@ -35,6 +35,8 @@ def rewritten(k: t.Type, x: Column, dt: T.DataType) -> Column:
     if isinstance(to, T.VariantType):
         return x if json else _variant(x, dt)
     match k:
+        case t.SumType() if isinstance(to, T.DecimalType):
+            return F.try_variant_get(x, "$", to.simpleString()) if json else x.cast(to)
         case t.Refined(base, c):
             inner = rewritten(base, x, dt)
             return normal(c, inner) if base == t.STRING else inner

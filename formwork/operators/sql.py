@@ -111,7 +111,7 @@ def _held(base: t.Type, c: t.Constraint, x: str, dt: T.DataType) -> str:
         plain = [literal(v.value) for v in fits if v.kind != "null"]
         ways = [f"{x} IN ({', '.join(plain)})"] * bool(plain) + [f"{x} IS NULL"] * (len(plain) < len(fits))
         found.append(f"({' OR '.join(ways)})" if ways else "FALSE")
-    found += [_expression(e, f"CAST({x} AS BIGINT)" if kind == "int" else x, length) for e in sorted(c.rest, key=str)]
+    found += [_expression(e, f"CAST({x} AS BIGINT)" if kind == "int" and base != t.HUGE else x, length) for e in sorted(c.rest, key=str)]
     return " AND ".join(found) or "TRUE"
 
 
@@ -129,6 +129,10 @@ def predicate(k: t.Type, x: str, dt: T.DataType, depth: int = 0) -> str:
             return f"{x} IS NULL"
         case t.Basic("float") if kind == "int":
             return f"{x} <= {t.FLOAT_LIMIT}L"
+        case t.Basic("huge"):
+            return f"{x} BETWEEN {t.INT_MAX + 1}BD AND {t.HUGE_MAX}BD" if kind == "int" and isinstance(dt, T.DecimalType) else "FALSE"
+        case t.Basic("int") if isinstance(dt, T.DecimalType) and kind == "int":
+            return f"{x} BETWEEN {t.INT_MIN}BD AND {t.INT_MAX}BD"
         case t.Basic("float") if isinstance(dt, (T.FloatType, T.DoubleType)):
             return f"({x} IS NOT NULL AND NOT isnan({x}))"
         case t.Basic(name):

@@ -103,7 +103,7 @@ def to_spark(kind: t.Type) -> T.DataType:
     """The Spark type that holds all values of a type; VARIANT where none does."""
     match kind:
         case t.Basic(name):
-            simple = {"bool": T.BooleanType(), "int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "null": T.NullType()}
+            simple = {"bool": T.BooleanType(), "int": T.LongType(), "float": T.DoubleType(), "string": T.StringType(), "null": T.NullType(), "huge": T.DecimalType(20, 0)}
             return simple.get(name, T.VariantType())
         case t.Literal(v):
             return to_spark(t.Basic(v.kind))
@@ -117,6 +117,8 @@ def to_spark(kind: t.Type) -> T.DataType:
             return T.StructType([T.StructField(f.name, to_spark(f.type), f.optional) for f in fields])
         case t.SumType(members):
             found = {to_spark(m) for m in members if m != t.NULL}
+            if found == {T.LongType(), T.DecimalType(20, 0)}:
+                return T.DecimalType(20, 0)
             return found.pop() if len(found) == 1 else T.VariantType()
     raise TypeError(kind)
 
@@ -124,6 +126,8 @@ def to_spark(kind: t.Type) -> T.DataType:
 def from_spark(dt: T.DataType) -> t.Type:
     """The least type that a Spark type's values belong to."""
     kind = columns.kind_of(dt)
+    if isinstance(dt, T.DecimalType) and dt.scale == 0 and dt.precision > 18:
+        return t.ANY  # may go beyond what the language's integers hold
     if kind != "other":
         return t.Basic(kind)
     if isinstance(dt, T.ArrayType):

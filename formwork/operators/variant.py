@@ -54,6 +54,9 @@ def predicate(k: t.Type, v: Column) -> Column:
             return F.is_variant_null(v)
         case t.Basic("float"):
             return _float(v)
+        case t.Basic("huge"):
+            kind, x = F.schema_of_variant(v), _get(v, "decimal(38,0)")
+            return kind.startswith("DECIMAL") & kind.endswith(",0)") & (x > F.lit(t.INT_MAX)) & (x <= F.lit(str(t.HUGE_MAX)).cast("decimal(20,0)"))
         case t.Basic(name):
             return _is(v, _SPARK[name][0])
         case t.Literal(lit):

@@ -124,6 +124,8 @@ class Compiler:
         if isinstance(ref, Name):
             if ref.name in t.KINDS:
                 return t.Basic(ref.name)
+            if ref.name == "uint64":
+                return t.sum_of([t.refined(t.INT, t.Constraint(t.Bounds(0))), t.HUGE])
             if ref.name in SIZED:
                 return t.refined(t.INT, t.Constraint(t.Bounds(*SIZED[ref.name])))
             if ref.name not in self.names:
@@ -262,11 +264,32 @@ def constrained(base: t.Type, expr) -> t.Type:
     for part in conjuncts(positive(expr)):
         if isinstance(base, t.SumType):
             base = t.sum_of([constrained(m, part) for m in base.members])
+        elif base == t.HUGE and (said := of_huge(tidy(part))) is not None:
+            base = base if said else t.NEVER
         elif base != t.NEVER:
             base = united(base, part) or t.refined(base, single(base, tidy(part)))
     return base
 
 
+def of_huge(e) -> bool | None:
+    """What comparing with ints and combining that says of every integer beyond an int; None for other expressions."""
+    match e:
+        case Binary("&&" | "||" as op, left, right):
+            a, b = of_huge(left), of_huge(right)
+            return None if a is None or b is None else (a and b) if op == "&&" else (a or b)
+        case Unary("!", arg):
+            said = of_huge(arg)
+            return None if said is None else not said
+        case Binary("in", left, ListNode(items)) if left == X and all(isinstance(v, Lit) and v.kind == "int" for v in items):
+            return False
+        case Binary(op, left, right) if op in _FLIP:
+            if isinstance(left, Lit):
+                op, left, right = _FLIP[op], right, left
+            if left == X and isinstance(right, Lit) and right.kind == "int":
+                return op in (">", ">=", "!=")
+    return None
+
+
 def united(base: t.Type, e) -> t.Type | None:
     """The union that a condition makes of a base, if normal forms can say it: an alternative of
     ranges, or all numbers but one.  None for any other condition."""

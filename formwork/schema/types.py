@@ -9,10 +9,12 @@ from dataclasses import dataclass, field, replace
 
 from formwork.schema.syntax import Binary, Lit, show
 
-KINDS = ("any", "never", "null", "bool", "int", "float", "string")
+KINDS = ("any", "never", "null", "bool", "int", "float", "string", "huge")
 #: Integers up to here count as floats (a fixed value of the language).
 FLOAT_LIMIT = 1 << 54
 INT_MIN, INT_MAX = -(1 << 63), (1 << 63) - 1
+#: The kind ``huge`` has the integers beyond an int that unsigned 64 bits hold.
+HUGE_MAX = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
@@ -130,7 +132,7 @@ class Refined(Type):
     constraint: Constraint
 
 
-ANY, NEVER, NULL, BOOL, INT, FLOAT, STRING = (Basic(k) for k in KINDS)
+ANY, NEVER, NULL, BOOL, INT, FLOAT, STRING, HUGE = (Basic(k) for k in KINDS)
 
 
 def key(value: Lit) -> tuple:

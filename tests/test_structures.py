@@ -299,3 +299,22 @@ def test_keys_and_planted_orphans(spark):
     assert keys.orphans(child.filter("false"), ("parent",), parent, ("key",)).collect() == []
     none = {(r.parent, r.n) for r in keys.orphans(child, ("parent",), parent.filter("false"), ("key",)).collect()}
     assert none == {(10, 2), (11, 1), (99, 2)}
+
+
+# ------------------------------------------------------------------------------ unsigned 64 bits
+
+
+def test_unsigned_64_bits(spark):
+    top = 2**64 - 1
+    docs = spark.createDataFrame([("0",), ("-1",), (str(2**63 - 1),), (str(2**63),), (str(top),), (str(top + 1),), ("1.5",), ("1.0",)], "doc string")
+    ok = lambda s: [r.ok for r in docs.select(sure(v.json_condition(F.col("doc"), s)).alias("ok")).collect()]
+    assert ok("(uint64)") == [True, False, True, True, True, False, False, False]
+    assert ok("(uint64,x>5)") == [False, False, True, True, True, False, False, False]
+    assert ok("(uint64,x<=5||x==9223372036854775807)") == [True, False, True, False, False, False, False, False]
+    assert ok("(int)") == [True, True, True, False, False, False, False, False]
+    df = docs.limit(6).select(F.col("doc").cast("decimal(20,0)").alias("n"))
+    typed = lambda s: [r.ok for r in df.select(sure(v.condition(df, "n", s)).alias("ok")).collect()]
+    assert typed("(uint64)") == [True, False, True, True, True, False] and typed("(int,x!=0)") == [False, True, True, False, False, False]
+    assert order.is_subtype(c("(uint32)"), c("(uint64)")) and order.compare(c("(int,x>=0)"), c("(uint64)")) == "widening"
+    assert c("(uint64,x!=3)") == c("(uint64,x<3||x>3)") and c(str(c("(uint64)"))) == c("(uint64)")
+    assert v.to_spark(c("(uint64)")).simpleString() == "decimal(20,0)"

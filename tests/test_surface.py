@@ -99,6 +99,7 @@ NESTED = [
     ("map<string,int>", '{"k":(int),"z z":(int,optional)}', "map('k',1) map('k',1,'z_z',2) map()"),
     ("struct<a:array<int>,b:double>", '{"a":#{(int),(int,x!=3)},"b":(float,optional)}', "named_struct('a',array(1,3),'b',1.0D) named_struct('a',array(1,2),'b',null) named_struct('a',array(1),'b',1.0D)"),
     ("string", '(string,x in ["it\'s","a\\\\b","\\n"])|(string,len(x)>3)', "'it\\'s' 'a\\\\b' '\\n' 'abcd' 'abc'"),
+    ("decimal(20,0)", "(uint64,x!=7)", "9223372036854775808BD 18446744073709551615BD 7 3 -1"),
     ("bigint", "(int,x==-9223372036854775808||x>9223372036854775806)", "9223372036854775807L (-9223372036854775807L-1L) 0L"),
 ]
 
