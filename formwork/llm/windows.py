@@ -23,6 +23,7 @@ Words are runs without ASCII white space.
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import struct
 import tempfile
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formwork.llm.common import CELLS, Rolling, Texts, arrow_column, keyed, sliding_min, text_chunks, type_of, written
+from formwork.llm.common import BLANK, CELLS, Rolling, Texts, arrow_column, keyed, sliding_min, text_chunks, type_of, written
 
 #: Bytes of texts that are hashed at a time: their arrays stay in a core's cache.
 _AT_ONCE = 128 << 10
@@ -49,7 +50,8 @@ class Plan:
 
     per_bucket: symbols of input for each bucket, about; held: bytes of packed strings that a task
     folds before it sends them.  per_group: strings of one minimiser beyond which its windows
-    travel one by one."""
+    travel one by one.  longest: bytes beyond which a text is divided, so that a task's arrays don't
+    grow with a text."""
 
     width: int
     part: int
@@ -57,6 +59,7 @@ class Plan:
     per_bucket: int
     held: int = 48 << 20
     per_group: int = 20_000
+    longest: int = 4 << 20
 
 
 class _Symbols:
@@ -121,7 +124,7 @@ def common_pieces(texts: DataFrame, plan: Plan, cells: int) -> tuple[np.ndarray,
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
-        for _, chunk in text_chunks(batches, _AT_ONCE):
+        for _, _, chunk, _ in _divided(batches, dataclasses.replace(plan, width=plan.part)):
             s = _Symbols(chunk, plan.words)
             np.add.at(total, (s.hashes(plan.part)[s.inside(plan.part)] >> shift).astype(np.int64), np.uint32(1))
         blocks = total.reshape(-1, 1 << 14)
@@ -171,7 +174,7 @@ def hot_minimisers(texts: DataFrame, plan: Plan, bits: np.ndarray, pieces: int)
             some = often > 3
             return pa.RecordBatch.from_arrays([pa.array(which[some].view(np.int64)), pa.array(often[some])], ["minimiser", "n"])
 
-        for _, chunk in text_chunks(batches, _AT_ONCE):
+        for _, _, chunk, _ in _divided(batches, plan):
             s = _Symbols(chunk, plan.words)
             first, last, minimiser, _ = _runs(s, plan, common, np.zeros(0, np.uint64))
             if len(first):
@@ -216,6 +219,31 @@ def _runs(s: _Symbols, plan: Plan, common: np.ndarray, hot: np.ndarray) -> tuple
     return begins, ends, groups, at[begins] - begins
 
 
+def _divided(batches, plan: Plan) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[bytes], np.ndarray]]:
+    """Chunks of texts (``text_chunks``): rows, and for each text or piece of a long one its row, its bytes and
+    the symbol at which it begins.  Pieces overlap by one symbol less than a window, so each window is in one."""
+    for part, chunk in text_chunks(batches, _AT_ONCE):
+        if max(map(len, chunk)) <= plan.longest:
+            yield part, np.arange(len(chunk)), chunk, np.zeros(len(chunk), np.int64)
+            continue
+        for i, text in enumerate(chunk):
+            for begin, piece in _overlapping(text, plan) if len(text) > plan.longest else [(0, text)]:
+                yield part, np.array([i]), [piece], np.array([begin])
+
+
+def _overlapping(text: bytes, plan: Plan) -> Iterator[tuple[int, bytes]]:
+    """(first symbol, bytes) of the pieces of a long text."""
+    if not plan.words:
+        for a in range(0, max(1, len(text) - plan.width + 1), plan.longest):
+            yield a, text[a : a + plan.longest + plan.width - 1]
+        return
+    edges = np.flatnonzero(np.diff(BLANK[np.frombuffer(text, np.uint8)], prepend=True, append=True))
+    starts, ends = edges[0::2], edges[1::2]
+    step = max(1, plan.longest * len(starts) // len(text))
+    for k in range(0, max(0, len(starts) - plan.width + 1), step):
+        yield k, text[starts[k] : ends[min(len(ends), k + step + plan.width - 1) - 1]]
+
+
 class _Folded:
     """Super-k-mers of a task, equal ones folded, until they are sent."""
 
@@ -232,7 +260,8 @@ class _Folded:
         self.offsets: list[int] = []
         self.size = 0
 
-    def add(self, s: _Symbols, ids: np.ndarray, keys: np.ndarray, common: np.ndarray, hot: np.ndarray) -> None:
+    def add(self, s: _Symbols, ids: np.ndarray, keys: np.ndarray, begins: np.ndarray, common: np.ndarray, hot: np.ndarray) -> None:
+        """The super-k-mers of texts, or of pieces that begin at the symbols ``begins`` of theirs."""
         first, last, minimiser, offset = _runs(s, self.plan, common, hot)
         if not len(first):
             return
@@ -247,7 +276,7 @@ class _Folded:
                 self.size += b - a + 100
             which[r] = n
         text = np.searchsorted(s.low, first, side="right") - 1
-        place = first - s.low[text]
+        place = first - s.low[text] + begins[text]
         self.which.append(which)
         self.places.append((ids[text], keys[text], place.astype(np.int32), (place + (last - first) + width - 1).astype(np.int32)))
 
@@ -360,8 +389,8 @@ def repeated_spans(texts: DataFrame, plan: Plan, judge: Judge) -> DataFrame:
 
     def pack(batches) -> Iterator[pa.RecordBatch]:
         folded, common = _Folded(plan, buckets), np.unpackbits(bits).astype(bool)
-        for part, chunk in text_chunks(batches, _AT_ONCE):
-            folded.add(_Symbols(chunk, words), arrow_column(part, "key_a"), arrow_column(part, "key_b"), common, hot)
+        for part, row, chunk, begins in _divided(batches, plan):
+            folded.add(_Symbols(chunk, words), arrow_column(part, "key_a")[row], arrow_column(part, "key_b")[row], begins, common, hot)
             if folded.size > plan.held:
                 yield from folded.rows()
         yield from folded.rows()
@@ -749,7 +778,8 @@ def remove_repeated_words(docs: DataFrame, plan: Plan = WORD_PLAN, whole: bool =
     row: ``kept`` are the other words joined by one space, ``removed`` the maximal removed runs of words.
 
     Exact: super-k-mers go to their minimiser's bucket (see the module) where sorting counts the
-    windows.  All copies of a window go, the first included.  Null, empty and blank texts have no
+    windows.  All copies of a window go, the first included.  Texts of over 4 MB are hashed in
+    overlapping pieces; a task holds each whole text, and its words, once when it is cut.  Null, empty and blank texts have no
     words; texts shorter than a window keep all; equal rows are copies of each other and lose all
     their windows; an empty table gives no rows; other columns are ignored.
     """
@@ -776,7 +806,8 @@ def remove_repeated_bytes(docs: DataFrame, plan: Plan = BYTE_PLAN, whole: bool =
     as U+FFFD).
 
     Exact: the collection is divided by minimiser, and each part's multi-document suffix order is
-    built column-wise (``column_wise``).  Null texts are empty; texts shorter than the string keep
+    built column-wise (``column_wise``).  Texts of over 4 MB are hashed in overlapping pieces; a task
+    holds each whole text when it is cut.  Null texts are empty; texts shorter than the string keep
     all; equal rows are copies of each other; an empty table gives no rows; other columns are
     ignored.
     """

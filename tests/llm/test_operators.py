@@ -262,3 +262,27 @@ def test_bounds_change_no_result(spark, data, plan, monkeypatch):
     many = covered()
     monkeypatch.setattr(windows, "MOST_HOT", 1)
     assert covered() == many
+
+
+@pytest.mark.parametrize("plan", [windows.WORD_PLAN, windows.BYTE_PLAN], ids=["words", "bytes"])
+def test_pieces_of_long_texts_hold_each_window_once(plan):
+    plan = dataclasses.replace(plan, longest=700)
+    rng = np.random.default_rng(8)
+    for n in (1, 150, 200, 701, 900, 5000):
+        text = bytes(rng.choice(np.frombuffer(b"ab cd\n e", np.uint8), n))
+        whole = text.split() if plan.words else text
+        got = []
+        for begin, piece in windows._overlapping(text, plan):
+            part = piece.split() if plan.words else piece
+            got += [(begin + k, part[k : k + plan.width]) for k in range(len(part) - plan.width + 1)]
+        assert got == [(k, whole[k : k + plan.width]) for k in range(len(whole) - plan.width + 1)]
+
+
+def test_long_texts_in_pieces_change_no_result(spark, data):
+    """Divided texts lose what whole ones lose: texts of the table, some joined to a long one."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    joined = docs.groupBy((F.col("doc_id") % 7).alias("doc_id")).agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text"))
+    both = docs.unionByName(joined.withColumn("doc_id", F.col("doc_id") + 10_000))
+    for operator, plan in ((windows.remove_repeated_words, windows.WORD_PLAN), (windows.remove_repeated_bytes, windows.BYTE_PLAN)):
+        whole, divided = (sorted(map(tuple, operator(both, dataclasses.replace(plan, longest=n), whole=False).collect())) for n in (4 << 20, 900))
+        assert whole == divided
