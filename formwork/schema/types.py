@@ -212,9 +212,7 @@ def sum_of(members) -> Type:
     flat = sorted({m for m in flat if m != NEVER}, key=str)
     if ANY in flat:
         return ANY
-    flat = sorted(set(_united(flat)), key=str)
-    while (joined := _join_once(flat)) is not None:
-        flat = sorted(set(joined), key=str)
+    flat = sorted(set(_merged(sorted(set(_united(flat)), key=str))), key=str)
     if not flat:
         return NEVER
     return flat[0] if len(flat) == 1 else SumType(tuple(flat))
@@ -245,16 +243,26 @@ def _united(flat: list[Type]) -> list[Type]:
     return out
 
 
-def _join_once(flat: list[Type]) -> list[Type] | None:
+def _merged(flat: list[Type]) -> list[Type]:
+    """Members of which no two can be said by one type: each is held against those before it, and
+    what two make together begins anew."""
     from formwork.schema.order import is_subtype
 
-    for i, a in enumerate(flat):
-        for j, b in enumerate(flat):
-            if i < j:
-                one = b if is_subtype(a, b) else a if is_subtype(b, a) else joined(a, b)
-                if one is not None:
-                    return [x for k, x in enumerate(flat) if k not in (i, j)] + [one]
-    return None
+    out: list[Type] = []
+    waiting = list(reversed(flat))
+    while waiting:
+        a = waiting.pop()
+        for i, b in enumerate(out):
+            one = b if is_subtype(a, b) else a if is_subtype(b, a) else joined(b, a)
+            if one == b:
+                break
+            if one is not None:
+                del out[i]
+                waiting.append(one)
+                break
+        else:
+            out.append(a)
+    return out
 
 
 def parts(t: Type) -> tuple[Type, Constraint]:
