@@ -38,13 +38,13 @@ BASE = {
 #: What a text needs to be searched at all: each match of a pattern holds a match of its hint, so
 #: that no span depends on what else the text has.
 HINT = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Other spellings, which only count if the classifier says so.
+#: Other spellings, which only count if the classifier says so.  What begins like a path is no secret.
 LOOSE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?[(\[{]at[)\]}] ?| at )[a-z0-9-]++(?:(?: ?[(\[{]dot[)\]}] ?| dot )[a-z0-9-]++)++",
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
     "card": r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9._/])",
     "phone": r"(?<![0-9A-Za-z+.(-])(?<!\+[0-9]{1,3} )(?:\([0-9]{2,5}\) ?|0[0-9]{1,4}[ ./-]|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z.-])",
-    "secret": r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=.-])",
+    "secret": r"(?<![A-Za-z0-9_+/=.-])(?!(?:[A-Za-z]{2,}+/){2})(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=.-])",
 }
 LOOSE_HINT = {"email": r"(?i)[(\[{ ]dot[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}", "phone": r"[0-9](?:\) ?|[ ./-])[0-9]{3,4}[ .-][0-9]{3}", "secret": r"[A-Za-z0-9_+/-]{20}"}
 
