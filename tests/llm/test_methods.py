@@ -88,6 +88,19 @@ def test_resemblance_against_brute_force(spark, data):
     assert all(rows[i].kept == (not rows[i].base_failed and rows[i].score >= threshold) for i in docs)
 
 
+def test_every_held_out_label_chooses_the_threshold(spark):
+    """Trusted rows of a lower score, which are the last by hash, move the threshold, too."""
+    good = spark.range(29_000).select("id", (F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(5)) == 0).alias("held")).orderBy(F.xxhash64("id"), "id").collect()
+    held = [r.id for r in good if r.held]
+    assert len(held) > 5_500
+    late = set(held[5_000:])
+    words = lambda x, z: " ".join([f"x{i}" for i in range(x)] + [f"z{i}" for i in range(z)])
+    rows = [(r.id, words(4, 12) if r.id in late else words(16, 0), 1) for r in good] + [(i, words(0, 16), 0) for i in range(29_000, 29_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    kept = {r.doc_id: r.kept for r in quality.resemblance(docs.drop("quality"), docs.drop("text")).collect()}
+    assert kept == {i: q == 1 for i, _, q in rows}
+
+
 def test_without_labels_only_the_rules_reject(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     none = spark.createDataFrame([], "doc_id long, quality int")
