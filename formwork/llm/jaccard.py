@@ -35,18 +35,20 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def block_links(sets: list[np.ndarray], percent: int, columns: int = 2048) -> np.ndarray:
+def block_links(sets: list[np.ndarray], percent: int, columns: int = 2048, known: np.ndarray | None = None) -> np.ndarray:
     """Which pairs of sets link: a boolean matrix, from the product of the incidence matrix and its
     transpose, some columns at a time.
 
     100 * overlap >= percent * union is overlap >= percent * (a + b) / (100 + percent).  After each
     block of columns a pair stays only if its count and what either set still has can reach that;
-    rows without such a pair leave the product."""
+    rows without such a pair leave the product.  Pairs that are equal in ``known`` aren't compared."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     need = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
     alive = np.minimum(size[:, None], size[None, :]) >= need
     np.fill_diagonal(alive, False)
+    if known is not None:
+        alive &= known[:, None] != known[None, :]
     row = np.repeat(np.arange(n), size)
     values, column, often = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
     shared = often > 1
@@ -102,7 +104,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
        blocks of the sparse product (``linked``).  What links is one component, so groups of near
        copies end here.
     4. Lists that still have several components hold the nodes outside the largest against all
-       others of the list, where sizes and bounds allow a link.
+       others of the list, where sizes and bounds allow a link: lists of up to ``PAIRED`` nodes pair
+       by pair, longer ones by tiles of the sparse product (``tiled``), so that no row is made for
+       each pair.
 
     Each product returns the links of a spanning forest at most, components need no more, and only
     verified links make components.
@@ -131,6 +135,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 512, i
     return found.dropDuplicates([*KEYS, "number"]).select("row.*")
 
 
+#: Lists of up to so many nodes are expanded into pairs.
+PAIRED = 32
+
+
 def sample_of(percent: int) -> float:
     """The share of the shingle space that nodes send: more than the share a set can lack."""
     return min(1.0, (100 - percent) / 100 + 0.07)
@@ -243,15 +251,17 @@ def linked_classes(texts: DataFrame, n: int, percent: int, block: int) -> tuple[
     links = written(linked(with_head, sets, percent, block))
 
     label = components(links)
-    members = lists.join(label, "node", "left").select("token", "node", "n", "most", F.coalesce("component", "node").alias("component"))
-    shares = members.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("major"), F.count("*").alias("several")).filter("several > 1").drop("several")
+    members = lists.join(label, "node", "left").select("token", F.col("head.node").alias("head"), "node", "n", "most", F.coalesce("component", "node").alias("component"))
+    shares = members.groupBy("token", "component").agg(F.count("*").alias("members")).groupBy("token").agg(F.max(F.struct("members", "component"))["component"].alias("major"), F.count("*").alias("several"), F.sum("members").alias("held")).filter("several > 1").drop("several")
     mixed = written(members.join(shares, "token"))
-    left = mixed.filter("component <> major").select("token", "major", F.struct("node", "n", "most", "component").alias("l"))
-    right = mixed.select("token", F.struct("node", "n", "most", "component").alias("r"))
+    short = mixed.filter(F.col("held") <= PAIRED)
+    left = short.filter("component <> major").select("token", "major", F.struct("node", "n", "most", "component").alias("l"))
+    right = short.select("token", F.struct("node", "n", "most", "component").alias("r"))
     across = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("major")) | (F.col("l.node") < F.col("r.node")))
     others = left.join(right, "token").filter(across & _may_link("l", "r", percent)).select(*pair("l.node", "r.node")).distinct()
     others = written(others.join(with_head, ["a", "b"], "left_anti"))
-    return rows, components(links.unionByName(linked(others, sets, percent, block)))
+    found = tiled(mixed.filter(F.col("held") > PAIRED), sets, percent, block)
+    return rows, components(links.unionByName(linked(others, sets, percent, block)).unionByName(found))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -272,14 +282,13 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
 
     def link(rows: pa.Table) -> pa.Table:
         group, part, node = (rows.column(c).to_numpy() for c in ("a", "part", "node"))
-        tokens = rows.column("tokens").combine_chunks()
-        flat, cut = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()
+        sets = _sets_of(rows)
         order = np.lexsort((node, part, group))
         cuts = np.flatnonzero(np.append(True, (np.diff(group[order]) != 0) | (np.diff(part[order]) != 0)))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             own = order[lo:hi]
-            label = _least_reachable(block_links([flat[cut[i] : cut[i + 1]] for i in own.tolist()], percent))
+            label = _least_reachable(block_links([sets[i] for i in own.tolist()], percent))
             linked = np.flatnonzero(label != np.arange(len(label)))
             a.append(node[own[linked]])
             b.append(node[own[label[linked]]])
@@ -288,6 +297,40 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
     return tiles.groupBy("tile").applyInArrow(link, "a long, b long")
 
 
+def tiled(lists: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) by which nodes of one list and different components are connected;
+    ``lists`` (head, node, component), ``sets`` (node, tokens).
+
+    Lists with the same head are one.  Its nodes outside the largest component are dealt into parts
+    of about half a ``block``, and so are all its nodes; each two parts are one tile of the sparse
+    product.  A node is copied once for each part of the other side, not for each partner."""
+    half = max(1, block // 2)
+    nodes = lists.select("head", "node", "component").distinct()
+    shares = nodes.groupBy("head", "component").agg(F.count("*").alias("members")).groupBy("head").agg(F.max(F.struct("members", "component")).alias("major"), F.sum("members").alias("held"))
+    dealt = nodes.join(shares, "head").withColumn("outer", F.ceil((F.col("held") - F.col("major.members")) / half).cast("int")).withColumn("all", F.ceil(F.col("held") / half).cast("int"))
+    part = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = dealt.filter("component <> major.component").select("head", "node", "component", part("outer").alias("i"), each("all").alias("j"))
+    right = dealt.filter("outer > 0").select("head", "node", "component", each("outer").alias("i"), part("all").alias("j"))
+    tiles = left.unionByName(right).withColumn("tile", F.xxhash64("head", "i", "j")).join(sets.hint("merge"), "node").select("tile", "node", "component", "tokens")
+
+    def link(rows: pa.Table) -> pa.Table:
+        node, first = np.unique(rows.column("node").to_numpy(), return_index=True)
+        sets, component = _sets_of(rows), rows.column("component").to_numpy()
+        label = _least_reachable(block_links([sets[i] for i in first.tolist()], percent, known=component[first]))
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(node[linked]), "b": pa.array(node[label[linked]])})
+
+    return tiles.groupBy("tile").applyInArrow(link, "a long, b long")
+
+
+def _sets_of(rows: pa.Table) -> list[np.ndarray]:
+    """Views of the column ``tokens``."""
+    tokens = rows.column("tokens").combine_chunks()
+    flat, cut = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with ``component`` and ``component_id``, its least id; both null without shingles."""
     node = F.when(F.col("n_shingles") > 0, F.col("node"))

@@ -371,6 +371,36 @@ def test_near_copies_above_the_block(spark, n, percent, block):
     assert got == {i: (len(s), least[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("block", [512, 64])
+def test_texts_that_share_nearly_all_make_no_row_a_pair(spark, monkeypatch, block):
+    """300 texts of one origin, few of which link: components are right, and no table has a row for each pair."""
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(5, 145), 2):
+            words[k] = f"x{i}"
+        texts[i] = " ".join(words)
+    for i in range(300, 320):  # copies with one more edit, which link with their originals
+        words = texts[i - 300].split()
+        words[0] = f"y{i}"
+        texts[i] = " ".join(words)
+    sets, least = _similar(texts, 3, 90)
+    assert len(set(least.values())) > 150
+    made, written = [], jaccard.written
+
+    def counted(df):
+        found = written(df)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 90, block).collect()}
+    assert got == {i: (len(s), least[i]) for i, s in sets.items()}
+    assert max(made) < 320 * 30, made
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(200)] + [(7, 7)]
